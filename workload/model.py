@@ -183,3 +183,83 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txns(spark: SparkSession, sf_dir: str, learned: DataFrame | None = None) -> DataFrame:
     return classify(raw(spark, sf_dir), SETTINGS, learned)
+
+
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as edits of transactions: a category or a note each."""
+    events = table(spark, sf_dir, "events")
+    orders = table(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
+    kind = F.col("event_type")
+    category = (
+        F.when(kind == "purchase", "Groceries")
+        .when(kind == "click", "Utilities")
+        .when(kind == "view", "Salary")
+        .when(kind == "error", "No such category")
+    )
+    note = F.when(
+        (kind == "signup") & (F.col("user_id") % 7 != 0), F.concat(F.lit("note "), F.col("event_id").cast("string"))
+    )
+    return events.select(
+        (F.col("event_id") % orders).alias("txn_id"),
+        F.col("event_id").alias("seq"),
+        kind.alias("event_type"),
+        category.alias("new_category"),
+        note.alias("new_notes"),
+        (kind == "signup").alias("has_notes"),
+        "user_id",
+        F.col("value").cast("decimal(18,2)").alias("value"),
+        F.col("ts").cast("date").alias("event_date"),
+    )
+
+
+ASSET_TYPES = ("property", "vehicle", "shares", "super", "crypto", "boat")
+
+
+def holding_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``signup`` events set a user's holding anew."""
+    kinds = F.array(*[F.lit(a) for a in ASSET_TYPES])
+    rows = edit_log(spark, sf_dir).where(F.col("event_type") == "signup")
+    return rows.select(
+        F.get(kinds, (F.col("user_id") % len(ASSET_TYPES)).cast("int")).alias("asset_type"),
+        F.concat(F.lit("H"), F.col("user_id").cast("string")).alias("name"),
+        F.col("user_id").alias("holding_id"),
+        "seq",
+        F.lit(None).cast("string").alias("ticker"),
+        F.lit(10).cast("decimal(28,6)").alias("units"),
+        F.col("value").alias("cost_basis"),
+        F.when(F.col("user_id") % 3 == 0, F.col("value") * 2).cast("decimal(18,2)").alias("current_value"),
+        F.col("event_date").alias("as_at_date"),
+        F.lit(None).cast("string").alias("notes"),
+    )
+
+
+def holding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases buy, clicks sell, views value, errors pay a dividend."""
+    kind = F.col("event_type")
+    names = F.when(kind == "purchase", "buy").when(kind == "click", "sell").when(kind == "view", "valuation")
+    rows = edit_log(spark, sf_dir).where(kind != "signup")
+    return rows.select(
+        F.col("user_id").alias("holding_id"),
+        "seq",
+        "event_date",
+        names.otherwise("dividend").alias("event_type"),
+        F.lit(1).cast("decimal(28,6)").alias("units"),
+        F.col("value").alias("total_value"),
+    )
+
+
+def with_recorded_raw(rows: DataFrame) -> DataFrame:
+    """A raw record per transaction: a balance under one of three keys, blank or unreadable now and then."""
+    key = F.col("txn_id")
+    text = F.col("amount").cast("string")
+    return rows.withColumn(
+        "raw",
+        F.create_map(
+            F.lit("closing_balance"),
+            F.when(key % 4 == 0, text).when(key % 4 == 1, "0.00").otherwise(""),
+            F.lit("Balance"),
+            F.when(key % 8 == 1, "n/a").when(key % 3 == 0, F.format_number(F.col("amount"), 2)),
+            F.lit("balance"),
+            F.when(key % 5 == 0, "0").when(key % 5 == 1, text),
+        ),
+    )
