@@ -16,6 +16,7 @@ def local_session(cpus: int | str = 8, app: str = "tallyloom", memory: str = "8g
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
     )
     for key, value in conf.items():

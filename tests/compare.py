@@ -44,8 +44,9 @@ def difference(spark, con, query, sql: str, sf_dir: str) -> tuple[int, str | Non
         return len(got), f"columns {sorted(df.columns)} != {sorted(names)}"
     if got == want:
         return len(got), None
-    extra = [r for r in got if r not in set(want)][:3]
-    missing = [r for r in want if r not in set(got)][:3]
+    ours, theirs = set(got), set(want)
+    extra = sorted(ours - theirs)[:3]
+    missing = sorted(theirs - ours)[:3]
     return len(got), f"rows {len(got)} vs {len(want)}; only ours {extra}; only SQL {missing}"
 
 

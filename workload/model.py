@@ -263,3 +263,219 @@ def with_recorded_raw(rows: DataFrame) -> DataFrame:
             F.when(key % 5 == 0, "0").when(key % 5 == 1, text),
         ),
     )
+
+
+# --- statements: the transactions written as the files each provider would export -------------------------------------
+
+
+def _plain_money(c: Column) -> Column:
+    return c.cast("decimal(18,2)").cast("string")
+
+
+def ing_csv_rows(rows: DataFrame) -> DataFrame:
+    """Credits and debits in two columns; some rows have no usable date or amount."""
+    bad_date = F.col("txn_id") % 89 == 0
+    no_amount = F.col("txn_id") % 83 == 0
+    grouped = F.format_number("amount", 2)
+    return rows.select(
+        F.when(bad_date, "31/02/2020").otherwise(F.date_format("txn_date", "dd/MM/yyyy")).alias("Date"),
+        F.col("description").alias("Description"),
+        F.when(~no_amount & (F.col("amount") > 0), F.concat(F.lit("$"), grouped)).otherwise("").alias("Credit"),
+        F.when(~no_amount & (F.col("amount") < 0), grouped).otherwise("").alias("Debit"),
+        F.lit("1.00").alias("Balance"),
+    )
+
+
+def bankwest_csv_rows(rows: DataFrame) -> DataFrame:
+    """Every row fills the credit column; a debit beside it wins."""
+    return rows.select(
+        F.lit("302-985").alias("BSB Number"),
+        F.col("account_id").alias("Account Number"),
+        F.date_format("txn_date", "d/M/yyyy").alias("Transaction Date"),
+        F.col("description").alias("Narration"),
+        F.lit("").alias("Cheque Number"),
+        F.when(F.col("amount") < 0, _plain_money(-F.col("amount"))).otherwise("0.00").alias("Debit"),
+        _plain_money(F.abs("amount")).alias("Credit"),
+        F.lit("1.00").alias("Balance"),
+        F.lit("WDL").alias("Transaction Type"),
+    )
+
+
+def amex_csv_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.date_format("txn_date", "dd/MM/yyyy").alias("Date"),
+        F.col("description").alias("Description"),
+        F.lit("A HOLDER").alias("Card Member"),
+        F.col("account_id").alias("Account #"),
+        _plain_money(-F.col("amount")).alias("Amount"),
+        F.coalesce(_plain_money(-F.col("original_amount")), F.lit("")).alias("Foreign Spend Amount"),
+        F.lit("").alias("Commission"),
+        F.lit("").alias("Exchange Rate"),
+    )
+
+
+def airbnb_csv_rows(rows: DataFrame) -> DataFrame:
+    """Net payout is blank or zero now and then, so that the gross amount counts."""
+    case = F.col("txn_id") % 3
+    net = F.when(case == 0, "").when(case == 1, "0.00").otherwise(F.format_number("amount", 2))
+    return rows.select(
+        F.date_format("txn_date", "dd/MM/yyyy").alias("Payout date"),
+        F.col("description").alias("Type"),
+        F.lit("").alias("Listing Name"),
+        F.lit("").alias("Guest name"),
+        F.format_number("amount", 2).alias("Gross earnings"),
+        F.lit("-3.50").alias("Host fee"),
+        net.alias("Net payout"),
+        F.concat(F.lit("HM"), F.col("txn_id").cast("string")).alias("Confirmation code"),
+    )
+
+
+def paypal_csv_rows(rows: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Payments of every order, foreign ones in USD, and a conversion row per order line.
+
+    Lines with an even number convert into the home currency, others out of the foreign one; ``lineitem`` repeats
+    (order, line) pairs, so a payment may have many conversion rows.
+    """
+    columns = ("Date", "Description", "Status", "Currency", "Gross", "Fee", "Transaction ID", "Name", "Reference Txn ID")
+    foreign = F.col("original_currency").isNotNull()
+    key = F.col("txn_id")
+    payments = rows.select(
+        F.date_format("txn_date", "d/MM/yyyy"),
+        F.when(key % 41 == 0, "Temporary Hold").otherwise("Express Checkout Payment"),
+        F.when(key % 43 == 0, "Pending").otherwise("Completed"),
+        F.coalesce("original_currency", F.lit("AUD")),
+        F.when(foreign, F.format_number("original_amount", 2)).otherwise(F.format_number("amount", 2)),
+        F.lit("-0.30"),
+        F.concat(F.lit("T"), key.cast("string")),
+        F.col("description"),
+        F.lit(""),
+        key,
+    )
+    home = F.col("l_linenumber") % 2 == 0
+    line = F.col("l_linenumber").cast("string")
+    order = F.col("l_orderkey").cast("string")
+    conversions = lineitem.select(
+        F.lit("1/01/2000"),
+        F.lit("General Currency Conversion"),
+        F.lit("Completed"),
+        F.when(home, "AUD").otherwise("USD"),
+        # one figure per order, so that which of its conversion rows comes first does not matter
+        F.concat(F.lit("-"), F.when(home, (F.col("l_orderkey") % 1000 + 1).cast("string")).otherwise("1"), F.lit(".25")),
+        F.lit("0.00"),
+        F.concat(F.lit("C"), order, F.lit("-"), line),
+        F.lit(""),
+        F.concat(F.lit("T"), order),
+        F.col("l_orderkey"),
+    )
+    # a payment and its conversion rows stand in one file
+    return payments.union(conversions).toDF(*columns, "_order").repartition("_order").drop("_order")
+
+
+def hsbc_text_rows(rows: DataFrame) -> DataFrame:
+    """Card statement entries over two lines; purchases are positive."""
+    amount = F.format_number(-F.col("amount"), 2)
+    return rows.select(
+        F.concat(F.date_format("txn_date", "dd MMM yyyy"), F.lit(" "), F.col("description"), F.lit("\nRef no"), F.lit("  "), amount)
+    )
+
+
+def ing_text_rows(rows: DataFrame) -> DataFrame:
+    """A section per entry: header, entry over three lines, sometimes closed by a footer with text behind it."""
+    money = F.format_number("amount", 2)
+    closed = F.when(F.col("txn_id") % 3 == 0, "\nTotal Fees Financial Year 1.00\n05/05/2005 not an entry 1.00 2.00").otherwise("")
+    return rows.select(
+        F.concat(
+            F.lit("Date  Details  Money out $  Money in $  Balance $\n"),
+            F.date_format("txn_date", "dd/MM/yyyy"),
+            F.lit(" Purchase\n"),
+            F.col("description"),
+            F.lit("  "),
+            money,
+            F.lit("   1,000.00\nCard 1234"),
+            closed,
+        )
+    )
+
+
+def bankwest_text_rows(rows: DataFrame) -> DataFrame:
+    """Credits are told by their words, foreign amounts stand on a line of their own."""
+    word = F.when(F.col("amount") > 0, " REFUND").otherwise("")
+    foreign = F.when(F.col("original_currency").isNotNull(), "\n12.99 USD").otherwise("")
+    return rows.select(
+        F.concat(
+            F.lit("Date Description Debit Credit\n"),
+            F.date_format("txn_date", "dd MMM yy"),
+            F.lit(" "),
+            F.col("description"),
+            word,
+            F.lit("  $"),
+            F.format_number(F.abs("amount"), 2),
+            foreign,
+        )
+    )
+
+
+def coles_text_rows(rows: DataFrame) -> DataFrame:
+    """Dates with a slash, posting date behind the transaction date, CR for credits."""
+    day = F.date_format("txn_date", "dd/MM/yyyy")
+    credit = F.when(F.col("amount") > 0, " CR").otherwise("")
+    return rows.select(
+        F.concat(
+            F.lit("Transaction Date Post Date Description Amount\n"),
+            day,
+            F.lit(" "),
+            F.date_format("txn_date", "dd/MM"),
+            F.lit(" "),
+            F.col("description"),
+            F.lit("\nPage 1\n$"),
+            F.format_number(F.abs("amount"), 2),
+            credit,
+        )
+    )
+
+
+def openbanking_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("txn_id").cast("string").alias("id"),
+        F.when(F.col("txn_id") % 17 == 0, "pending").otherwise("posted").alias("status"),
+        _plain_money(F.col("amount")).alias("amount"),
+        F.concat(F.date_format("txn_date", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("postDate"),
+        "description",
+        F.lit("AUD").alias("currency"),
+        F.when(F.col("amount") > 0, "credit").otherwise("debit").alias("direction"),
+    )
+
+
+def write_csv(rows: DataFrame, path: str) -> str:
+    rows.write.csv(path, header=True, escape='"', emptyValue="")
+    return path
+
+
+def write_text(rows: DataFrame, path: str) -> str:
+    rows.write.text(path)
+    return path
+
+
+def records(rows: DataFrame, rank: int = 0) -> DataFrame:
+    """Transactions as RAW_TXN records, without a detour over files."""
+    return rows.select(
+        "txn_date",
+        F.date_format("txn_date", "yyyy-MM-dd").alias("date_raw"),
+        "description",
+        "amount",
+        F.lit("AUD").alias("currency"),
+        "original_amount",
+        "original_currency",
+        F.lit(rank).cast("decimal(18,2)").alias("fee"),
+        F.when(F.col("source_type") == "paypal", F.concat(F.lit("T"), F.col("txn_id").cast("string"))).alias("reference_id"),
+        "source_type",
+        "source_file",
+        F.create_map(F.lit("balance"), F.col("amount").cast("string")).alias("raw"),
+        F.struct(
+            F.lit(rank).alias("source_rank"),
+            F.lit("x").alias("file_name"),
+            F.lit(0).cast("long").alias("block"),
+            F.col("txn_id").alias("seq"),
+        ).alias("arrival"),
+        F.lit(None).cast("string").alias("reject_reason"),
+    )
