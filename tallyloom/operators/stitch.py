@@ -236,9 +236,11 @@ def _closing_sections(marked: DataFrame) -> DataFrame:
     return placed.where(is_open & F.col("kind").isin(DATE, TEXT, EXTRA)).drop("segment", "first_head", "state")
 
 
-def entries(lines: DataFrame, until: Column | None = None) -> DataFrame:
+def entries(lines: DataFrame, until: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """One row per entry with its lines in order; entries whose date line is not among ``lines`` are dropped.
 
+    ``more`` names columns that were computed per line and are gathered with it.
+
     With ``until``, lines after the first one that meets it are left out before anything is gathered, and entries
     that never meet it are dropped.
     """
@@ -248,18 +250,26 @@ def entries(lines: DataFrame, until: Column | None = None) -> DataFrame:
         stops = lines.where(until).groupBy("file", "entry").agg(F.min(pos).alias("_stop"))
         keep = hot_key_join(lines.withColumn("arrival", pos), stops, ["file", "entry"], "inner")
         keep = keep.where(pos <= F.col("_stop")).drop("arrival", "_stop")
-    line = F.struct(*POS, "kind", "text")
+    line = F.struct(*POS, "kind", "text", *more)
     grouped = keep.where(F.col("entry") > 0).groupBy("file", "entry").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     first = F.col("lines")[0]
     return grouped.where(first["kind"] == DATE).withColumns({"block": first["block"], "seq": first["seq"]})
 
 
-def with_date(found: DataFrame, layout: Layout) -> DataFrame:
-    """Split the date line: ``date_text`` and, as first of ``parts``, what follows the date."""
-    first = F.col("lines")[0]["text"]
-    rest = F.trim(F.regexp_extract(first, layout.date, 2))
-    parts = F.transform("lines", lambda e, i: F.when(i == 0, rest).otherwise(e["text"]))
-    return found.withColumns({"date_text": F.regexp_extract(first, layout.date, 1), "parts": parts})
+def with_rest(lines: DataFrame, layout: Layout) -> DataFrame:
+    """``rest``: the part of a line that may hold text and amounts, on a date line what follows the date."""
+    after = F.when(F.col("kind") == DATE, F.trim(F.regexp_extract("text", layout.date, 2)))
+    return lines.withColumn("rest", F.coalesce(after, F.col("text")))
+
+
+def with_parts(found: DataFrame, layout: Layout) -> DataFrame:
+    """``date_text`` of the date line and the ``parts`` of the entry, line by line."""
+    return found.withColumns(
+        {
+            "date_text": F.regexp_extract(F.col("lines")[0]["text"], layout.date, 1),
+            "parts": F.transform("lines", lambda e: e["rest"]),
+        }
+    )
 
 
 def _joined(parts: Column) -> Column:
@@ -329,52 +339,62 @@ def coles_attributes(marked: DataFrame) -> DataFrame:
 # --- amounts -------------------------------------------------------------------------------------------------------------
 
 
-def ing_columns(text: Column) -> Column:
-    """struct(found, rest, money_out, money_in, balance) from the last two or three numbers of a line.
+def with_ing_columns(lines: DataFrame, text: str, name: str = "cols") -> DataFrame:
+    """Add struct(found, rest, money_out, money_in, balance, amount) from the last two or three numbers of a line.
 
     The last number is the balance. A third one from the end belongs to the columns if fewer than 15 characters
-    separate it from the next; of two, a negative first is money out.
+    separate it from the next; of two, a negative first is money out. Numbers and gaps are columns of their own, so
+    that each line is scanned twice and not once per use.
     """
-    numbers = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
-    gaps = F.split(text, NUMBER)
-    n = F.size(numbers)
+    scanned = lines.withColumns(
+        {"_numbers": F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1), "_gaps": F.split(text, NUMBER)}
+    )
+    n = F.size("_numbers")
 
     def number(back: int) -> Column:
-        return F.get(numbers, n - back)
+        return F.get("_numbers", n - back)
 
     def gap(back: int) -> Column:
-        return F.coalesce(F.length(F.get(gaps, n - back)), F.lit(0))
+        return F.coalesce(F.length(F.get("_gaps", n - back)), F.lit(0))
 
     three = (n >= 3) & (gap(2) < 15)
     start = F.length(text) - gap(0) - F.length(number(1)) - gap(1) - F.length(number(2))
     start = F.when(three, start - gap(2) - F.length(number(3))).otherwise(start)
-    negative = _number(number(2)) < 0
+    negative = number(2).startswith("-")
     out = F.when(three, number(3)).when(negative, number(2))
     into = F.when(three | ~negative, number(2))
     found = n >= 2
-    return F.struct(
-        found.alias("found"),
-        F.when(found, F.trim(F.substring(text, F.lit(1), start))).alias("rest"),
-        F.when(found, out).alias("money_out"),
-        F.when(found, into).alias("money_in"),
-        F.when(found, number(1)).alias("balance"),
-        F.when(found, S.sign_split(_number(into), _number(out), credit_first=False)).alias("amount"),
+    placed = scanned.withColumns(
+        {
+            "_out": F.when(found, out),
+            "_into": F.when(found, into),
+            "_left": F.when(found, F.trim(F.substring(text, F.lit(1), start))),
+            "_balance": F.when(found, number(1)),
+        }
     )
+    cols = F.struct(
+        F.col("_left").isNotNull().alias("found"),
+        F.col("_left").alias("rest"),
+        F.col("_out").alias("money_out"),
+        F.col("_into").alias("money_in"),
+        F.col("_balance").alias("balance"),
+        S.sign_split(_number(F.col("_into")), _number(F.col("_out")), credit_first=False).alias("amount"),
+    )
+    return placed.withColumn(name, cols).drop("_numbers", "_gaps", "_out", "_into", "_left", "_balance")
 
 
 def stitch_ing(lines: DataFrame, layout: Layout = ING) -> DataFrame:
     """Everything up to the next date or footer belongs to an entry; the first line with a non-zero amount gives it."""
-    found = with_date(entries(in_section(mark_lines(lines, layout), layout)), layout)
-    found = found.withColumn("cols", F.transform("parts", ing_columns))
-    at = F.array_position(F.transform("cols", lambda c: c["amount"].isNotNull()), True)
-    hit = F.get("cols", (at - 1).cast("int"))
+    members = with_ing_columns(with_rest(in_section(mark_lines(lines, layout), layout), layout), "rest")
+    found = with_parts(entries(members, more=("rest", "cols")), layout)
+    at = F.array_position(F.transform("lines", lambda e: e["cols"]["amount"].isNotNull()), True)
+    found = found.withColumn("_at", at).where(F.col("_at") > 0)
+    found = found.withColumn("_hit", F.get("lines", (F.col("_at") - 1).cast("int"))["cols"])
 
-    def text_of(part: Column, i: Column) -> Column:
-        column = F.get("cols", i)
-        return F.when((i < F.col("_at")) & column["found"], column["rest"]).otherwise(part)
+    def text_of(e: Column, i: Column) -> Column:
+        return F.when((i < F.col("_at")) & e["cols"]["found"], e["cols"]["rest"]).otherwise(e["rest"])
 
-    found = found.withColumns({"_at": at, "_hit": hit}).where(F.col("_at") > 0)
-    description = _joined(F.transform("parts", text_of))
+    description = _joined(F.transform("lines", text_of))
     parsed = S.parse_dmy("date_text")
     raw = F.create_map(
         F.lit("date"), F.col("date_text"),
@@ -392,24 +412,22 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
     balances = marked.groupBy("file").agg(
         closing_balance_of(r"Closing [Bb]alance\s+\$?([\d,]+\.\d{2})").alias("closing_balance")
     )
-    found = with_date(entries(in_section(marked, layout)), layout)
-    kinds = F.transform("lines", lambda e: e["kind"])
-    amounts = F.transform(
-        "parts", lambda p, i: F.when(F.get(kinds, i) != EXTRA, F.regexp_extract_all(p, F.lit(f"({DOLLARS})"), 1))
+    foreign = F.col("kind") == EXTRA
+    members = with_rest(in_section(marked, layout), layout).withColumns(
+        {
+            "amounts": F.when(foreign, F.array().cast("array<string>")).otherwise(
+                F.regexp_extract_all("rest", F.lit(f"({DOLLARS})"), 1)
+            ),
+            "bare": F.trim(F.regexp_replace("rest", DOLLARS, "")),
+        }
     )
-    at = F.array_position(F.transform(amounts, lambda a: F.coalesce(F.size(a), F.lit(0)) > 0), True)
-    found = found.withColumns({"_amounts": amounts, "_at": at, "_kinds": kinds}).where(F.col("_at") > 0)
-
-    def text_of(part: Column, i: Column) -> Column:
-        bare = F.trim(F.regexp_replace(part, DOLLARS, ""))
-        return (
-            F.when(F.get("_kinds", i) == EXTRA, F.concat(F.lit("("), part, F.lit(")")))
-            .when(i == F.col("_at") - 1, bare)
-            .otherwise(part)
-        )
-
-    texts = F.transform("parts", text_of)
-    found = found.withColumns({"_texts": texts, "_hit": F.get("_amounts", (F.col("_at") - 1).cast("int"))})
+    members = members.withColumn("rest", F.when(foreign, F.concat(F.lit("("), "rest", F.lit(")"))).otherwise(F.col("rest")))
+    found = with_parts(entries(members, more=("rest", "amounts", "bare")), layout)
+    at = F.array_position(F.transform("lines", lambda e: F.size(e["amounts"]) > 0), True)
+    found = found.withColumn("_at", at).where(F.col("_at") > 0)
+    texts = F.transform("lines", lambda e, i: F.when(i == F.col("_at") - 1, e["bare"]).otherwise(e["rest"]))
+    hit = F.get("lines", (F.col("_at") - 1).cast("int"))["amounts"]
+    found = found.withColumns({"_texts": texts, "_hit": hit})
     so_far = F.upper(F.array_join(F.slice("_texts", F.lit(1), F.col("_at").cast("int")), " "))
     first, second = _number(F.get("_hit", F.lit(0))), _number(F.get("_hit", F.lit(1)))
     on_date_line = F.col("_at") == 1
@@ -460,17 +478,11 @@ def hsbc_amount(text: Column, has_balance: Column) -> Column:
     return F.struct(amount.alias("amount"), balance.alias("balance"), F.trim(rest).alias("rest"))
 
 
-def _with_rest_of_date_line(lines: DataFrame, layout: Layout) -> DataFrame:
-    """The part of a line that may hold an amount: on a date line what follows the date."""
-    after = F.when(F.col("kind") == DATE, F.trim(F.regexp_extract("text", layout.date, 2)))
-    return lines.withColumn("_rest", F.coalesce(after, F.col("text")))
-
-
 def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC) -> DataFrame:
     """An entry ends with its first line that has an amount."""
     marked = mark_lines(lines, layout)
-    candidates = _with_rest_of_date_line(in_section(marked, layout), layout)
-    found = with_date(entries(candidates, until=F.col("_rest").rlike(ONE)), layout)
+    members = with_rest(in_section(marked, layout), layout)
+    found = with_parts(entries(members, until=F.col("rest").rlike(ONE), more=("rest",)), layout)
     found = hot_key_join(found.withColumn("arrival", F.struct(*POS)), hsbc_attributes(marked), ["file"])
     found = found.withColumn("_hit", hsbc_amount(F.element_at("parts", -1), F.col("has_balance")))
     before = F.slice("parts", F.lit(1), F.size("parts") - 1)
@@ -500,9 +512,9 @@ def strip_post_date(text: Column) -> Column:
 def stitch_coles(lines: DataFrame, layout: Layout = COLES) -> DataFrame:
     """Purchases are money out, credits money in; the posting date after the transaction date is dropped."""
     marked = mark_lines(lines, layout)
-    candidates = _with_rest_of_date_line(in_section(marked, layout), layout)
-    ends = F.col("_rest").rlike(S.MONEY_TOKEN) | F.col("_rest").rlike(LONG_REFERENCE)
-    found = with_date(entries(candidates, until=ends), layout)
+    members = with_rest(in_section(marked, layout), layout)
+    ends = F.col("rest").rlike(S.MONEY_TOKEN) | F.col("rest").rlike(LONG_REFERENCE)
+    found = with_parts(entries(members, until=ends, more=("rest",)), layout)
     found = hot_key_join(found.withColumn("arrival", F.struct(*POS)), coles_attributes(marked), ["file"])
     parts = F.transform("parts", lambda p, i: F.when(i == 0, strip_post_date(p)).otherwise(p))
     found = found.withColumn("parts", parts).withColumn("_hit", coles_amount(F.element_at("parts", -1)))
