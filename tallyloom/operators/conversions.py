@@ -22,20 +22,33 @@ def collapse_conversions(rows: DataFrame, is_conversion: Column, keep: Column) -
     """
     conv = rows.where(is_conversion & (F.coalesce("parent_ref", F.lit("")) != ""))
     home = (F.trim("currency") == HOME_CURRENCY) & (F.col("gross") != 0)
-    per_parent = conv.groupBy("file", F.col("parent_ref").alias("txn_ref")).agg(
-        F.min_by("gross", F.when(home, F.col("arrival"))).alias("_home_gross"), F.count(F.lit(1)).alias("_conversions")
+    # each conversion row says something about two references: what its parent was converted to, and that its own
+    # reference is not a payment
+    about_parent = F.struct(
+        F.col("parent_ref").alias("txn_ref"),
+        F.when(home, F.struct("arrival", "gross")).alias("home"),
+        F.lit(False).alias("own"),
     )
-    own_refs = conv.where(F.col("txn_ref") != "").select(
-        "file", "txn_ref", F.lit(None).cast("decimal(18,2)"), F.lit(None).cast("long"), F.lit(True)
+    about_self = F.struct(F.col("txn_ref"), F.lit(None).alias("home"), F.lit(True).alias("own"))
+    facts = conv.select("file", F.inline(F.array(about_parent, about_self))).where(F.col("txn_ref") != "")
+    lookup = facts.groupBy("file", "txn_ref").agg(
+        F.min("home").alias("_home"),
+        F.max(~F.col("own")).alias("_converted"),
+        F.max("own").alias("_is_conv"),
     )
-    facts = per_parent.select("file", "txn_ref", "_home_gross", "_conversions", F.lit(False).alias("_is_conv"))
-    lookup = facts.union(own_refs).groupBy("file", "txn_ref").agg(
-        F.max("_home_gross").alias("_home_gross"),
-        F.max("_conversions").alias("_conversions"),
-        F.max("_is_conv").alias("_is_conv"),
+    lookup = lookup.select(
+        "file",
+        "txn_ref",
+        F.col("_home.gross").alias("_home_gross"),
+        F.when(F.col("_converted"), F.lit(1)).alias("_conversions"),
+        "_is_conv",
     )
     payments = rows.where(keep & ~is_conversion)
-    joined = hot_key_join(payments, lookup, ["file", "txn_ref"]).where(~F.coalesce("_is_conv", F.lit(False)))
+    # payments without a reference match nothing; a key of their own each keeps them from gathering in one task
+    blank = F.concat(F.lit("\u0000"), F.xxhash64("arrival").cast("string"))
+    keyed = payments.withColumn("_ref", F.when(F.coalesce("txn_ref", F.lit("")) == "", blank).otherwise(F.col("txn_ref")))
+    joined = hot_key_join(keyed, lookup.withColumnRenamed("txn_ref", "_ref"), ["file", "_ref"])
+    joined = joined.where(~F.coalesce("_is_conv", F.lit(False))).drop("_ref")
     foreign = F.trim("currency") != HOME_CURRENCY
     converted = F.col("_home_gross").isNotNull() & foreign
     unconverted = foreign & F.col("_conversions").isNull()

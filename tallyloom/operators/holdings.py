@@ -34,8 +34,8 @@ def holding_state(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     The folding is an aggregate with partial results, so a holding with very many events is no bottleneck.
     """
     latest = latest_snapshots(snapshots).withColumnRenamed("seq", "_from")
-    # the position of the snapshot travels to the events as a lookup; beyond broadcast size the join is salted
-    placed = hot_key_join(events, latest.select("holding_id", "_from"), ["holding_id"], "inner")
+    # the grouping that follows has the key of this join, so the join is salted
+    placed = hot_key_join(events, latest.select("holding_id", "_from"), ["holding_id"], "inner", salted=True)
     after = placed.where(F.col("seq") > F.coalesce("_from", F.lit(NO_SEQ)))
     units = F.coalesce(F.col("units").cast(UNITS), F.lit(0).cast(UNITS))
     folded = after.groupBy("holding_id").agg(

@@ -15,17 +15,30 @@ def config_frame(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
     return F.broadcast(df) if len(rows) <= CONFIG_ROWS else df
 
 
-def hot_key_join(left: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", salts: int = 8) -> DataFrame:
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether the session divides the partitions of hot join keys at run time."""
+    on = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(key, "true").lower() == "true" for key in on)
+
+
+def hot_key_join(
+    left: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", *, salted: bool | None = None, salts: int = 8
+) -> DataFrame:
     """Join ``left`` to a lookup with unique keys, when one key may hold a large part of ``left``.
 
     No side is broadcast by hint: the optimizer does so below ``spark.sql.autoBroadcastJoinThreshold``, from size
-    statistics or at run time. Beyond that the keys are salted: ``left`` spreads each key over ``salts`` partitions
-    and the lookup is repeated that many times, so no task receives a whole hot key.
+    statistics or at run time. Beyond that, adaptive execution divides the partition of a hot key over many tasks.
+    Where it is switched off the keys are salted: ``left`` spreads each key over ``salts`` partitions and the lookup
+    is repeated that many times. Pass ``salted=True`` where a grouping by the same keys follows: that would keep
+    adaptive execution from dividing the partition, while a salted join lets the grouping combine before it shuffles.
     """
-    if salts <= 1:
+    if salted is None:
+        salted = not splits_skew(left.sparkSession)
+    if not salted:
         return left.join(lookup, keys, how)
-    spread = [c for c in ("txn_id", "dedup_hash", "arrival") if c in left.columns] or left.columns
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread if left.schema[c].dataType.typeName() != "map"]), F.lit(salts))
-    salted_left = left.withColumn("_salt", salt.cast("int"))
+    spread = [c for c in ("txn_id", "dedup_hash", "arrival", "seq") if c in left.columns] or [
+        f.name for f in left.schema.fields if f.dataType.typeName() != "map"
+    ]
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", salt).join(salted_lookup, [*keys, "_salt"], how).drop("_salt")

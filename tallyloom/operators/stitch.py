@@ -231,7 +231,7 @@ def _closing_sections(marked: DataFrame) -> DataFrame:
     # the state after a segment is the state on entering the next one
     entering = carried.select("file", (F.col("seq") + 1).alias("segment"), after.alias("state"))
     heads = facts.select("file", "segment", "first_head").join(entering, ["file", "segment"], "left")
-    placed = hot_key_join(rows.withColumn("arrival", pos), heads, ["file", "segment"]).drop("arrival")
+    placed = hot_key_join(rows, heads, ["file", "segment"])
     is_open = (F.coalesce("state", F.lit(0)) == 1) | F.coalesce(pos > F.col("first_head"), F.lit(False))
     return placed.where(is_open & F.col("kind").isin(DATE, TEXT, EXTRA)).drop("segment", "first_head", "state")
 
@@ -248,8 +248,8 @@ def entries(lines: DataFrame, until: Column | None = None, more: tuple[str, ...]
     keep = lines
     if until is not None:
         stops = lines.where(until).groupBy("file", "entry").agg(F.min(pos).alias("_stop"))
-        keep = hot_key_join(lines.withColumn("arrival", pos), stops, ["file", "entry"], "inner")
-        keep = keep.where(pos <= F.col("_stop")).drop("arrival", "_stop")
+        keep = hot_key_join(lines, stops, ["file", "entry"], "inner", salted=True)
+        keep = keep.where(pos <= F.col("_stop")).drop("_stop")
     line = F.struct(*POS, "kind", "text", *more)
     grouped = keep.where(F.col("entry") > 0).groupBy("file", "entry").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     first = F.col("lines")[0]
@@ -437,7 +437,7 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
         .when(_contains_any(so_far, BANKWEST_CREDITS), first)
         .otherwise(-first)
     )
-    found = hot_key_join(found.withColumn("arrival", F.struct(*POS)), balances, ["file"])
+    found = hot_key_join(found, balances, ["file"])
     description = _joined(F.col("_texts"))
     parsed = S.parse_statement_date("date_text", F.lit(None).cast("string"))
     return _records(found, layout, parsed, description, amount, _card_raw(parsed, description, amount))
@@ -483,7 +483,7 @@ def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC) -> DataFrame:
     marked = mark_lines(lines, layout)
     members = with_rest(in_section(marked, layout), layout)
     found = with_parts(entries(members, until=F.col("rest").rlike(ONE), more=("rest",)), layout)
-    found = hot_key_join(found.withColumn("arrival", F.struct(*POS)), hsbc_attributes(marked), ["file"])
+    found = hot_key_join(found, hsbc_attributes(marked), ["file"])
     found = found.withColumn("_hit", hsbc_amount(F.element_at("parts", -1), F.col("has_balance")))
     before = F.slice("parts", F.lit(1), F.size("parts") - 1)
     description = _joined(F.concat(before, F.array(F.col("_hit.rest"))))
@@ -515,7 +515,7 @@ def stitch_coles(lines: DataFrame, layout: Layout = COLES) -> DataFrame:
     members = with_rest(in_section(marked, layout), layout)
     ends = F.col("rest").rlike(S.MONEY_TOKEN) | F.col("rest").rlike(LONG_REFERENCE)
     found = with_parts(entries(members, until=ends, more=("rest",)), layout)
-    found = hot_key_join(found.withColumn("arrival", F.struct(*POS)), coles_attributes(marked), ["file"])
+    found = hot_key_join(found, coles_attributes(marked), ["file"])
     parts = F.transform("parts", lambda p, i: F.when(i == 0, strip_post_date(p)).otherwise(p))
     found = found.withColumn("parts", parts).withColumn("_hit", coles_amount(F.element_at("parts", -1)))
     before = F.slice("parts", F.lit(1), F.size("parts") - 1)

@@ -17,7 +17,7 @@ from tallyloom.operators.lookup import hot_key_join
 from tallyloom.schema import MONEY, REJECT
 
 #: cells per row; the widest known layout has 18 columns
-WIDTH = 40
+WIDTH = 24
 CELLS = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH)])
 
 
@@ -67,29 +67,27 @@ def position() -> Column:
 
 @dataclass(frozen=True)
 class HeaderRule:
-    """How the header row of a file is recognised: every one of ``required`` is among its trimmed cells."""
+    """How the header row of a file is recognised: every one of ``required`` is among its cells."""
 
     required: tuple[str, ...]
 
     def is_header(self, cells: Column) -> Column:
-        names = F.transform(cells, lambda c: F.trim(c))
         test = F.lit(True)
         for name in self.required:
-            test = test & F.coalesce(F.array_contains(names, name), F.lit(False))
+            test = test & F.coalesce(F.array_contains(cells, name), F.lit(False))
         return test
 
 
 def with_header(rows: DataFrame, rule: HeaderRule) -> DataFrame:
     """Data rows with the column names of their file (``names``); rows of files without a header are dropped.
 
-    Only header rows are aggregated, one or a few per file. The join is salted, for the case that one file holds a
-    large part of all rows and there are too many files for a broadcast.
+    Only header rows are aggregated, one or a few per file; the join copes with a file that holds a large part of all
+    rows when there are too many files for a broadcast.
     """
     headers = rows.where(rule.is_header(F.col("cells"))).select("file", "cells", position().alias("_at"))
     per_file = headers.groupBy("file").agg(trimmed(F.min_by("cells", "_at")).alias("names"))
     data = rows.where(~rule.is_header(F.col("cells")))
-    keyed = data.withColumn("arrival", position())
-    return hot_key_join(keyed, per_file, ["file"], "inner").drop("arrival")
+    return hot_key_join(data, per_file, ["file"], "inner")
 
 
 def trimmed(names: Column) -> Column:

@@ -117,8 +117,8 @@ def _aliased(canonical: str) -> Column:
 
 def parse_airbnb(rows: DataFrame, rank: int = 1) -> DataFrame:
     """Payouts: net if it is not zero, else gross; zero rows are dropped."""
-    data = hot_key_join(rows.withColumn("arrival", C.position()), _airbnb_header(rows), ["file"], "inner")
-    data = data.where(F.col("seq") > F.col("_header_seq")).drop("arrival")
+    data = hot_key_join(rows, _airbnb_header(rows), ["file"], "inner")
+    data = data.where(F.col("seq") > F.col("_header_seq"))
     date = _aliased("date")
     parsed = S.parse_dmy2(date)
     net, gross, fee = (S.parse_amount_strict(_aliased(n)) for n in ("net", "gross", "host_fee"))
