@@ -246,8 +246,8 @@ def _split_columns(splits: DataFrame, tax: TaxConfig, fy: int) -> tuple[dict[str
 
 
 def _combine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two frames of exactly one row each, side by side."""
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Two frames of exactly one row each, side by side; the second is a scalar subquery, not a join."""
+    return left.withColumn("_right", right.select(F.struct("*")).scalar()).select("*", "_right.*").drop("_right")
 
 
 def wfh_amount(weeks: Column, allocation_pct: Column, rate: Column) -> tuple[Column, Column]:
