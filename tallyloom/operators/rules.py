@@ -26,10 +26,13 @@ _BACKREF = re.compile(r"\\[1-9]|\(\?P[=<]")
 
 
 def validate_patterns(spark: SparkSession, patterns: Iterable[str]) -> None:
-    """Fail early on a pattern the executors could not compile (planning compiles each on the driver)."""
+    """Fail early, by name, on a pattern the executors could not compile: planning compiles each on the driver."""
     for pattern in patterns:
-        re.compile(pattern)
-        spark.range(1).where(F.lit("").rlike(_compiled(pattern))).isEmpty()
+        try:
+            re.compile(pattern)
+            spark.range(1).select(F.lit("").rlike(_compiled(pattern)).alias("hit")).first()
+        except Exception as error:
+            raise ValueError(f"pattern {pattern!r} cannot be used: {error}") from error
 
 
 def _compiled(pattern: str) -> str:

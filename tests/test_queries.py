@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
 #: checked by tests.compare at larger scale; each runs streams or several ingests
-SLOW = {"X01_stream_ingest", "X02_dedup_across_batches", "K08_rebuild_coverage", "K07_dry_run", "S11_scan_staging"}
+SLOW = {"K06_archive_inputs", "X01_stream_ingest", "X02_dedup_across_batches", "K08_rebuild_coverage", "K07_dry_run", "S11_scan_staging"}
 
 
 @pytest.fixture(scope="module")

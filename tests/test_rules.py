@@ -72,7 +72,7 @@ def test_many_rules_in_chunks(spark, settings):
 
 
 def test_bad_pattern_is_reported(spark):
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError, match="unclosed"):
         R.validate_patterns(spark, ["(unclosed"])
     R.validate_patterns(spark, ["GOOGLE.?GSUITE", r"\bX\b"])
 

@@ -577,6 +577,18 @@ def x01(spark, d):
     return Store(spark, store).transactions().select("txn_date", "description", "amount")
 
 
+@query("K06_archive_inputs", f"WITH {Q.RAW} SELECT DISTINCT {DAY}, description, {AMT} FROM raw")
+def k06(spark, d):
+    """Two runs of one stream; files of the first are moved to the archive when the second runs."""
+    staging, store, check = (scratch_path(spark, n) for n in ("staging", "store", "check"))
+    rows = M.raw(spark, d)
+    border = F.lit(dt.date(1998, 1, 1))
+    for i, part in enumerate((rows.where(F.col("txn_date") < border), rows.where(F.col("txn_date") >= border))):
+        M.write_csv(M.amex_csv_rows(part), f"{staging}/amex/run{i}")
+        ingest_available(spark, staging, store, M.SETTINGS, check, sources=("amex",), archive=scratch_path(spark, "archive"))
+    return Store(spark, store).transactions().select("txn_date", "description", "amount")
+
+
 @query("X02_dedup_across_batches", f"WITH {Q.RAW} SELECT DISTINCT {DAY}, description, {AMT} FROM raw")
 def x02(spark, d):
     """The same statements land in a second folder, read by a new stream; the table does not change."""
