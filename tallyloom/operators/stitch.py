@@ -304,15 +304,35 @@ def _early_year(skip: Column | None = None) -> Column:
     return _first_match(F.when(usable, F.col("text")).otherwise(""), r"\b(20\d{2})\b")
 
 
+#: fixed values: how a statement prints its period
+HSBC_PERIOD = r"(\d{1,2}\s+(\w{3})\s+(\d{4}))\s+to\s+\d{1,2}\s+\w{3}\s+\d{4}"
+COLES_PERIOD = r"Statement Period\s+\d{1,2}/\d{2}/(\d{2})\s+-\s+\d{1,2}/(\d{2})/(\d{2})"
+PRINTED_YEAR = r"^(\d{1,2}\s+\w{3}\s+\d{2,4}|\d{1,2}/\d{2}/\d{2,4})$"
+
+
+def near_period(parsed: Column, start_month: Column | None = None, end_month: Column | None = None) -> Column:
+    """Dates without a printed year moved into the period of a statement that spans New Year.
+
+    A month before the start month belongs to the following year, one after the end month to the year before.
+    """
+    free = ~F.col("date_text").rlike(PRINTED_YEAR)
+    if start_month is not None:
+        return F.when(free & (F.month(parsed) < start_month), F.add_months(parsed, 12)).otherwise(parsed)
+    return F.when(free & (F.month(parsed) > end_month), F.add_months(parsed, -12)).otherwise(parsed)
+
+
 def hsbc_attributes(marked: DataFrame) -> DataFrame:
-    """Per file: year of the period's start, closing balance, whether there is a balance column."""
+    """Per file: year and month of the period's start, closing balance, whether there is a balance column."""
     lower = F.lower("text")
     return marked.groupBy("file").agg(
         F.coalesce(
-            _first_match(_two_lines(), r"(\d{1,2}\s+\w{3}\s+(\d{4}))\s+to\s+\d{1,2}\s+\w{3}\s+\d{4}", 2),
+            _first_match(_two_lines(), HSBC_PERIOD, 3),
             _early_year(),
             F.lit(DEFAULT_YEAR),
         ).alias("year"),
+        F.month(
+            F.try_to_date(F.concat(F.lit("1 "), _first_match(_two_lines(), HSBC_PERIOD, 2), F.lit(" 2000")), "d MMM yyyy")
+        ).alias("start_month"),
         closing_balance_of().alias("closing_balance"),
         (F.max(lower.contains("balance")) & F.max(lower.contains("debit") | lower.contains("credit"))).alias("has_balance"),
     )
@@ -322,8 +342,8 @@ MONTH_NAMES = "January|February|March|April|May|June|July|August|September|Octob
 
 
 def coles_attributes(marked: DataFrame) -> DataFrame:
-    """Per file: year of the period's end, closing balance."""
-    short = _first_match(_two_lines(), r"Statement Period\s+\d{1,2}/\d{2}/(\d{2})\s+-\s+\d{1,2}/\d{2}/(\d{2})", 2)
+    """Per file: year and month of the period's end, closing balance."""
+    short = _first_match(_two_lines(), COLES_PERIOD, 3)
     return marked.groupBy("file").agg(
         F.coalesce(
             F.concat(F.lit("20"), short),
@@ -332,6 +352,7 @@ def coles_attributes(marked: DataFrame) -> DataFrame:
             _early_year(F.col("text").rlike(r"\d{4}\s+\d{4}\s+\d{4}")),
             F.lit(DEFAULT_YEAR),
         ).alias("year"),
+        _first_match(_two_lines(), COLES_PERIOD, 2).cast("int").alias("end_month"),
         closing_balance_of().alias("closing_balance"),
     )
 
@@ -478,8 +499,11 @@ def hsbc_amount(text: Column, has_balance: Column) -> Column:
     return F.struct(amount.alias("amount"), balance.alias("balance"), F.trim(rest).alias("rest"))
 
 
-def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC) -> DataFrame:
-    """An entry ends with its first line that has an amount."""
+def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC, *, infer_year: bool = False) -> DataFrame:
+    """An entry ends with its first line that has an amount.
+
+    All dates without a year get the year of the period's start, or with ``infer_year`` the one that fits the period.
+    """
     marked = mark_lines(lines, layout)
     members = with_rest(in_section(marked, layout), layout)
     found = with_parts(entries(members, until=F.col("rest").rlike(ONE), more=("rest",)), layout)
@@ -488,6 +512,7 @@ def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC) -> DataFrame:
     before = F.slice("parts", F.lit(1), F.size("parts") - 1)
     description = _joined(F.concat(before, F.array(F.col("_hit.rest"))))
     parsed = S.parse_statement_date("date_text", F.col("year"))
+    parsed = near_period(parsed, start_month=F.col("start_month")) if infer_year else parsed
     amount = F.col("_hit.amount")
     raw = _card_raw(parsed, description, amount, F.lit("balance"), F.coalesce(F.col("_hit.balance").cast("string"), F.lit("None")))
     return _records(found, layout, parsed, description, amount, raw)
@@ -509,8 +534,11 @@ def strip_post_date(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, COLES_POST_DATE, ""))
 
 
-def stitch_coles(lines: DataFrame, layout: Layout = COLES) -> DataFrame:
-    """Purchases are money out, credits money in; the posting date after the transaction date is dropped."""
+def stitch_coles(lines: DataFrame, layout: Layout = COLES, *, infer_year: bool = False) -> DataFrame:
+    """Purchases are money out, credits money in; the posting date after the transaction date is dropped.
+
+    All dates without a year get the year of the period's end, or with ``infer_year`` the one that fits the period.
+    """
     marked = mark_lines(lines, layout)
     members = with_rest(in_section(marked, layout), layout)
     ends = F.col("rest").rlike(S.MONEY_TOKEN) | F.col("rest").rlike(LONG_REFERENCE)
@@ -522,6 +550,7 @@ def stitch_coles(lines: DataFrame, layout: Layout = COLES) -> DataFrame:
     description = _joined(F.concat(before, F.array(F.col("_hit.rest"))))
     amount = F.when(F.col("_hit.is_credit"), F.col("_hit.amount")).otherwise(-F.col("_hit.amount"))
     parsed = S.parse_statement_date("date_text", F.col("year"))
+    parsed = near_period(parsed, end_month=F.col("end_month")) if infer_year else parsed
     credit = F.when(F.col("_hit.is_credit"), "True").otherwise("False")
     raw = _card_raw(parsed, description, F.col("_hit.amount"), F.lit("is_credit"), credit)
     return _records(found, layout, parsed, description, amount, raw)

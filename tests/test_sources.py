@@ -216,6 +216,17 @@ def test_statements(spark, tmp_path, bank):
     assert rows(ST.STITCHERS[bank](LN.read_lines(spark, path)), "txn_date", "description", "amount") == want
 
 
+def test_year_fits_a_period_over_new_year(spark, tmp_path):
+    hsbc = put(tmp_path / "h", "a.txt", "Statement Period 15 Dec 2024 to 14 Jan 2025\n20 Dec A 1.00\n02 Jan B 2.00\n03 Jan 24 C 3.00\n")
+    coles = put(tmp_path / "c", "a.txt", "Statement Period 15/12/24 - 14/01/25\nDate Amount\n20/12 A 1.00\n02/01 B 2.00\n")
+    lines = LN.read_lines(spark, hsbc)
+    assert [d for d, _ in rows(ST.stitch_hsbc(lines), "txn_date", "description")] == ["2024-01-02", "2024-01-03", "2024-12-20"]
+    got = rows(ST.stitch_hsbc(lines, infer_year=True), "description", "txn_date")
+    assert got == [("A", "2024-12-20"), ("B", "2025-01-02"), ("C", "2024-01-03")]
+    got = rows(ST.stitch_coles(LN.read_lines(spark, coles), infer_year=True), "description", "txn_date")
+    assert got == [("A", "2024-12-20"), ("B", "2025-01-02")]
+
+
 def sequential_section(kinds):
     """Which lines belong to an entry, read one by one."""
     state, kept = 0, []
