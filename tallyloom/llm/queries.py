@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_codec, packing, simhash, token_counts, topk, warc
+from tallyloom.llm import bpe_codec, packing, quality_rules, simhash, token_counts, topk, warc
 from tallyloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,64 @@ FROM b
 @query("op3_warc_archive", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+_LEAST = quality_rules.LEAST
+_FENCES = ", ".join(
+    f"greatest(max(q3) FILTER (figure = '{n}') + {quality_rules.SPREAD} * (max(q3) FILTER (figure = '{n}') - max(q1) FILTER (figure = '{n}')), max(q2) FILTER (figure = '{n}') + {least}) AS {n}_high, "
+    f"least(max(q1) FILTER (figure = '{n}') - {quality_rules.SPREAD} * (max(q3) FILTER (figure = '{n}') - max(q1) FILTER (figure = '{n}')), max(q2) FILTER (figure = '{n}') - {least}) AS {n}_low"
+    for n, least in _LEAST.items()
+)
+
+
+def _level(name: str, keys: str) -> str:
+    return f"""{name}_c AS (
+  SELECT {keys}, figure, bucket, sum(sum(n)) OVER (PARTITION BY {keys}, figure ORDER BY bucket) AS below, sum(sum(n)) OVER (PARTITION BY {keys}, figure) AS total
+  FROM sketch GROUP BY {keys}, figure, bucket
+), {name}_q AS (
+  SELECT {keys}, figure, max(total) AS total, min(bucket) FILTER (below * 4 >= total) AS q1, min(bucket) FILTER (below * 4 >= total * 2) AS q2, min(bucket) FILTER (below * 4 >= total * 3) AS q3
+  FROM {name}_c GROUP BY {keys}, figure
+), {name} AS (SELECT {keys}, max(total) AS total, {_FENCES} FROM {name}_q GROUP BY {keys})"""
+
+
+def _pick(n: str) -> str:
+    return f"CASE WHEN own.total >= {quality_rules.MIN_GROUP} THEN own.{n} WHEN language.total >= {quality_rules.MIN_GROUP} THEN language.{n} ELSE overall.{n} END"
+
+
+OP5_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d
+), p AS (
+  SELECT row_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), g AS (
+  SELECT row_no, i, word || ' ' || lead(word, 1) OVER (PARTITION BY row_no ORDER BY i) || ' ' || lead(word, 2) OVER (PARTITION BY row_no ORDER BY i) AS win FROM p
+), r AS (
+  SELECT row_no, count(DISTINCT j) AS n FROM (
+    SELECT row_no, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY row_no, win) AS c FROM g WHERE win IS NOT NULL) WHERE c > 1
+  ) GROUP BY row_no
+), f AS (
+  SELECT w.row_no, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r ON w.row_no = r.row_no
+), x AS (
+  SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    (1000 * n_symbols) // greatest(word_chars, 1) AS symbols, (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines,
+    (1000 * n_repeat_words) // greatest(n_words, 1) AS repeats, (100 * word_chars) // greatest(n_words, 1) AS word_length
+  FROM f
+), v AS (
+  SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS figure, unnest([symbols, dup_lines, repeats, word_length]) AS value FROM x WHERE NOT base_failed
+), sketch AS (
+  SELECT lang, source, 1 AS every, figure, value - value % (CAST(1 AS BIGINT) << CAST(greatest(length(bin(value)) - 8, 0) AS BIGINT)) AS bucket, count(*) AS n FROM v GROUP BY ALL
+), {_level("own", "lang, source")}, {_level("language", "lang")}, {_level("overall", "every")}
+SELECT x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed,
+  NOT x.base_failed AND coalesce({" AND ".join(f"x.{n} <= {_pick(n + '_high')}" for n in _LEAST)} AND x.word_length >= {_pick("word_length_low")}, false) AS kept
+FROM x LEFT JOIN own ON x.lang = own.lang AND x.source = own.source LEFT JOIN language ON x.lang = language.lang LEFT JOIN overall ON true
+"""
+
+
+@query("op5_quality_rules", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
