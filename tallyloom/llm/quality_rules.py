@@ -25,7 +25,7 @@ MIN_GROUP = 200
 #: a fence is a quartile plus this many times the distance between the quartiles
 SPREAD = 3
 #: least distance between the median and a fence: where all documents are alike, small differences are no fault
-LEAST = {"symbols": 60, "dup_lines": 300, "repeats": 300, "word_length": 250}
+LEAST = {"symbols": 60, "dup_lines": 700, "repeats": 300, "word_length": 250}
 TWO_SIDED = ("word_length",)
 NULL_KEY = "\x00"
 WORD = r"[^\x20\x09-\x0D]"

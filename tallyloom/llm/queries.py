@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_codec, packing, quality_rules, simhash, token_counts, topk, warc
+from tallyloom.llm import bpe_codec, language_id, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, topk, warc
 from tallyloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,18 @@ FROM x LEFT JOIN own ON x.lang = own.lang AND x.source = own.source LEFT JOIN la
 @query("op5_quality_rules", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
