@@ -56,7 +56,7 @@ def load(path: str) -> Bpe:
 class Bpe:
     """A vocabulary file of the tokenizers library: byte-level BPE, with or without a word-end suffix."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, model = spec["model"]["vocab"], spec["model"]

@@ -53,7 +53,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def by_size(texts: Sequence[str], chars: int = 2_000_000) -> Iterator[slice]:
+def by_size(texts: Sequence[str], chars: int = 500_000) -> Iterator[slice]:
     """Consecutive slices of about ``chars`` characters, at least one text each: bounds what a step holds in memory."""
     begin, held = 0, 0
     for i, text in enumerate(texts):
@@ -65,6 +65,15 @@ def by_size(texts: Sequence[str], chars: int = 2_000_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+#: bytes of a batch that a step gets at once; Spark's own batches hold up to ten thousand rows of any length
+PIECE_BYTES = 4 << 20
+
+
+def rows_of(batch: pa.RecordBatch) -> int:
+    """Rows of the batch that hold about ``PIECE_BYTES``."""
+    return max(1, int(batch.num_rows * PIECE_BYTES / max(batch.nbytes, 1)))
+
+
 _shipped: set[str] = set()
 
 
@@ -89,8 +98,9 @@ def map_batches(df: DataFrame, step, schema: str | StructType) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in step(batch):
+        pieces = (b.slice(at, n) for b in batches for n in [rows_of(b)] for at in range(0, b.num_rows, n))
+        for piece in pieces:
+            for out in step(piece):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)

@@ -87,7 +87,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for g in range(len(GROUPS)):
         seen = np.r_[0, np.cumsum(kinds == g)]
         out[filled, g] = (seen[until] - seen[at]) / chars
-    power, inverse = _powers(1 << max(21, int(len(raw)).bit_length()))
+    power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
     prefix = np.r_[np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])]
     word = (prefix[ends] - prefix[starts]) * inverse[starts] * PRIME
     length = (ends - starts).astype(np.float64)
