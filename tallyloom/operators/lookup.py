@@ -21,8 +21,13 @@ def splits_skew(spark: SparkSession) -> bool:
     return all(spark.conf.get(key, "true").lower() == "true" for key in on)
 
 
+def default_salts(spark: SparkSession) -> int:
+    """One salt per shuffle partition."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def hot_key_join(
-    left: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", *, salted: bool | None = None, salts: int = 8
+    left: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", *, salted: bool | None = None, salts: int | None = None
 ) -> DataFrame:
     """Join ``left`` to a lookup with unique keys, when one key may hold a large part of ``left``.
 
@@ -31,11 +36,14 @@ def hot_key_join(
     Where it is switched off the keys are salted: ``left`` spreads each key over ``salts`` partitions and the lookup
     is repeated that many times. Pass ``salted=True`` where a grouping by the same keys follows: that would keep
     adaptive execution from dividing the partition, while a salted join lets the grouping combine before it shuffles.
+    ``salts`` defaults to the session's shuffle partitions, so that a hot key reaches as many tasks as there are.
     """
     if salted is None:
         salted = not splits_skew(left.sparkSession)
     if not salted:
         return left.join(lookup, keys, how)
+    if salts is None:
+        salts = default_salts(left.sparkSession)
     spread = [c for c in ("txn_id", "dedup_hash", "arrival", "seq") if c in left.columns] or [
         f.name for f in left.schema.fields if f.dataType.typeName() != "map"
     ]
