@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import LETTER, classes
 from tallyloom.llm.common import by_size, held_out, map_batches, ship, texts_of
+from tallyloom.operators.lookup import hot_key_join
 
 DIM = 512
 #: letters with a vector: 26, those beyond share the others; 0 stands for whatever is no letter
@@ -94,7 +95,8 @@ def learn(docs: DataFrame, dim: int = DIM, seed: int = 7, per_language: int = FI
     total = counts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     bound = min(per_language, max(1, in_all // max(total, 1)))
     share = (F.xxhash64(F.col("doc_id").cast("string")).cast("double") / F.lit(2.0**64)) + 0.5
-    chosen = known.select("doc_id", "lang").join(counts, "lang").where(share <= F.lit(float(bound)) / F.col("n")).select("doc_id", "lang").distinct()
+    narrow = hot_key_join(known.select("doc_id", "lang"), counts, ["lang"], "inner", salted=True)
+    chosen = narrow.where(share <= F.lit(float(bound)) / F.col("n")).select("doc_id", "lang").distinct()
     sample = known.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most about in_all ids
 
     def sums(batch):

@@ -153,8 +153,8 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     def named(df: DataFrame, prefix: str) -> list[Column]:
         return [F.col(n).alias(f"{prefix}{n}") for n in (*names, "total") if n in df.columns]
 
-    joined = own.join(language.select("lang", *named(language, "l_")), "lang").withColumn("every", F.lit(1))
-    joined = joined.join(overall.select("every", *named(overall, "o_")), "every")
+    joined = own.join(language.select("lang", *named(language, "l_")), "lang")
+    joined = joined.withColumn("_all", overall.select(F.struct(*named(overall, "o_"))).scalar()).select("*", "_all.*")
 
     def picked(n: str) -> Column:
         return F.when(F.col("total") >= min_group, F.col(n)).when(F.col("l_total") >= min_group, F.col(f"l_{n}")).otherwise(F.col(f"o_{n}")).alias(n)
@@ -172,7 +172,7 @@ def apply_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     figures = written(figures.withColumns({**_figures(), "base_failed": failed}), "figures")
     limits = thresholds(sketches(figures), min_group)
-    joined = hot_key_join(figures, limits, ["lang", "source"], "left")
+    joined = hot_key_join(figures, limits, ["lang", "source"], "left", salted=True)
     inside = [F.col(n) <= F.col(f"{n}_high") for n in LEAST] + [F.col(n) >= F.col(f"{n}_low") for n in TWO_SIDED]
     kept = ~F.col("base_failed") & F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
