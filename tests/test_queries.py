@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connection, difference
+from workload import catalog
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLES = catalog.ORACLES
+QUERIES = catalog.QUERIES
 #: checked by tests.compare at larger scale; each runs streams or several ingests
 SLOW = {"K06_archive_inputs", "X01_stream_ingest", "X02_dedup_across_batches", "K08_rebuild_coverage", "K07_dry_run", "S11_scan_staging"}
 
