@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import Settings
 from tallyloom.functions import scalars as S
-from tallyloom.operators.normalize import normalize, preview, with_identity
+from tallyloom.operators.normalize import accepted, normalize, preview, with_identity
 from tallyloom.sinks.store import Outcome, Store
 from tallyloom.sources.openbanking import incremental_since, parse_openbanking, read_records
 from tallyloom.sources.registry import REGISTRY, Source, scan_staging, union_sources
@@ -44,7 +44,11 @@ def dry_run(
     records = scan_staging(spark, staging, only)
     if records is None:
         return None
-    known = Store(spark, store_root).transactions()
+    identified = accepted(records)
+    facts = identified.agg(
+        F.collect_set(S.fy_of("txn_date")).alias("years"), F.coalesce(F.bool_or(S.keyed_by_reference()), F.lit(False)).alias("by_reference")
+    ).first()
+    known = Store(spark, store_root).known_hashes(tuple(sorted(facts["years"])), facts["by_reference"])
     return preview(normalize(records, settings, known))
 
 

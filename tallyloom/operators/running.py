@@ -53,6 +53,19 @@ def accumulate(
     ).drop("_chunk", *[f"_before_{n}" for n in (*sums, *lasts)])
 
 
-def next_value(column: str) -> Column:
-    """The following row's value inside the same chunk."""
-    return F.lead(column).over(Window.partitionBy("file", "block", chunk()).orderBy("seq"))
+def with_next(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the next value of a text column that isn't blank, in the order of the file, over chunks and blocks.
+
+    Inside a chunk it is a running value in descending order; the first value of each chunk is carried back to the
+    chunks before it, in a frame of one row per chunk.
+    """
+    key = ["file", "block", "_chunk"]
+    keyed = rows.withColumn("_chunk", chunk())
+    filled = F.when(F.col(column) != "", F.col(column))
+    later = Window.partitionBy(*key).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed.withColumn(name, F.last(filled, ignorenulls=True).over(later))
+    firsts = keyed.groupBy(*key).agg(F.min_by(filled, F.when(filled.isNotNull(), F.col("seq"))).alias("_first"))
+    back = Window.partitionBy("file").orderBy(F.desc("block"), F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select(*key, F.last("_first", ignorenulls=True).over(back).alias("_carried"))
+    joined = local.join(carried, key)
+    return joined.withColumn(name, F.coalesce(name, "_carried")).drop("_chunk", "_carried")

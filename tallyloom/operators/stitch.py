@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 from tallyloom.operators.lookup import hot_key_join
-from tallyloom.operators.running import accumulate, next_value
+from tallyloom.operators.running import accumulate, with_next
 from tallyloom.schema import MONEY
 from tallyloom.sources.cells import record
 
@@ -34,6 +34,8 @@ class Layout:
     noise: Callable[[Column], Column] | None = None
     footer: Callable[[Column], Column] | None = None
     extra: Callable[[Column], Column] | None = None
+    #: whether statement values may stand on the line after their label
+    looks_ahead: bool = False
 
 
 def _starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
@@ -140,14 +142,16 @@ BANKWEST = Layout(
     header=lambda t: t.rlike(BANKWEST_HEADER),
     noise=lambda t: t.rlike(BANKWEST_NOISE),
     extra=lambda t: t.rlike(BANKWEST_FOREIGN),
+    looks_ahead=True,
 )
-HSBC = Layout("hsbc", 4, HSBC_DATE, noise=lambda t: _contains_any(F.upper(t), HSBC_NOISE))
+HSBC = Layout("hsbc", 4, HSBC_DATE, noise=lambda t: _contains_any(F.upper(t), HSBC_NOISE), looks_ahead=True)
 COLES = Layout(
     "coles",
     5,
     COLES_DATE,
     header=lambda t: F.lower(t).contains("amount") & F.lower(t).rlike("transaction|date|description"),
     noise=lambda t: _contains_any(F.lower(t), COLES_NOISE),
+    looks_ahead=True,
 )
 
 
@@ -171,7 +175,8 @@ def line_kind(layout: Layout) -> Column:
 def mark_lines(lines: DataFrame, layout: Layout) -> DataFrame:
     """Lines with their kind, number in the file, entry number, footer count and whether a header was seen."""
     trimmed = lines.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    known = trimmed.withColumns({"next_text": next_value("text"), "kind": F.when(F.col("text") != "", line_kind(layout))})
+    ahead = with_next(trimmed, "text", "next_text") if layout.looks_ahead else trimmed.withColumn("next_text", F.lit(None).cast("string"))
+    known = ahead.withColumn("kind", F.when(F.col("text") != "", line_kind(layout)))
     kind = F.col("kind")
     marked = accumulate(
         known,
@@ -338,6 +343,7 @@ def hsbc_attributes(marked: DataFrame) -> DataFrame:
     )
 
 
+#: fixed values: month names as printed
 MONTH_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 

@@ -27,12 +27,17 @@ def local_session(cpus: int | str = 8, app: str = "tallyloom", memory: str = "8g
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
+    """Shared folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one if all runs on one machine.
+
+    On a cluster a local folder would be another one on each executor, so an unset name is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

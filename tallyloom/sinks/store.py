@@ -10,7 +10,8 @@ Layout below the root::
     v<N>/quarantine/     records that could not be read
 
 Plain Parquet has no transactions across tables, so every step can be repeated: transactions are appended only when
-their identity is unknown, the audit and FX rows of a repeated batch are recognised, and readers take the first copy.
+their identity is unknown, the audit rows of a repeated batch are recognised, rejected records by file and content, and of FX rates readers take the first.
+Two ingests into one store must not run at the same time: nothing locks it, and both would append what neither knows.
 """
 
 from __future__ import annotations
@@ -155,9 +156,10 @@ class Store:
     def _reject(self, records: DataFrame, batch_id: int) -> None:
         if REJECT not in records.columns:
             return
-        bad = records.where(F.col(REJECT).isNotNull()).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        known = self.quarantined().where(F.col("batch_id") == batch_id).select("source_file", "arrival")
-        fresh = bad.join(known, ["source_file", "arrival"], "left_anti").select(*QUARANTINE.names)
+        content = F.sha2(F.concat_ws("\x1f", "source_file", "date_raw", "description", REJECT, F.to_json("raw")), 256)
+        bad = records.where(F.col(REJECT).isNotNull()).withColumns({"batch_id": F.lit(batch_id).cast("long"), "_content": content})
+        known = self.quarantined().select(content.alias("_content")).distinct()
+        fresh = bad.join(known, "_content", "left_anti").select(*QUARANTINE.names)
         fresh.write.mode("append").parquet(self.path("quarantine"))
 
     def backfill_splits(self, settings: Settings, fy: int | None = None) -> int:

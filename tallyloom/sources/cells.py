@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 from tallyloom.operators.lookup import hot_key_join
 from tallyloom.schema import MONEY, REJECT
 
-#: cells per row; the widest known layout has 18 columns
+#: cells that the CSV reader itself fills; wider rows are split from their text, so no width is lost
 WIDTH = 24
-CELLS = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH)])
+ROW_TEXT = "_row_text"
+CELLS = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH)], T.StructField(ROW_TEXT, T.StringType())])
+#: a cell with what is before it: the start of the row or a comma
+CELL = r'(^|,)("(?:[^"]|"")*"|[^,]*)'
 
 
 def _options(reader, glob: str | None, multi_line: bool):
@@ -27,6 +30,7 @@ def _options(reader, glob: str | None, multi_line: bool):
         multiLine=multi_line,
         escape='"',
         mode="PERMISSIVE",
+        columnNameOfCorruptRecord=ROW_TEXT,
         encoding="UTF-8",
         emptyValue="",
         ignoreLeadingWhiteSpace=False,
@@ -36,8 +40,19 @@ def _options(reader, glob: str | None, multi_line: bool):
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
+def split_row(text: Column) -> Column:
+    """Cells of one CSV row of any width: quotes taken off, doubled ones made single."""
+    raw = F.transform(F.regexp_extract_all(text, F.lit(CELL), F.lit(0)), lambda c, i: F.when(i == 0, c).otherwise(F.substring(c, 2, 1 << 30)))
+    quoted = r'(?s)^"(.*)"$'
+    return F.transform(raw, lambda c: F.when(c.rlike(quoted), F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def _rows(df: DataFrame) -> DataFrame:
-    cells = F.array(*[F.col(n) for n in CELLS.names])
+    """The reader keeps the text of rows that have another number of cells than its schema; full ones may have more."""
+    narrow = F.array(*[F.col(f"c{i}") for i in range(WIDTH)])
+    full = F.col(f"c{WIDTH - 1}").isNotNull() & F.col(ROW_TEXT).isNotNull()
+    text = F.regexp_replace(ROW_TEXT, r"^\ufeff|[\r\n]+$", "")
+    cells = F.when(full, split_row(text)).otherwise(narrow)
     return df.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), cells.alias("cells")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +21,24 @@ PAYPAL_HEADER = C.HeaderRule(("Date", "Currency", "Gross", "Transaction ID"))
 
 
 def _simple(
-    rows: DataFrame, date: Column, text: Column, amount: Column, source_type: str, rank: int, **more: Column
+    rows: DataFrame, date: Column, text: Column, amount: Column, amounts: tuple[str, ...], source_type: str, rank: int, **more: Column
 ) -> DataFrame:
-    """Records of a plain layout: rows without a date, a description or an amount are not transactions."""
+    """Records of a plain layout: rows without a date, a description or an amount are not transactions.
+
+    A blank or zero amount is none; text in one of the columns ``amounts`` that is no number sends the row to quarantine.
+    """
     parsed = S.parse_dmy(date)
-    blank = (F.trim(date) == "") | (F.trim(text) == "") | amount.isNull()
+    unreadable = reduce(lambda a, b: a | b, [(F.trim(C.field(n)) != "") & S.parse_amount_lenient(C.field(n)).isNull() for n in amounts])
+    blank = (F.trim(date) == "") | (F.trim(text) == "") | (amount.isNull() & ~unreadable)
     return rows.where(~blank).select(
         *C.record(
             txn_date=parsed,
             date_raw=date,
             description=F.trim(text),
-            amount=amount,
+            amount=F.when(~unreadable, amount),
             source_type=source_type,
             source_rank=rank,
-            reject=C.unreadable_date(date, parsed),
+            reject=F.coalesce(C.unreadable_date(date, parsed), F.when(unreadable, F.lit("unreadable amount"))),
             raw=C.raw_map(),
             **more,
         )
@@ -43,7 +49,7 @@ def parse_ing(rows: DataFrame, rank: int = 3) -> DataFrame:
     """Date, Description, Credit, Debit, Balance; a non-zero credit wins over a debit."""
     data = C.with_header(rows, ING_HEADER)
     credit, debit = (S.parse_amount_lenient(C.field(n)) for n in ("Credit", "Debit"))
-    return _simple(data, C.field("Date"), C.field("Description"), S.sign_split(credit, debit), "ing", rank)
+    return _simple(data, C.field("Date"), C.field("Description"), S.sign_split(credit, debit), ("Credit", "Debit"), "ing", rank)
 
 
 def parse_bankwest(rows: DataFrame, rank: int = 7) -> DataFrame:
@@ -51,7 +57,7 @@ def parse_bankwest(rows: DataFrame, rank: int = 7) -> DataFrame:
     data = C.with_header(rows, BANKWEST_HEADER)
     credit, debit = (S.parse_amount_lenient(C.field(n)) for n in ("Credit", "Debit"))
     amount = S.sign_split(credit, debit, credit_first=False)
-    return _simple(data, C.field("Transaction Date"), C.field("Narration"), amount, "bankwest", rank)
+    return _simple(data, C.field("Transaction Date"), C.field("Narration"), amount, ("Credit", "Debit"), "bankwest", rank)
 
 
 def parse_amex(rows: DataFrame, rank: int = 8) -> DataFrame:
@@ -64,6 +70,7 @@ def parse_amex(rows: DataFrame, rank: int = 8) -> DataFrame:
         C.field("Date"),
         C.field("Description"),
         amount,
+        ("Amount",),
         "amex",
         rank,
         original_amount=F.when(foreign != 0, -foreign),

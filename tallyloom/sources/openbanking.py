@@ -32,7 +32,10 @@ def stream_records(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def parse_openbanking(rows: DataFrame, source_type: str, rank: int = 9) -> DataFrame:
-    """Posted records only; the date is the first ten characters of the post date."""
+    """Posted records only; the date is the first ten characters of the post date.
+
+    Records without an id would all share one identity; they go to quarantine.
+    """
     date = F.substring(F.coalesce("postDate", F.lit("")), 1, 10)
     parsed = F.try_to_date(date, "yyyy-MM-dd")
     text = F.coalesce(F.col("amount"), F.lit("0"))
@@ -40,7 +43,10 @@ def parse_openbanking(rows: DataFrame, source_type: str, rank: int = 9) -> DataF
     raw = F.create_map(
         F.lit("basiq_id"), F.col("id"), *[x for n in AUDITED for x in (F.lit(n), F.col(n))]
     )
-    reject = F.when(parsed.isNull(), F.lit("unreadable date")).when(amount.isNull(), F.lit("unreadable amount"))
+    nameless = F.trim(F.coalesce("id", F.lit(""))) == ""
+    reject = (
+        F.when(parsed.isNull(), F.lit("unreadable date")).when(amount.isNull(), F.lit("unreadable amount")).when(nameless, F.lit("no record id"))
+    )
     return rows.where(F.col("status") == "posted").select(
         *C.record(
             txn_date=parsed,
@@ -70,7 +76,9 @@ def last_synced(txns: DataFrame) -> DataFrame:
 def incremental_since(records: DataFrame, txns: DataFrame) -> DataFrame:
     """Records not older than the newest synced date of their source, that day included; all of a new source.
 
+    Undated records are passed on: they belong in quarantine, where they can be seen.
+
     The join side has one row per configured source.
     """
     joined = records.join(last_synced(txns), "source_type", "left")
-    return joined.where(F.col("since").isNull() | (F.col("txn_date") >= F.col("since"))).drop("since")
+    return joined.where(F.col("since").isNull() | F.col("txn_date").isNull() | (F.col("txn_date") >= F.col("since"))).drop("since")
