@@ -121,13 +121,19 @@ def category_trend(
     )
 
 
+OTHER_CATEGORIES = "Other categories"
+
+
 def trend_pivot(trend: DataFrame, categories: Iterable[Category]) -> DataFrame:
     """Dense month x category grid of absolute expenses, 0 where a month has none.
 
-    The columns are the configured categories, so no extra job looks for the distinct values.
+    The columns are the configured categories, so no extra job looks for the distinct values, and one for all others, so
+    that a month's columns add up to its spending.
     """
-    names = [c.name for c in categories]
-    labelled = trend.withColumn("category", F.coalesce("category", F.lit(UNCATEGORIZED)))
+    configured = [c.name for c in categories]
+    names = [*configured, OTHER_CATEGORIES]
+    category = F.coalesce("category", F.lit(UNCATEGORIZED))
+    labelled = trend.withColumn("category", F.when(category.isin(configured), category).otherwise(OTHER_CATEGORIES))
     grid = labelled.groupBy("month").pivot("category", names).agg(F.sum("total"))
     cells = [F.abs(F.coalesce(F.col(f"`{n}`"), F.lit(0).cast(TOTAL))).cast(TOTAL).alias(n) for n in names]
     return grid.select("month", *cells).orderBy("month")

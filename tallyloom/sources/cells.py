@@ -93,16 +93,21 @@ class HeaderRule:
         return test
 
 
+NO_HEADER = "no header row"
+
+
 def with_header(rows: DataFrame, rule: HeaderRule) -> DataFrame:
-    """Data rows with the column names of their file (``names``); rows of files without a header are dropped.
+    """Data rows with the column names of their file (``names``).
 
-    Only header rows are aggregated, one or a few per file; the join copes with a file that holds a large part of all
-    rows when there are too many files for a broadcast.
+    Of a file without a header the first row is kept, without names, so that the readers can send it to quarantine. Only
+    header rows and row numbers are aggregated; the join copes with a file that holds a large part of all rows when there
+    are too many files for a broadcast.
     """
     headers = rows.where(rule.is_header(F.col("cells"))).select("file", "cells", position().alias("_at"))
-    per_file = headers.groupBy("file").agg(trimmed(F.min_by("cells", "_at")).alias("names"))
-    data = rows.where(~rule.is_header(F.col("cells")))
-    return hot_key_join(data, per_file, ["file"], "inner")
+    names = headers.groupBy("file").agg(trimmed(F.min_by("cells", "_at")).alias("names"))
+    per_file = rows.groupBy("file").agg(F.min("seq").alias("_start")).join(names, "file", "left")
+    data = hot_key_join(rows.where(~rule.is_header(F.col("cells"))), per_file, ["file"], "inner")
+    return data.where(F.col("names").isNotNull() | (F.col("seq") == F.col("_start"))).drop("_start")
 
 
 def trimmed(names: Column) -> Column:

@@ -30,7 +30,8 @@ def _simple(
     parsed = S.parse_dmy(date)
     unreadable = reduce(lambda a, b: a | b, [(F.trim(C.field(n)) != "") & S.parse_amount_lenient(C.field(n)).isNull() for n in amounts])
     blank = (F.trim(date) == "") | (F.trim(text) == "") | (amount.isNull() & ~unreadable)
-    return rows.where(~blank).select(
+    headless = F.col("names").isNull()
+    return rows.where(~blank | headless).select(
         *C.record(
             txn_date=parsed,
             date_raw=date,
@@ -38,7 +39,7 @@ def _simple(
             amount=F.when(~unreadable, amount),
             source_type=source_type,
             source_rank=rank,
-            reject=F.coalesce(C.unreadable_date(date, parsed), F.when(unreadable, F.lit("unreadable amount"))),
+            reject=F.coalesce(F.when(headless, F.lit(C.NO_HEADER)), C.unreadable_date(date, parsed), F.when(unreadable, F.lit("unreadable amount"))),
             raw=C.raw_map(),
             **more,
         )
@@ -112,7 +113,9 @@ def _airbnb_header(rows: DataFrame) -> DataFrame:
     )
     names = C.trimmed(F.col("names"))
     lowered = F.transform(names, lambda n: F.lower(n))
-    return best.select("file", names.alias("names"), lowered.alias("_lowered"), F.col("_at.s").alias("_header_seq"))
+    found = best.select("file", names.alias("names"), lowered.alias("_lowered"), F.col("_at.s").alias("_at_seq"))
+    every = starts.join(found, "file", "left")
+    return every.select("file", "names", "_lowered", F.coalesce("_at_seq", "_start").alias("_header_seq"))
 
 
 def _aliased(canonical: str) -> Column:
@@ -123,16 +126,20 @@ def _aliased(canonical: str) -> Column:
 
 
 def parse_airbnb(rows: DataFrame, rank: int = 1) -> DataFrame:
-    """Payouts: net if it is not zero, else gross; zero rows are dropped."""
+    """Payouts: net if it is not zero, else gross; zero rows are dropped. A file without a date column is one rejected row."""
     data = hot_key_join(rows, _airbnb_header(rows), ["file"], "inner")
-    data = data.where(F.col("seq") > F.col("_header_seq"))
+    data = data.where(F.col("seq") >= F.col("_header_seq"))
     date = _aliased("date")
     parsed = S.parse_dmy2(date)
     net, gross, fee = (S.parse_amount_strict(_aliased(n)) for n in ("net", "gross", "host_fee"))
     amount = F.when(net != 0, net).when(net.isNotNull(), gross)
     unreadable = F.when(net.isNull() | gross.isNull() | fee.isNull(), F.lit("unreadable amount"))
     parts = [F.nullif(_aliased(n), F.lit("")) for n in ("type", "listing", "guest")]
-    data = data.where((date != "") & (unreadable.isNotNull() | (amount != 0)))
+    listed = (F.col("seq") > F.col("_header_seq")) & (date != "")
+    headless = F.lit(True)
+    for alias in AIRBNB_ALIASES["date"]:
+        headless = headless & F.coalesce(~F.array_contains("_lowered", alias), F.lit(True))
+    data = data.where(F.when(headless, F.col("seq") == F.col("_header_seq")).otherwise(listed & (unreadable.isNotNull() | (amount != 0))))
     return data.select(
         *C.record(
             txn_date=parsed,
@@ -141,7 +148,7 @@ def parse_airbnb(rows: DataFrame, rank: int = 1) -> DataFrame:
             amount=amount,
             source_type="airbnb",
             source_rank=rank,
-            reject=F.coalesce(C.unreadable_date(date, parsed), unreadable),
+            reject=F.coalesce(F.when(headless, F.lit(C.NO_HEADER)), C.unreadable_date(date, parsed), unreadable),
             raw=C.raw_map(),
             fee=F.abs(fee),
             reference_id=F.nullif(_aliased("confirmation"), F.lit("")),
@@ -185,7 +192,8 @@ def parse_paypal(rows: DataFrame, rank: int = 0) -> DataFrame:
     parsed = S.parse_dmy("date")
     text = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("kind"), F.lit("")))
     unreadable = F.when(F.col("amount").isNull() | F.col("fee").isNull(), F.lit("unreadable amount"))
-    return merged.where((F.col("date") != "") & text.isNotNull()).select(
+    headless = F.col("raw").isNull()
+    return merged.where(((F.col("date") != "") & text.isNotNull()) | headless).select(
         *C.record(
             txn_date=parsed,
             date_raw=F.col("date"),
@@ -193,7 +201,7 @@ def parse_paypal(rows: DataFrame, rank: int = 0) -> DataFrame:
             amount=F.col("amount"),
             source_type="paypal",
             source_rank=rank,
-            reject=F.coalesce(C.unreadable_date(F.col("date"), parsed), unreadable),
+            reject=F.coalesce(F.when(headless, F.lit(C.NO_HEADER)), C.unreadable_date(F.col("date"), parsed), unreadable),
             raw=F.col("raw"),
             currency=F.col("currency"),
             original_amount=F.col("original_amount"),

@@ -82,3 +82,13 @@ def test_no_machine_local_scratch_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         scratch_root(Session())
+
+
+def test_files_without_header_are_seen(spark, tmp_path):
+    put(tmp_path, "good.csv", "Date,Description,Credit,Debit\n01/02/2025,Good,,3\n")
+    path = put(tmp_path, "bad.csv", "a,b\n1,2\n3,4\n")
+    got = rows(CSV.read_ing_csv(spark, path), "description", "amount", "reject_reason")
+    assert got == [("", "None", "no header row"), ("Good", "-3.00", "None")]
+    other = put(tmp_path / "more", "bad.csv", "a,b\n1,2\n3,4\n")
+    assert [r["reject_reason"] for r in CSV.read_airbnb_csv(spark, other).collect()] == ["no header row"]
+    assert [r["reject_reason"] for r in CSV.read_paypal_csv(spark, other).collect()] == ["no header row"]

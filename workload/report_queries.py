@@ -273,6 +273,8 @@ def a03(spark, d):
 PIVOT = ", ".join(
     f"CAST(abs(SUM(CASE WHEN category = '{c.name}' THEN amount ELSE 0 END)) AS DOUBLE) AS \"{c.name}\"" for c in CATEGORIES
 )
+CONFIGURED = ", ".join(f"'{c.name}'" for c in CATEGORIES)
+PIVOT += f", CAST(abs(SUM(CASE WHEN category NOT IN ({CONFIGURED}) THEN amount ELSE 0 END)) AS DOUBLE) AS \"Other categories\""
 
 
 @query(
