@@ -91,17 +91,23 @@ def latest_row(txns: DataFrame, *columns: str) -> DataFrame:
     return txns.groupBy("account_id").agg(newest).select("account_id", "_latest.*")
 
 
-def latest_balance(txns: DataFrame, accounts: DataFrame) -> DataFrame:
+def latest_balance(txns: DataFrame, accounts: DataFrame, audit: DataFrame | None = None) -> DataFrame:
     """Visible accounts with transaction count and balance.
 
-    Balance: the one printed on the newest record, else the sum of all amounts. ``txns`` carries ``raw``. One
-    aggregate per account over the transactions, then a join of per-account rows.
+    Balance: the one printed on the newest record, else the sum of all amounts. One aggregate per account over the
+    transactions, then a join of per-account rows. The raw record comes from ``raw`` of ``txns``, or, where ``audit``
+    (fy, dedup_hash, raw) is given, the newest record's identity is found first and only that record is looked up: the
+    audit isn't joined to all transactions, and years without a newest record aren't read.
     """
+    order = F.struct("txn_date", "arrival")
+    newest = F.max_by("raw", order).alias("_raw") if audit is None else F.max_by(F.struct("fy", "dedup_hash"), order).alias("_key")
     per_account = txns.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("amount").alias("_sum"),
-        F.max_by("raw", F.struct("txn_date", "arrival")).alias("_raw"),
+        F.count(F.lit(1)).alias("transaction_count"), F.sum("amount").alias("_sum"), newest
     )
+    if audit is not None:
+        keyed = per_account.select("account_id", "transaction_count", "_sum", "_key.*")
+        raw = audit.select("fy", "dedup_hash", F.col("raw").alias("_raw"))
+        per_account = keyed.join(raw, ["fy", "dedup_hash"], "left").drop("fy", "dedup_hash")
     out = accounts.where("display").join(per_account, "account_id", "left")
     balance = F.coalesce(
         recorded_balance("_raw", "account_type").cast(TOTAL), F.col("_sum").cast(TOTAL), F.lit(0).cast(TOTAL)

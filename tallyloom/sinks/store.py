@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from tallyloom.config import Settings
 from tallyloom.functions import scalars as S
 from tallyloom.operators import fx as FX
+from tallyloom.operators.accounts import latest_balance
 from tallyloom.operators.normalize import Normalized, accepted, normalize, with_identity
 from tallyloom.operators.splits import compute_splits
 from tallyloom.plans.summaries import coverage
@@ -92,6 +93,10 @@ class Store:
         """Transactions with the raw record of each; both sides are unique in the identity."""
         return self.transactions().join(self.raw_audit().select("dedup_hash", "raw"), "dedup_hash", "left")
 
+    def balances(self, accounts: DataFrame) -> DataFrame:
+        """Visible accounts with transaction count and balance."""
+        return latest_balance(self.transactions(), accounts, self.raw_audit())
+
     # --- writing ---------------------------------------------------------------------------------------------------
 
     def known_hashes(self, years: tuple[int, ...], by_reference: bool) -> DataFrame:

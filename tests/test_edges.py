@@ -92,3 +92,16 @@ def test_files_without_header_are_seen(spark, tmp_path):
     other = put(tmp_path / "more", "bad.csv", "a,b\n1,2\n3,4\n")
     assert [r["reject_reason"] for r in CSV.read_airbnb_csv(spark, other).collect()] == ["no header row"]
     assert [r["reject_reason"] for r in CSV.read_paypal_csv(spark, other).collect()] == ["no header row"]
+
+
+def test_balances_look_up_only_the_newest_record(spark):
+    from tallyloom.operators.accounts import latest_balance
+
+    rows_ = [(f"a{i % 3}", f"h{i}", 2020 + i % 2, f"2025-01-{1 + i:02d}", i, "2.50", {"balance": f"{i}.00"}) for i in range(12)]
+    txns = spark.createDataFrame(rows_, "account_id string, dedup_hash string, fy int, d string, arrival long, a string, raw map<string,string>")
+    txns = txns.withColumns({"txn_date": F.to_date("d"), "amount": F.col("a").cast("decimal(18,2)")})
+    accounts = spark.createDataFrame([(f"a{i}", "checking", True) for i in range(4)], "account_id string, account_type string, display boolean")
+    columns = ("account_id", "transaction_count", "balance")
+    found = latest_balance(txns.drop("raw"), accounts, txns.select("fy", "dedup_hash", "raw"))
+    assert rows(found, *columns) == rows(latest_balance(txns, accounts), *columns)
+    assert rows(found, *columns)[0] == ("a0", "4", "9.00")
