@@ -30,10 +30,7 @@ PART_ROWS = 50_000
 
 
 def pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_OF_TEXT) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, row: full pieces and the rest of each document, ``end_id`` included.
-
-    ``row`` is a hash of the document's ids and key; it only spreads the rows.
-    """
+    """doc_id, start, length, ids_crc32, doc_tokens: full pieces and the rest of each document, ``end_id`` included."""
 
     def step(batch):
         bpe = load(path)

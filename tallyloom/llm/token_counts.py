@@ -20,14 +20,15 @@ from tallyloom.llm.bpe import load
 from tallyloom.llm.common import map_batches, texts_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-Sections = Callable[[str], "tuple[np.ndarray, list[str] | None]"]
+#: from a text to the starts of its sections, the first of them 0
+Sections = Callable[[str], np.ndarray]
 
 
-def lines(text: str) -> tuple[np.ndarray, None]:
+def lines(text: str) -> np.ndarray:
     """Starts of the lines; the line feed belongs to the line it ends."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     feeds = np.flatnonzero(codes == 10) + 1
-    return np.r_[0, feeds[feeds < len(codes)]], None
+    return np.r_[0, feeds[feeds < len(codes)]]
 
 
 def token_spans(text: str, ids: np.ndarray, token_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ def section_tokens(docs: DataFrame, path: str = VOCABULARY, sections: Sections =
         texts, keys = texts_of(batch), batch.column(0).to_pylist()
         parts: list[list] = [[] for _ in names]
         for key, text, ids in zip(keys, texts, bpe.encode(texts), strict=True):
-            begins, _ = sections(text)
+            begins = sections(text)
             counts = attribute(*token_spans(text, ids, bpe.token_bytes), begins)
             n = len(begins)
             for out, values in zip(
