@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import Settings
 from tallyloom.functions import scalars as S
-from tallyloom.operators.normalize import accepted, normalize, preview, with_identity
+from tallyloom.operators.normalize import accepted, normalize, preview
 from tallyloom.sinks.store import Outcome, Store
 from tallyloom.sources.openbanking import incremental_since, parse_openbanking, read_records
 from tallyloom.sources.registry import REGISTRY, Source, scan_staging, union_sources
@@ -90,8 +90,3 @@ def rebuild(
     if records is None:
         raise FileNotFoundError(f"no archived files below {archive}")
     return Store(spark, store_root).rebuild(records, settings, years=tuple(years), hooks=tuple(hooks))
-
-
-def identities(records: DataFrame) -> DataFrame:
-    """Identity and year of each record, e.g. to look a statement up in the store."""
-    return with_identity(records).select("dedup_hash", S.fy_of("txn_date").alias("fy"), "source_file")

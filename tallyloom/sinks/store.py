@@ -206,13 +206,6 @@ class Store:
         return fresh, coverage(fresh.transactions())
 
 
-def append_transactions(txns: DataFrame, path: str, known: DataFrame | None = None) -> DataFrame:
-    """Rows of ``txns`` that ``known`` does not have, appended by year; returns what was appended."""
-    fresh = txns if known is None else txns.join(known.select("dedup_hash"), "dedup_hash", "left_anti")
-    fresh.write.mode("append").partitionBy("fy").parquet(path)
-    return fresh
-
-
 def tag_bridge(txns: DataFrame) -> DataFrame:
     """(txn_id, tag), each pair once."""
     return txns.select("txn_id", F.explode(F.array_distinct("tags")).alias("tag"))
