@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import Settings
 from tallyloom.functions import scalars as S
-from tallyloom.operators.normalize import accepted, normalize, preview
+from tallyloom.operators.normalize import accepted, among, normalize, preview, with_identity
 from tallyloom.sinks.store import Outcome, Store
 from tallyloom.sources.openbanking import incremental_since, parse_openbanking, read_records
 from tallyloom.sources.registry import REGISTRY, Source, scan_staging, union_sources
@@ -29,12 +29,14 @@ def ingest(
     learned: DataFrame | None = None,
     hooks: Iterable[Hook] = (),
     registry: dict[str, Source] = REGISTRY,
+    batch_id: int = 0,
+    splits: bool = False,
 ) -> Outcome:
     """All staged files in one batch. Files stay where they are; the streaming ingest archives them."""
     records = scan_staging(spark, staging, only, registry)
     if records is None:
         return NOTHING
-    return Store(spark, store_root).ingest(records, settings, learned, hooks=hooks)
+    return Store(spark, store_root).ingest(records, settings, learned, batch_id=batch_id, hooks=hooks, splits=splits)
 
 
 def dry_run(
@@ -44,11 +46,13 @@ def dry_run(
     records = scan_staging(spark, staging, only)
     if records is None:
         return None
-    identified = accepted(records)
+    identified = with_identity(accepted(records))
     facts = identified.agg(
+        F.count(F.lit(1)).alias("n"),
         F.collect_set(S.fy_of("txn_date")).alias("years"), F.coalesce(F.bool_or(S.keyed_by_reference()), F.lit(False)).alias("by_reference")
     ).first()
-    known = Store(spark, store_root).known_hashes(tuple(sorted(facts["years"])), facts["by_reference"])
+    stored = Store(spark, store_root).known_hashes(tuple(sorted(facts["years"])), facts["by_reference"])
+    known = among(stored, identified, facts["n"])
     return preview(normalize(records, settings, known))
 
 

@@ -44,6 +44,21 @@ def unseen(records: DataFrame, known_hashes: DataFrame) -> DataFrame:
     return records.join(known_hashes.select("dedup_hash"), "dedup_hash", "left_anti")
 
 
+#: rows of a batch whose keys (64 characters each) are sent to every executor: some 20 MB
+SMALL_BATCH = 200_000
+
+
+def among(stored: DataFrame, batch: DataFrame, rows: int, key: str = "dedup_hash") -> DataFrame:
+    """Stored keys that a batch of so many rows can hold.
+
+    For a small batch the stored keys are filtered where they are read, by the batch's keys, so that what is shuffled
+    later has the size of the batch, not of the store. A large batch is worth a shuffle of the stored keys.
+    """
+    if rows > SMALL_BATCH:
+        return stored.select(key)
+    return stored.select(key).join(F.broadcast(batch.select(key)), key, "left_semi")
+
+
 @dataclass(frozen=True)
 class Normalized:
     """``new``: TXN rows with ``raw``; ``quarantined``: rejected records."""

@@ -27,11 +27,11 @@ from tallyloom.config import Settings
 from tallyloom.functions import scalars as S
 from tallyloom.operators import fx as FX
 from tallyloom.operators.accounts import latest_balance
-from tallyloom.operators.normalize import Normalized, accepted, normalize, with_identity
+from tallyloom.operators.normalize import Normalized, accepted, among, normalize, with_identity
 from tallyloom.operators.splits import compute_splits
 from tallyloom.plans.summaries import coverage
 from tallyloom.schema import FX_RATES, RAW_TXN, REJECT, SPLITS, TXN
-from tallyloom.session import scratch_path, written
+from tallyloom.session import removed, scratch_path
 
 AUDIT = T.StructType(
     [
@@ -113,15 +113,23 @@ class Store:
         return hashes
 
     def ingest(
-        self, records: DataFrame, settings: Settings, learned: DataFrame | None = None, *, batch_id: int = 0, hooks=()
+        self, records: DataFrame, settings: Settings, learned: DataFrame | None = None, *, batch_id: int = 0, hooks=(), splits: bool = False
     ) -> Outcome:
         """Add the unseen transactions of a batch, its audit rows, FX rates and rejected records.
 
         The parsed batch and the new rows are each written once to the shared scratch folder and read back from there:
         parsing happens once, a lost executor costs a re-read, and appending to the store cannot change the very plan
-        that looks for unseen rows.
+        that looks for unseen rows. Both copies are removed when all is appended; after a failure they stay. With
+        ``splits`` the shares of the new rows are added to the splits table as well.
         """
-        batch = written(with_identity(records), "parsed")
+        parsed, staging = (scratch_path(self.spark, n) for n in ("parsed", "ingest"))
+        with_identity(records).write.parquet(parsed)
+        batch = self.spark.read.schema(with_identity(records).schema).parquet(parsed)
+        outcome = self._add(batch, staging, settings, learned, batch_id, hooks, splits)
+        removed(self.spark, parsed, staging)
+        return outcome
+
+    def _add(self, batch: DataFrame, staging: str, settings: Settings, learned: DataFrame | None, batch_id: int, hooks, splits: bool) -> Outcome:
         identified = accepted(batch)
         facts = identified.agg(
             F.count(F.lit(1)).alias("n"),
@@ -132,21 +140,22 @@ class Store:
         self._reject(batch, batch_id)
         if not years:
             return Outcome(0, 0, ())
-        known = self.known_hashes(years, facts["by_reference"])
-        staged = self._stage(normalize(batch, settings, known, learned, batch_id=batch_id, hooks=hooks))
+        known = among(self.known_hashes(years, facts["by_reference"]), identified, facts["n"])
+        staged = self._stage(normalize(batch, settings, known, learned, batch_id=batch_id, hooks=hooks), staging)
         added = {r["fy"]: r["n"] for r in staged.groupBy("fy").agg(F.count(F.lit(1)).alias("n")).collect()}
         if added:
-            # the audit first: a repeat after a crash in between finds the transactions missing and writes both again
-            logged = self.raw_audit().where(F.col("fy").isin(*added)).select("dedup_hash")
+            # the transactions last: a repeat after a crash in between finds them missing and completes the rest
+            logged = among(self.raw_audit().where(F.col("fy").isin(*added)), staged, sum(added.values()))
             audit = staged.select(*AUDIT.names).join(logged, "dedup_hash", "left_anti").select(*AUDIT.names)
             audit.write.mode("append").partitionBy("fy").parquet(self.path("raw_audit"))
+            if splits:
+                self._add_splits(compute_splits(staged, settings.tax), tuple(added))
             staged.drop("raw").write.mode("append").partitionBy("fy").parquet(self.path("transactions"))
         self._add_fx(identified, batch_id)
         inserted = sum(added.values())
         return Outcome(inserted, facts["n"] - inserted, tuple(sorted(added)))
 
-    def _stage(self, result: Normalized) -> DataFrame:
-        path = scratch_path(self.spark, "ingest")
+    def _stage(self, result: Normalized, path: str) -> DataFrame:
         result.new.repartition("fy", F.pmod(F.xxhash64("dedup_hash"), F.lit(self._files_per_year()))).write.parquet(path)
         return self.spark.read.schema(result.new.schema).parquet(path)
 
@@ -163,10 +172,39 @@ class Store:
             return
         content = F.sha2(F.concat_ws("\x1f", "source_file", "date_raw", "description", REJECT, F.to_json("raw")), 256)
         bad = records.where(F.col(REJECT).isNotNull()).withColumns({"batch_id": F.lit(batch_id).cast("long"), "_content": content})
-        known = self.quarantined().select(content.alias("_content")).distinct()
+        n = bad.count()
+        if n == 0:
+            return
+        known = among(self.quarantined().select(content.alias("_content")), bad, n, "_content")
         fresh = bad.join(known, "_content", "left_anti").select(*QUARANTINE.names)
         fresh.write.mode("append").parquet(self.path("quarantine"))
 
+    def _add_splits(self, shares: DataFrame, years: tuple[int, ...]) -> None:
+        """Append the shares of new rows; a backfill of the year replaces them."""
+        known = self.splits().where(F.col("fy").isin(*years)).select("txn_id", "business")
+        fresh = shares.select(*SPLITS.names).join(known, ["txn_id", "business"], "left_anti").select(*SPLITS.names)
+        fresh.write.mode("append").partitionBy("fy").parquet(self.path("splits"))
+
+    def compact(self, rows_per_file: int = 5_000_000) -> "Store":
+        """A next version with the same rows, each year in as few files as its number of rows asks for.
+
+        Many small batches leave many small files. Readers are switched when all is written, so a failure or a reader in
+        between does no harm. Like an ingest, it must be the only writer.
+        """
+        fresh = Store(self.spark, self.root, self.version + 1)
+        counts = self.transactions().groupBy("fy").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per year
+        files = F.lit(1)
+        for row in counts:
+            files = F.when(F.col("fy") == row["fy"], F.lit(-(-row["n"] // rows_per_file))).otherwise(files)
+        for name, rows in (("transactions", self.transactions()), ("raw_audit", self.raw_audit())):
+            total = sum(-(-row["n"] // rows_per_file) for row in counts)
+            spread = rows.repartition(max(1, total), "fy", F.pmod(F.xxhash64("dedup_hash"), files))
+            spread.write.mode("overwrite").partitionBy("fy").parquet(fresh.path(name))
+        for name, schema, by in (("fx", FX_TABLE, []), ("splits", SPLITS, ["fy"]), ("quarantine", QUARANTINE, [])):
+            self._read(name, schema).write.mode("overwrite").partitionBy(*by).parquet(fresh.path(name))
+        fresh._commit_version()
+        return fresh
+
     def backfill_splits(self, settings: Settings, fy: int | None = None) -> int:
         """Recompute the splits of one year and replace that year's folder, also when none are left."""
         year = settings.tax.financial_year if fy is None else fy

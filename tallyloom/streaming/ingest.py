@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.config import Settings
@@ -35,7 +36,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start the stream of one source.
 
-    With ``archive``, files of a finished batch are moved there when a later batch runs. ``max_files`` bounds the
+    With ``archive``, files of a finished batch are moved there when a later batch runs (and by ``archive_committed``).
+    ``max_files`` bounds the
     files of one micro-batch; any division into batches gives the same table.
     """
     options: dict[str, object] = {}
@@ -54,6 +56,37 @@ def ingest_stream(
     return writer.queryName(f"ingest-{source.name}").start()
 
 
+def _bare(path: str | Column) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def archive_committed(spark: SparkSession, source: Source, staging: str, checkpoint: str, archive: str) -> int:
+    """Move the staged files of batches that are committed to the archive, below their own path, and count them.
+
+    A running stream moves files of a batch when a later one ends, so those of the last batch stay behind. Which files
+    were taken in is read from the stream's own log. Files are moved one by one by name only; a repeat moves the rest.
+    """
+    state = f"{checkpoint}/{source.name}"
+    last = spark.read.text(f"{state}/commits").agg(F.max(F.regexp_extract("_metadata.file_name", r"^(\d+)$", 1).cast("long"))).first()[0]
+    if last is None:
+        return 0
+    # the log numbers its entries itself; the committed batch names the last one that it covers
+    upto = spark.read.schema("logOffset long").json(f"{state}/offsets/{last}").agg(F.max("logOffset")).first()[0]
+    log = spark.read.schema("path string, batchId long").json(f"{state}/sources/0").where(F.col("path").isNotNull() & (F.col("batchId") <= F.lit(upto)))
+    taken = log.select(_bare(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("_bare")).distinct()
+    staged = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=source.glob).load(f"{staging}/{source.folder}")
+    waiting = staged.select("path", _bare("path").alias("_bare")).join(taken, "_bare", "left_semi").select("path", "_bare")
+    paths, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    moved = 0
+    for row in waiting.toLocalIterator():
+        source_path, target = paths.Path(row["path"]), paths.Path(f"{archive.rstrip('/')}{row['_bare']}")
+        system = source_path.getFileSystem(conf)
+        system.mkdirs(target.getParent())
+        moved += system.rename(source_path, target)
+    return moved
+
+
 def ingest_available(
     spark: SparkSession,
     staging: str,
@@ -63,17 +96,21 @@ def ingest_available(
     *,
     sources: Iterable[str] | None = None,
     registry: dict[str, Source] = REGISTRY,
+    archive: str | None = None,
     **options,
 ) -> None:
     """Take in everything that has landed, source by source in registry order, then stop.
 
-    One source at a time, because the first of two equal records is the one of the earlier source.
+    One source at a time, because the first of two equal records is the one of the earlier source. With ``archive``, all
+    files that were taken in, those of the last batch too, are moved there at the end.
     """
     for name in registry if sources is None else sources:
         try:
-            query = ingest_stream(spark, registry[name], staging, store_root, settings, checkpoint, **options)
+            query = ingest_stream(spark, registry[name], staging, store_root, settings, checkpoint, archive=archive, **options)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             continue
         query.awaitTermination()
+        if archive is not None:
+            archive_committed(spark, registry[name], staging, checkpoint, archive)

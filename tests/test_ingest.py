@@ -142,11 +142,14 @@ def test_stream_equals_batch_and_archives(spark, settings, tmp_path):
 
     assert content(stream_root) == content(batch_root)
     assert Store(spark, stream_root).quarantined().count() == 1
+    archived = [p.name for p in (tmp_path / "archive").rglob("*.[cC]*[vV]")]
+    assert sorted(archived) == ["a.csv", "b.CSV"] and not list((tmp_path / "staging").rglob("*.[cC]*[vV]"))
     stage(tmp_path, "c.csv", ("05/02/2025", "LATE", "7.00"))
     ingest_available(spark, staging, stream_root, settings, check, archive=archive)
     assert len(content(stream_root)) == 3
-    assert list((tmp_path / "archive").rglob("*.[cC]*[vV]"))
-    store, coverage = jobs.rebuild(spark, staging, batch_root, settings, years=(2025,))
+    assert len(list((tmp_path / "archive").rglob("*.[cC]*[vV]"))) == 3
+    archived = next(p for p in (tmp_path / "archive").rglob("staging") if p.is_dir())
+    store, coverage = jobs.rebuild(spark, str(archived), batch_root, settings, years=(2025,))
     assert store.version == 1 and Store(spark, batch_root).version == 1
     assert coverage.first()["total"] == store.transactions().count()
 
@@ -162,3 +165,42 @@ def test_backfill_replaces_a_year_even_when_empty(spark, settings, make_records)
     assert store.splits().count() == 1
     assert store.backfill_splits(replace(settings, tax=TaxConfig()), 2025) == 0
     assert store.splits().count() == 0
+
+
+def test_small_batch_is_matched_without_a_shuffle_of_the_store(spark, make_records, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    batch = N.with_identity(make_records(("A",), ("B",)))
+    wide = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("dedup_hash"))
+    wide.union(batch.where("description = 'A'").select("dedup_hash")).write.parquet(store.path("stored"))
+    stored = spark.read.parquet(store.path("stored"))
+    small = N.among(stored, batch, 2)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert small.count() == 1
+    monkeypatch.setattr(N, "SMALL_BATCH", 1)
+    assert N.among(stored, batch, 2).count() == 1001
+    assert [r["description"] for r in N.unseen(batch, N.among(stored, batch, 2)).collect()] == ["B"]
+
+
+def test_ingest_with_splits_leaves_no_scratch_and_compacts(spark, settings, make_records, tmp_path):
+    from pathlib import Path
+
+    from tallyloom.session import scratch_root
+
+    store = Store(spark, str(tmp_path / "store"))
+    before = set(Path(scratch_root(spark).removeprefix("file:")).glob("*"))
+    for i in range(3):
+        rows = make_records((f"GITHUB {i}", "-10.00", "coles", "f", None, "2024-10-15"), (f"GITHUB {i}", "-7.00", "coles", "f", None, "2023-10-15"))
+        store.ingest(rows, settings, batch_id=i, splits=True)
+        store.ingest(rows, settings, batch_id=i, splits=True)
+    assert set(Path(scratch_root(spark).removeprefix("file:")).glob("*")) == before
+    assert store.splits().count() == 6
+    columns = ("dedup_hash", "amount", "fy")
+
+    def content(s):
+        return sorted(map(tuple, s.with_raw().select(*columns, F.map_values("raw")).collect()))
+
+    fresh = store.compact()
+    assert content(fresh) == content(store) and Store(spark, store.root).version == fresh.version
+    assert fresh.splits().count() == 6
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "store" / "v1" / "transactions").glob("fy=*"))
