@@ -306,6 +306,11 @@ def work_trips(trips: DataFrame, expenses: DataFrame, fy: int | None = None) ->
     ).orderBy("start_date", "trip_id")
 
 
+def by_prefixed_type() -> Column:
+    """Expense sums of a trip by ``type: <name>``, so that a type named 'total' is not the total."""
+    return F.transform_keys("by_type", lambda k, _: F.concat(F.lit("type: "), F.coalesce(k, F.lit(""))))
+
+
 def tax_return(
     txns: DataFrame,
     tax: TaxConfig,
@@ -319,6 +324,7 @@ def tax_return(
 ) -> DataFrame:
     """The whole return in long form (section, item, label, amount).
 
+    A trip has its total and a line per expense type.
     Salary and interest leave loan accounts out, the schedules do not. Overrides are listed, not applied. The last
     manual entry named 'Tax withheld' counts.
     """
@@ -342,9 +348,10 @@ def tax_return(
     if entry is not None:
         weeks, pct, rate = (F.lit(str(v)) for v in (entry.weeks, entry.allocation_pct, tax.wfh_rate))
         _, amount = wfh_amount(weeks.cast("decimal(7,2)"), pct.cast(PCT), rate.cast("decimal(7,4)"))
-        lines.append(_line("deduction", "wfh", "amount", amount))
+        worked = (_money(entry.weeks), _money(entry.allocation_pct), amount)
     else:
-        lines.append(_line("deduction", "wfh", "amount", _money(0)))
+        worked = (_money(0), _money(0), _money(0))
+    lines += [_line("deduction", "wfh", n, v) for n, v in zip(("weeks", "allocation_pct", "amount"), worked, strict=True)]
     lines += [_line("manual", m.section, m.label, _money(m.amount)) for m in manual]
     if tax.spouse_name is not None:
         lines.append(_line("spouse", tax.spouse_name, "taxable_income", _money(tax.spouse_income or 0)))
@@ -352,11 +359,9 @@ def tax_return(
     out = (base if one_row is None else _combine(base, one_row)).select(F.inline(F.array(*lines)))
     if trips is not None and trip_expenses is not None:
         per_trip = work_trips(trips, trip_expenses, fy)
-        out = out.unionByName(
-            per_trip.select(
-                F.lit("work_trip").alias("section"), F.col("name").alias("item"), F.lit("total").alias("label"), "total"
-            ).withColumnRenamed("total", "amount")
-        )
+        sums = F.map_concat(F.create_map(F.lit("total"), F.col("total")), by_prefixed_type())
+        listed = per_trip.select(F.lit("work_trip").alias("section"), F.col("name").alias("item"), F.explode(sums).alias("label", "amount"))
+        out = out.unionByName(listed)
     if overrides is not None:
         out = out.unionByName(
             overrides.where(F.col("fy") == fy).select(

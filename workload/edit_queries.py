@@ -8,7 +8,7 @@ from tallyloom.operators import edits as E
 from tallyloom.operators import holdings as H
 from tallyloom.operators import rules as RULES
 from tallyloom.operators import splits as SP
-from tallyloom.plans import tax
+from tallyloom.plans import dims, tax
 from tallyloom.sinks import store as ST
 from workload import model as M
 from workload import sqlmodel as Q
@@ -87,14 +87,17 @@ def e04(spark, d):
     return out.select("txn_id", "business", "business_pct", "business_amount")
 
 
-@query(
-    "E05_tax_overrides",
-    f"""WITH {Q.EVENTS}, o AS (SELECT 1990 + user_id % 9 AS fy, CASE WHEN user_id % 2 = 0 THEN 'income' ELSE 'deduction' END AS section,
-      concat('L', CAST(user_id % 31 AS VARCHAR)) AS label, seq, value AS amount, event_type = 'error' AS deleted FROM log)
-    SELECT fy, section, label, {Q.money('amount', 'amount')} FROM
-      (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY fy, section, label ORDER BY seq DESC) = 1) WHERE NOT deleted""",
-)
+TAX_OVERRIDES = """ol AS (SELECT 1990 + user_id % 9 AS fy, CASE WHEN user_id % 2 = 0 THEN 'income' ELSE 'deduction' END AS section,
+      concat('L', CAST(user_id % 31 AS VARCHAR)) AS label, seq, value AS amount, event_type = 'error' AS deleted FROM log),
+    ov AS (SELECT * FROM (SELECT * FROM ol QUALIFY row_number() OVER (PARTITION BY fy, section, label ORDER BY seq DESC) = 1) WHERE NOT deleted)"""
+
+
+@query("E05_tax_overrides", f"WITH {Q.EVENTS}, {TAX_OVERRIDES} SELECT fy, section, label, {Q.money('amount', 'amount')} FROM ov")
 def e05(spark, d):
+    return _tax_overrides(spark, d).select("fy", "section", "label", "amount")
+
+
+def _tax_overrides(spark, d):
     user = F.col("user_id")
     log = M.edit_log(spark, d).select(
         (user % 9 + 1990).alias("fy"),
@@ -104,14 +107,15 @@ def e05(spark, d):
         F.col("value").alias("amount"),
         (F.col("event_type") == "error").alias("deleted"),
     )
-    return E.tax_overrides(log).select("fy", "section", "label", "amount")
+    return E.tax_overrides(log)
 
 
-TRIPS = f"""{Q.EVENTS}, tl AS (SELECT 1990 + user_id % 9 AS fy, concat('Trip ', CAST(user_id AS VARCHAR)) AS name, seq AS trip_id, seq,
+TRIP_TABLES = """tl AS (SELECT 1990 + user_id % 9 AS fy, concat('Trip ', CAST(user_id AS VARCHAR)) AS name, seq AS trip_id, seq,
       event_date AS start_date, event_type = 'error' AS deleted FROM log WHERE event_type IN ('signup', 'error')),
     trips AS (SELECT * FROM (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY fy, name ORDER BY seq DESC) = 1) WHERE NOT deleted),
     ex AS (SELECT l_orderkey % (SELECT count(*) FROM events) AS trip_id, CASE l_linenumber % 3 WHEN 0 THEN 'flights' WHEN 1 THEN 'meals' ELSE 'car' END
       AS expense_type, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem)"""
+TRIPS = f"{Q.EVENTS}, {TRIP_TABLES}"
 
 
 def _trips(spark, d):
@@ -173,6 +177,53 @@ def q10(spark, d):
     return tax.work_trips(trips, expenses, 1994).select("name", "start_date", "total")
 
 
+def _shares(spark, d):
+    """Splits table with the overrides of the log applied."""
+    txns = M.txns(spark, d)
+    return txns, E.apply_split_overrides(SP.compute_splits(txns, M.TAX), _override_log(spark, d), txns, M.TAX)
+
+
+@query(
+    "Q11b_tax_return_parts",
+    f"""WITH {OVERRIDES}, {TAX_OVERRIDES}, {TRIP_TABLES},
+    now AS (SELECT s.txn_id, s.business, s.business_amount FROM splits s WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.txn_id = s.txn_id AND l.business = s.business)
+      UNION ALL SELECT l.txn_id, l.business, ROUND(t.amount * l.pct * 0.01::DECIMAL(3,2), 2) FROM last l JOIN txn t ON t.txn_id = l.txn_id WHERE l.pct <> 0),
+    spent AS (SELECT business, SUM(business_amount) AS amount FROM now JOIN txn USING (txn_id) WHERE txn_date BETWEEN DATE '1997-07-01' AND DATE '1998-06-30' GROUP BY 1),
+    tt AS (SELECT t.trip_id, t.name, e.expense_type, e.amount FROM trips t LEFT JOIN ex e ON e.trip_id = t.trip_id WHERE t.fy = {M.FY})
+    SELECT 'business' AS section, business AS item, 'expenses' AS label, CAST(amount AS DOUBLE) AS amount FROM spent
+    UNION ALL SELECT 'override', section, label, {Q.money('amount', 'amount')} FROM ov WHERE fy = {M.FY}
+    UNION ALL SELECT 'work_trip', name, 'total', CAST(COALESCE(SUM(amount), 0) AS DOUBLE) FROM tt GROUP BY trip_id, name
+    UNION ALL SELECT 'work_trip', name, concat('type: ', expense_type), CAST(SUM(amount) AS DOUBLE) FROM tt WHERE expense_type IS NOT NULL GROUP BY trip_id, name, expense_type
+    UNION ALL SELECT 'deduction', 'wfh', 'weeks', 48 UNION ALL SELECT 'deduction', 'wfh', 'allocation_pct', 100 UNION ALL SELECT 'deduction', 'wfh', 'amount', 1222.08""",
+)
+def q11b(spark, d):
+    """The lines of the return that come from a splits table, trips, overrides and the home office."""
+    txns, shares = _shares(spark, d)
+    trips, expenses = _trips(spark, d)
+    out = tax.tax_return(txns, M.TAX, M.FY, splits=shares, trips=trips, trip_expenses=expenses, overrides=_tax_overrides(spark, d))
+    return out.where(F.col("section").isin("override", "work_trip", "deduction") | ((F.col("section") == "business") & (F.col("label") == "expenses")))
+
+
+@query("Q14b_trips_list", f"WITH {TRIPS} SELECT trip_id, name, fy, strftime(start_date, '%Y-%m-%d') AS start_date FROM trips")
+def q14b(spark, d):
+    return dims.list_trips(_trips(spark, d)[0]).select("trip_id", "name", "fy", "start_date")
+
+
+@query("Q14c_overrides_list", f"WITH {Q.EVENTS}, {TAX_OVERRIDES} SELECT fy, section, label, {Q.money('amount', 'amount')} FROM ov")
+def q14c(spark, d):
+    return dims.list_overrides(_tax_overrides(spark, d)).select("fy", "section", "label", "amount")
+
+
+@query(
+    "Q14d_categories_list",
+    f"""WITH {Q.TXN}, c AS (SELECT category, COUNT(*) AS n FROM txn GROUP BY 1) SELECT category, n FROM c""",
+)
+def q14d(spark, d):
+    """Categories in use, from the transactions, in the order of the list."""
+    used = M.txns(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return dims.list_categories(used)
+
+
 @query(
     "H01_holding_upsert",
     f"""WITH {Q.EVENTS} SELECT concat('H', CAST(user_id AS VARCHAR)) AS name, seq, {Q.money('value', 'cost_basis')} FROM log

@@ -577,16 +577,22 @@ def x01(spark, d):
     return Store(spark, store).transactions().select("txn_date", "description", "amount")
 
 
-@query("K06_archive_inputs", f"WITH {Q.RAW} SELECT DISTINCT {DAY}, description, {AMT} FROM raw")
+@query(
+    "K06_archive_inputs",
+    f"""WITH {Q.RAW}, k AS (SELECT DISTINCT {DAY}, description, {AMT} FROM raw)
+      SELECT 'store' AS place, k.* FROM k UNION ALL SELECT 'archive', k.* FROM k""",
+)
 def k06(spark, d):
-    """Two runs of one stream; files of the first are moved to the archive when the second runs."""
-    staging, store, check = (scratch_path(spark, n) for n in ("staging", "store", "check"))
+    """Two runs of one stream; the files of both stand in the archive afterwards and none in staging."""
+    staging, store, check, archive = (scratch_path(spark, n) for n in ("staging", "store", "check", "archive"))
     rows = M.raw(spark, d)
     border = F.lit(dt.date(1998, 1, 1))
     for i, part in enumerate((rows.where(F.col("txn_date") < border), rows.where(F.col("txn_date") >= border))):
         M.write_csv(M.amex_csv_rows(part), f"{staging}/amex/run{i}")
-        ingest_available(spark, staging, store, M.SETTINGS, check, sources=("amex",), archive=scratch_path(spark, "archive"))
-    return Store(spark, store).transactions().select("txn_date", "description", "amount")
+        ingest_available(spark, staging, store, M.SETTINGS, check, sources=("amex",), archive=archive)
+    columns = ("txn_date", "description", "amount")
+    places = {"store": Store(spark, store).transactions(), "archive": CSV.read_amex_csv(spark, archive), "staging": CSV.read_amex_csv(spark, staging)}
+    return REG.union_sources([rows.select(*columns).distinct().select(F.lit(place).alias("place"), *columns) for place, rows in places.items()])
 
 
 @query("X02_dedup_across_batches", f"WITH {Q.RAW} SELECT DISTINCT {DAY}, description, {AMT} FROM raw")

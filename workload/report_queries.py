@@ -736,6 +736,8 @@ OTHER_LINES = [
     ("income", "", "salary", "salary"),
     ("income", "", "interest", "0"),
     ("income", "", "tax_withheld", "51000"),
+    ("deduction", "wfh", "weeks", "48"),
+    ("deduction", "wfh", "allocation_pct", "100"),
     ("deduction", "wfh", "amount", "1222.08"),
     ("manual", "income", "Tax withheld", "50000"),
     ("manual", "deduction", "Union fees", "310.20"),
