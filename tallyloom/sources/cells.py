@@ -7,7 +7,10 @@ column orders or layouts. A field is then ``cell at the position of its name``,
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +61,37 @@ def _rows(df: DataFrame) -> DataFrame:
     )
 
 
-def read_cells(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool = True) -> DataFrame:
+def files_with_open_quotes(lines: DataFrame) -> list[str]:
+    """Files of a text frame in which a line has an odd number of quotes, as one before a quoted newline has.
+
+    Names are those of ``DataFrame.inputFiles``.
+    """
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return [r["file"] for r in lines.where(odd).select(F.input_file_name().alias("file")).distinct().toLocalIterator()]
+
+
+def read_cells(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """Rows of all CSV files below a path: file, block, seq, cells.
 
-    With ``multi_line`` a file is one split, as quoted newlines require; without it large files are split.
+    With ``multi_line`` a file is one split, as quoted newlines require; without it large files are split. By default
+    one pass over the lines tells which files need it; the others are split. The driver sees names of files, as it does
+    when Spark lists them.
     """
-    return with_seq(_rows(_options(spark.read, glob, multi_line).csv(path)))
+    if multi_line is not None:
+        return with_seq(_rows(_options(spark.read, glob, multi_line).csv(path)))
+    text = spark.read.option("recursiveFileLookup", True)
+    lines = (text.option("pathGlobFilter", glob) if glob else text).text(path)
+    whole = files_with_open_quotes(lines)
+    if not whole:
+        return read_cells(spark, path, glob, multi_line=False)
+    rest = sorted(set(lines.inputFiles()) - set(whole))
+    parts = [_rows(_options(spark.read, None, m).csv([_plain(f) for f in files])) for files, m in ((rest, False), (sorted(whole), True)) if files]
+    return with_seq(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def _plain(uri: str) -> str:
+    """Path of a file by its URI; characters that a glob would read as its own are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def stream_cells(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool = True, **options) -> DataFrame:
@@ -105,9 +133,9 @@ def with_header(rows: DataFrame, rule: HeaderRule) -> DataFrame:
     """
     headers = rows.where(rule.is_header(F.col("cells"))).select("file", "cells", position().alias("_at"))
     names = headers.groupBy("file").agg(trimmed(F.min_by("cells", "_at")).alias("names"))
-    per_file = rows.groupBy("file").agg(F.min("seq").alias("_start")).join(names, "file", "left")
+    per_file = rows.groupBy("file").agg(F.min(position()).alias("_start")).join(names, "file", "left")
     data = hot_key_join(rows.where(~rule.is_header(F.col("cells"))), per_file, ["file"], "inner")
-    return data.where(F.col("names").isNotNull() | (F.col("seq") == F.col("_start"))).drop("_start")
+    return data.where(F.col("names").isNotNull() | (position() == F.col("_start"))).drop("_start")
 
 
 def trimmed(names: Column) -> Column:

@@ -103,19 +103,21 @@ def _airbnb_header(rows: DataFrame) -> DataFrame:
     """
     line = F.lower(F.array_join("cells", ","))
     score = sum((line.contains(w).cast("int") for w in AIRBNB_WORDS), F.lit(0))
-    scored = rows.select("file", "seq", F.when(line.contains("date") | (score >= AIRBNB_MIN_WORDS), F.col("cells")).alias("cells"), score.alias("score"))
-    starts = scored.groupBy("file").agg(F.min("seq").alias("_start"))
+    scored = rows.select("file", C.position().alias("at"), F.when(line.contains("date") | (score >= AIRBNB_MIN_WORDS), F.col("cells")).alias("cells"), score.alias("score"))
+    starts = scored.groupBy("file").agg(F.min("at").alias("_start"))
     likely = hot_key_join(scored.where(F.col("cells").isNotNull()), starts, ["file"], "inner")
-    hit = (F.col("score") >= AIRBNB_MIN_WORDS) & (F.col("seq") < F.col("_start") + AIRBNB_HEADER_LINES)
-    best = likely.where(hit | (F.col("seq") == F.col("_start"))).groupBy("file").agg(
-        F.min_by("cells", F.struct((~hit).cast("int"), F.col("seq"))).alias("names"),
-        F.min(F.struct((~hit).cast("int").alias("k"), F.col("seq").alias("s"))).alias("_at"),
+    hit = (F.col("score") >= AIRBNB_MIN_WORDS) & (F.col("at.block") == F.col("_start.block")) & (
+        F.col("at.seq") < F.col("_start.seq") + AIRBNB_HEADER_LINES
+    )
+    best = likely.where(hit | (F.col("at") == F.col("_start"))).groupBy("file").agg(
+        F.min_by("cells", F.struct((~hit).cast("int"), F.col("at"))).alias("names"),
+        F.min(F.struct((~hit).cast("int").alias("k"), F.col("at").alias("s"))).alias("_at"),
     )
     names = C.trimmed(F.col("names"))
     lowered = F.transform(names, lambda n: F.lower(n))
-    found = best.select("file", names.alias("names"), lowered.alias("_lowered"), F.col("_at.s").alias("_at_seq"))
+    found = best.select("file", names.alias("names"), lowered.alias("_lowered"), F.col("_at.s").alias("_found_at"))
     every = starts.join(found, "file", "left")
-    return every.select("file", "names", "_lowered", F.coalesce("_at_seq", "_start").alias("_header_seq"))
+    return every.select("file", "names", "_lowered", F.coalesce("_found_at", "_start").alias("_header_at"))
 
 
 def _aliased(canonical: str) -> Column:
@@ -128,18 +130,18 @@ def _aliased(canonical: str) -> Column:
 def parse_airbnb(rows: DataFrame, rank: int = 1) -> DataFrame:
     """Payouts: net if it is not zero, else gross; zero rows are dropped. A file without a date column is one rejected row."""
     data = hot_key_join(rows, _airbnb_header(rows), ["file"], "inner")
-    data = data.where(F.col("seq") >= F.col("_header_seq"))
+    data = data.where(C.position() >= F.col("_header_at"))
     date = _aliased("date")
     parsed = S.parse_dmy2(date)
     net, gross, fee = (S.parse_amount_strict(_aliased(n)) for n in ("net", "gross", "host_fee"))
     amount = F.when(net != 0, net).when(net.isNotNull(), gross)
     unreadable = F.when(net.isNull() | gross.isNull() | fee.isNull(), F.lit("unreadable amount"))
     parts = [F.nullif(_aliased(n), F.lit("")) for n in ("type", "listing", "guest")]
-    listed = (F.col("seq") > F.col("_header_seq")) & (date != "")
+    listed = (C.position() > F.col("_header_at")) & (date != "")
     headless = F.lit(True)
     for alias in AIRBNB_ALIASES["date"]:
         headless = headless & F.coalesce(~F.array_contains("_lowered", alias), F.lit(True))
-    data = data.where(F.when(headless, F.col("seq") == F.col("_header_seq")).otherwise(listed & (unreadable.isNotNull() | (amount != 0))))
+    data = data.where(F.when(headless, C.position() == F.col("_header_at")).otherwise(listed & (unreadable.isNotNull() | (amount != 0))))
     return data.select(
         *C.record(
             txn_date=parsed,

@@ -105,3 +105,25 @@ def test_balances_look_up_only_the_newest_record(spark):
     found = latest_balance(txns.drop("raw"), accounts, txns.select("fy", "dedup_hash", "raw"))
     assert rows(found, *columns) == rows(latest_balance(txns, accounts), *columns)
     assert rows(found, *columns)[0] == ("a0", "4", "9.00")
+
+
+def test_large_csv_files_are_split_and_quoted_newlines_read_whole(spark, tmp_path):
+    from tallyloom.sources import cells
+
+    head = "Date,Description,Credit,Debit\n"
+    put(tmp_path / "ing", "plain [1] ä.csv", head + "".join(f'01/02/2025,"Shop, {i}",{i}.50,\n' for i in range(1, 400)))
+    path = put(tmp_path / "ing", "quoted %41+.csv", head + '01/02/2025,"two\nlines",7.00,\n01/02/2025,"""x""",8.00,\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        split = cells.read_cells(spark, path)
+        assert split.select("file", "block").distinct().count() > 3
+        got = rows(CSV.read_ing_csv(spark, path), "description", "amount", "reject_reason")
+        airbnb = put(tmp_path / "air", "a.csv", "note\nDate,Type,Amount,Paid out\n" + "".join(f"01/31/2025,Payout,{i},{i}\n" for i in range(1, 600)))
+        assert len(rows(CSV.read_airbnb_csv(spark, airbnb), "amount")) == 599
+        headless = put(tmp_path / "none", "a.csv", "a,b\n" * 3000)
+        assert rows(CSV.read_ing_csv(spark, headless), "reject_reason") == [("no header row",)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = rows(CSV.parse_ing(cells.read_cells(spark, path, multi_line=True)), "description", "amount", "reject_reason")
+    assert sorted(got) == sorted(whole) and len(got) == 401 and ("two\nlines", "7.00", "None") in got
