@@ -20,6 +20,8 @@ from itertools import repeat
 
 import numpy as np
 import regex
+from tokenizers import Regex, normalizers
+from tokenizers.pre_tokenizers import Split
 
 from tallyloom.llm.common import by_size
 
@@ -28,16 +30,39 @@ NONE = np.iinfo(np.int32).max
 SPACE_CLASS, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
+#: the planes that hold letters and numbers; nothing beyond is either, in any version of Unicode
+PLANES = [*range(0xD800), *range(0xE000, 0x40000)]
+
+
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of each code point: white space, letter, number, other."""
+    """Class of each code point: white space, letter, number, other.
+
+    As the tokenizers library sees them: its Unicode version isn't that of Python or of the regex module.
+    """
     out = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    where = np.array(points)
+    where, every = np.array(PLANES), "".join(map(chr, PLANES))
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE_CLASS, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[where[m.start() : m.end()]] = kind
+        for _, (begin, end) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            out[where[begin:end]] = kind
+    return out
+
+
+@lru_cache(1)
+def versioned() -> np.ndarray:
+    """Whether a code point may normalise or lower-case otherwise in one Unicode version than in another.
+
+    Those that Python doesn't know may, and those younger than Unicode 3.2 that combine, decompose, take part in a
+    composition or have a lower case. For all others both are stable.
+    """
+    out = np.ones(0x110000, bool)
+    texts = list(map(chr, PLANES))
+    parts = {chr(int(h, 16)) for t in texts for h in unicodedata.decomposition(t).split() if h[0] != "<"}
+    out[PLANES] = [
+        unicodedata.ucd_3_2_0.category(t) == "Cn"
+        and (unicodedata.category(t) == "Cn" or t in parts or t.lower() != t or unicodedata.combining(t) > 0 or unicodedata.decomposition(t) != "")
+        for t in texts
+    ]
     return out
 
 
@@ -62,6 +87,7 @@ class Bpe:
         vocab, model = spec["model"]["vocab"], spec["model"]
         suffix = model["end_of_word_suffix"] or ""
         self.lower = spec["normalizer"] is not None
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.size = max([*vocab.values(), *self.specials.values()]) + 1
@@ -259,6 +285,8 @@ class Bpe:
             return text
         if text.isascii():
             return text.lower()
+        if versioned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return self.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def encode_segments(self, segments: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -39,6 +39,18 @@ def test_encoding_equals_the_library(name):
         assert all(bpe.decode(i) == lib.decode(i, skip_special_tokens=False) for i in want)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_every_code_point_equals_the_library(name):
+    bpe, lib = Bpe(public_tokenizers.path(name)), library(name)
+    points = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200)]
+    texts = [f"a{chr(c)}1\u0301{chr(c)}! {chr(c)}\u0327b" for c in points]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = lib.encode_batch(part, add_special_tokens=False)
+        wrong = [t for t, e, i in zip(part, want, bpe.encode(part), strict=True) if e.ids != i.tolist()]
+        assert not wrong, (len(wrong), [ascii(t) for t in wrong[:5]])
+
+
 def test_long_words_by_queue_equal_the_rounds():
     bpe = Bpe(public_tokenizers.path(FILES[1]))
     word = b"thethetheabababa" * 20
