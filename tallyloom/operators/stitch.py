@@ -36,6 +36,9 @@ class Layout:
     extra: Callable[[Column], Column] | None = None
     #: whether statement values may stand on the line after their label
     looks_ahead: bool = False
+    #: lines from the top in which a bare year counts, and the year of statements that print none
+    year_lines: int = 30
+    default_year: str = "2025"
 
 
 def _starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
@@ -124,8 +127,6 @@ DOLLARS = r"\$[\d,]+\.\d{2}"
 THREE = r"([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s*$"
 TWO = r"([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s*$"
 ONE = r"(-?[\d,]+\.\d{2})\s*$"
-DEFAULT_YEAR = "2025"
-YEAR_LINES = 30
 
 ING = Layout(
     "ing",
@@ -303,8 +304,8 @@ def closing_balance_of(pattern: str = r"Closing Balance\s+\$?([\d,]+\.\d{2})") -
     return _first_match(_two_lines(), pattern)
 
 
-def _early_year(skip: Column | None = None) -> Column:
-    early = F.col("line_no") <= YEAR_LINES
+def _early_year(layout: Layout, skip: Column | None = None) -> Column:
+    early = F.col("line_no") <= layout.year_lines
     usable = early if skip is None else early & ~skip
     return _first_match(F.when(usable, F.col("text")).otherwise(""), r"\b(20\d{2})\b")
 
@@ -326,41 +327,43 @@ def near_period(parsed: Column, start_month: Column | None = None, end_month: Co
     return F.when(free & (F.month(parsed) > end_month), F.add_months(parsed, -12)).otherwise(parsed)
 
 
-def hsbc_attributes(marked: DataFrame) -> DataFrame:
+def _dated(facts: DataFrame, layout: Layout) -> DataFrame:
+    """The default year where a statement prints none; ``year_assumed`` tells."""
+    return facts.withColumns({"year": F.coalesce("year", F.lit(layout.default_year)), "year_assumed": F.col("year").isNull()})
+
+
+def hsbc_attributes(marked: DataFrame, layout: Layout = HSBC) -> DataFrame:
     """Per file: year and month of the period's start, closing balance, whether there is a balance column."""
     lower = F.lower("text")
-    return marked.groupBy("file").agg(
-        F.coalesce(
-            _first_match(_two_lines(), HSBC_PERIOD, 3),
-            _early_year(),
-            F.lit(DEFAULT_YEAR),
-        ).alias("year"),
+    facts = marked.groupBy("file").agg(
+        F.coalesce(_first_match(_two_lines(), HSBC_PERIOD, 3), _early_year(layout)).alias("year"),
         F.month(
             F.try_to_date(F.concat(F.lit("1 "), _first_match(_two_lines(), HSBC_PERIOD, 2), F.lit(" 2000")), "d MMM yyyy")
         ).alias("start_month"),
         closing_balance_of().alias("closing_balance"),
         (F.max(lower.contains("balance")) & F.max(lower.contains("debit") | lower.contains("credit"))).alias("has_balance"),
     )
+    return _dated(facts, layout)
 
 
 #: fixed values: month names as printed
 MONTH_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
-def coles_attributes(marked: DataFrame) -> DataFrame:
+def coles_attributes(marked: DataFrame, layout: Layout = COLES) -> DataFrame:
     """Per file: year and month of the period's end, closing balance."""
     short = _first_match(_two_lines(), COLES_PERIOD, 3)
-    return marked.groupBy("file").agg(
+    facts = marked.groupBy("file").agg(
         F.coalesce(
             F.concat(F.lit("20"), short),
             _first_match(_two_lines(), r"(?i)Statement\s+(?:Ends|Period)[:\s]+.*?(\d{4})"),
             _first_match(_two_lines(), rf"(?:{MONTH_NAMES})\s+(20\d{{2}})"),
-            _early_year(F.col("text").rlike(r"\d{4}\s+\d{4}\s+\d{4}")),
-            F.lit(DEFAULT_YEAR),
+            _early_year(layout, F.col("text").rlike(r"\d{4}\s+\d{4}\s+\d{4}")),
         ).alias("year"),
         _first_match(_two_lines(), COLES_PERIOD, 2).cast("int").alias("end_month"),
         closing_balance_of().alias("closing_balance"),
     )
+    return _dated(facts, layout)
 
 
 # --- amounts -------------------------------------------------------------------------------------------------------------
@@ -480,6 +483,12 @@ def _card_raw(parsed: Column, description: Column, amount: Column, *more: Column
     )
 
 
+def _year_marked(raw: Column) -> Column:
+    """The raw audit says so where the year of a date is an assumption."""
+    assumed = F.col("year_assumed") & ~F.col("date_text").rlike(PRINTED_YEAR)
+    return F.when(assumed, F.map_concat(raw, F.create_map(F.lit("year"), F.lit("assumed")))).otherwise(raw)
+
+
 def hsbc_amount(text: Column, has_balance: Column) -> Column:
     """struct(amount, balance, rest): debit, credit and balance; amount and balance, or debit and credit; or one signed amount."""
 
@@ -513,7 +522,7 @@ def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC, *, infer_year: bool = F
     marked = mark_lines(lines, layout)
     members = with_rest(in_section(marked, layout), layout)
     found = with_parts(entries(members, until=F.col("rest").rlike(ONE), more=("rest",)), layout)
-    found = hot_key_join(found, hsbc_attributes(marked), ["file"])
+    found = hot_key_join(found, hsbc_attributes(marked, layout), ["file"])
     found = found.withColumn("_hit", hsbc_amount(F.element_at("parts", -1), F.col("has_balance")))
     before = F.slice("parts", F.lit(1), F.size("parts") - 1)
     description = _joined(F.concat(before, F.array(F.col("_hit.rest"))))
@@ -521,7 +530,7 @@ def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC, *, infer_year: bool = F
     parsed = near_period(parsed, start_month=F.col("start_month")) if infer_year else parsed
     amount = F.col("_hit.amount")
     raw = _card_raw(parsed, description, amount, F.lit("balance"), F.coalesce(F.col("_hit.balance").cast("string"), F.lit("None")))
-    return _records(found, layout, parsed, description, amount, raw)
+    return _records(found, layout, parsed, description, amount, _year_marked(raw))
 
 
 def coles_amount(text: Column) -> Column:
@@ -549,7 +558,7 @@ def stitch_coles(lines: DataFrame, layout: Layout = COLES, *, infer_year: bool =
     members = with_rest(in_section(marked, layout), layout)
     ends = F.col("rest").rlike(S.MONEY_TOKEN) | F.col("rest").rlike(LONG_REFERENCE)
     found = with_parts(entries(members, until=ends, more=("rest",)), layout)
-    found = hot_key_join(found, coles_attributes(marked), ["file"])
+    found = hot_key_join(found, coles_attributes(marked, layout), ["file"])
     parts = F.transform("parts", lambda p, i: F.when(i == 0, strip_post_date(p)).otherwise(p))
     found = found.withColumn("parts", parts).withColumn("_hit", coles_amount(F.element_at("parts", -1)))
     before = F.slice("parts", F.lit(1), F.size("parts") - 1)
@@ -559,7 +568,7 @@ def stitch_coles(lines: DataFrame, layout: Layout = COLES, *, infer_year: bool =
     parsed = near_period(parsed, end_month=F.col("end_month")) if infer_year else parsed
     credit = F.when(F.col("_hit.is_credit"), "True").otherwise("False")
     raw = _card_raw(parsed, description, F.col("_hit.amount"), F.lit("is_credit"), credit)
-    return _records(found, layout, parsed, description, amount, raw)
+    return _records(found, layout, parsed, description, amount, _year_marked(raw))
 
 
 def _records(

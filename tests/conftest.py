@@ -52,23 +52,22 @@ def settings() -> Settings:
         + tuple(Category(n, False, Decimal(600) if n == "Groceries" else None) for n in other),
         rules=(
             Rule("source", "Airbnb Income", source_type="airbnb"),
-            Rule("regex", "Business: Hosting", "NAMECHEAP|ICDSOFT|DIGITAL ?OCEAN"),
-            Rule("regex", "Business: Software", "TWILIO|GOOGLE.?GSUITE|GITHUB"),
-            Rule("regex", "Salary", "SALARY DEPOSIT"),
+            Rule("regex", "Business: Hosting", "RACK ?HARBOUR"),
+            Rule("regex", "Business: Software", r"PIXELDESK|LEDGER.?LANE|\bINVOICER\b"),
+            Rule("regex", "Salary", "^PAYROLL"),
             Rule("regex", "Not defined", "WOOLWORTHS"),
             Rule("regex", "Transfers", "TRANSFER TO|BPAY|INTERNAL TRANSFER"),
             Rule("regex", "Groceries", "WOOLWORTHS|ALDI"),
-            Rule("regex", "Public Transport", "^UBER AUSTRALIA|^UBER BV"),
-            Rule("exact", "Subscriptions", "netflix"),
+            Rule("regex", "Public Transport", "^CITY FERRY|^METROCARD"),
+            Rule("exact", "Subscriptions", "cinebox"),
             Rule("regex", "Eating Out", r"\bCAF[EÉ]\b"),
         ),
         tag_rules=(
-            TagRule("taxi", "UBER TRIP|UBER AUSTRALIA"),
-            TagRule("mobile", "VODAFONE|TPG"),
-            TagRule("internet", "TPG"),
-            TagRule("biz", "TWILIO|NAMECHEAP"),
-            TagRule("deductible", "NAMECHEAP|ICDSOFT"),
-            TagRule("biz", "GITHUB"),
+            TagRule("mobile", "WAVEPHONE|FIBREFONE"),
+            TagRule("internet", "FIBREFONE"),
+            TagRule("biz", "PIXELDESK|RACK ?HARBOUR"),
+            TagRule("deductible", "RACK ?HARBOUR"),
+            TagRule("biz", "LEDGER.?LANE"),
         ),
         tax=TaxConfig(
             financial_year=2025,

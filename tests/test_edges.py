@@ -48,6 +48,24 @@ def test_values_below_their_label_over_chunk_borders(spark, tmp_path, monkeypatc
     assert (facts["year"], facts["closing_balance"]) == ("2019", "1,234.50")
 
 
+def test_a_statement_without_a_year_says_so(spark, tmp_path):
+    from dataclasses import replace
+
+    for name in ("bare", "dated"):
+        (tmp_path / name).mkdir()
+    bare = put(tmp_path / "bare", "a.txt", "03 Mar CORNER SHOP 4.50\n04 Mar 2021 BAKERY 2.00\n")
+    dated = put(tmp_path / "dated", "a.txt", "line\nissued 2019\n03 Mar CORNER SHOP 4.50\n")
+
+    def read(path, **changes):
+        out = ST.stitch_hsbc(LN.read_lines(spark, path), replace(ST.HSBC, **changes))
+        return sorted((str(r["txn_date"]), r["raw"].get("year")) for r in out.collect())
+
+    assert read(bare) == [("2021-03-03", None), ("2021-03-04", None)]
+    assert read(bare, year_lines=1, default_year="2018") == [("2018-03-03", "assumed"), ("2021-03-04", None)]
+    assert read(dated) == [("2019-03-03", None)]
+    assert read(dated, year_lines=1) == [("2025-03-03", "assumed")]
+
+
 def test_next_value_over_blocks(spark):
     df = spark.createDataFrame([("f", 0, 0, "a"), ("f", 0, 1, ""), ("f", 9, 2, ""), ("f", 9, 3, "b"), ("g", 0, 4, "c")], "file string, block long, seq long, text string")
     got = {r["seq"]: r["n"] for r in running.with_next(df, "text", "n").collect()}

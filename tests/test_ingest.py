@@ -17,8 +17,8 @@ def test_identity(make_records):
     rows = make_records(
         ("Transfer to savings", "-50.00", "ing", "/in/account_a_2025.pdf"),
         ("Transfer to savings", "-50.00", "ing", "/in/account_b_2025.pdf"),
-        ("Twilio", "-17.46", "paypal", "x.csv", "TXN1"),
-        ("Twilio", "-17.46", "paypal", "y.csv", "TXN2"),
+        ("Pixeldesk", "-17.46", "paypal", "x.csv", "TXN1"),
+        ("Pixeldesk", "-17.46", "paypal", "y.csv", "TXN2"),
         ("Shop", "-5.00", "ing", "z", "basiq:9"),
         ("Shop", "-5.10", "coles", "z"),
     )
@@ -35,7 +35,7 @@ def test_identity(make_records):
 
 def test_ingest_twice_is_once(spark, settings, make_records):
     store = Store(spark, scratch_path(spark, "store"))
-    rows = make_records(("WOOLWORTHS SYDNEY",), ("WOOLWORTHS SYDNEY",), ("Twilio", "-17.46", "paypal", "p.csv", "T1"))
+    rows = make_records(("WOOLWORTHS SYDNEY",), ("WOOLWORTHS SYDNEY",), ("Pixeldesk", "-17.46", "paypal", "p.csv", "T1"))
     first = store.ingest(rows, settings, batch_id=1)
     again = store.ingest(rows, settings, batch_id=1)
     assert (first.inserted, first.skipped, first.years) == (2, 1, (2025,))
@@ -46,7 +46,7 @@ def test_ingest_twice_is_once(spark, settings, make_records):
 
 def test_no_double_counting(spark, settings, make_records):
     rows = make_records(
-        ("Intl Atmpurchase - PAYPAL *TWILIO", "-17.46"), ("Twilio", "-17.46", "paypal", "p.csv", "T1")
+        ("PAYPAL *PIXELDESK", "-17.46"), ("Pixeldesk", "-17.46", "paypal", "p.csv", "T1")
     )
     out = N.normalize(rows, settings).new
     kept = out.where("not is_transfer").agg(F.count("*").alias("n"), F.sum("amount").alias("s")).first()
@@ -126,12 +126,12 @@ def stage(tmp_path, name, *rows):
 
 
 def test_stream_equals_batch_and_archives(spark, settings, tmp_path):
-    stage(tmp_path, "a.csv", ("01/02/2025", "ALDI", "10.00"), ("02/02/2018", "GITHUB", "5.00"))
+    stage(tmp_path, "a.csv", ("01/02/2025", "ALDI", "10.00"), ("02/02/2018", "LEDGER LANE", "5.00"))
     stage(tmp_path, "b.CSV", ("01/02/2025", "ALDI", "10.00"), ("31/02/2025", "BAD", "1.00"))
     staging, archive, check = str(tmp_path / "staging"), str(tmp_path / "archive"), str(tmp_path / "check")
     batch_root, stream_root = str(tmp_path / "batch"), str(tmp_path / "stream")
     preview = jobs.dry_run(spark, staging, batch_root, settings)
-    assert sorted(r["description"] for r in preview.collect()) == ["ALDI", "GITHUB"]
+    assert sorted(r["description"] for r in preview.collect()) == ["ALDI", "LEDGER LANE"]
     assert not (tmp_path / "batch").exists()
     assert jobs.ingest(spark, staging, batch_root, settings).inserted == 2
     ingest_available(spark, staging, stream_root, settings, check, archive=archive, max_files=1)
@@ -160,7 +160,7 @@ def test_backfill_replaces_a_year_even_when_empty(spark, settings, make_records)
     from tallyloom.config import TaxConfig
 
     store = Store(spark, scratch_path(spark, "store"))
-    store.ingest(make_records(("GITHUB", "-10.00", "coles", "f", None, "2024-10-15")), settings)
+    store.ingest(make_records(("LEDGER LANE", "-10.00", "coles", "f", None, "2024-10-15")), settings)
     assert store.backfill_splits(settings, 2025) == 1 and store.backfill_splits(settings, 2024) == 0
     assert store.splits().count() == 1
     assert store.backfill_splits(replace(settings, tax=TaxConfig()), 2025) == 0
@@ -190,7 +190,7 @@ def test_ingest_with_splits_leaves_no_scratch_and_compacts(spark, settings, make
     store = Store(spark, str(tmp_path / "store"))
     before = set(Path(scratch_root(spark).removeprefix("file:")).glob("*"))
     for i in range(3):
-        rows = make_records((f"GITHUB {i}", "-10.00", "coles", "f", None, "2024-10-15"), (f"GITHUB {i}", "-7.00", "coles", "f", None, "2023-10-15"))
+        rows = make_records((f"LEDGER LANE {i}", "-10.00", "coles", "f", None, "2024-10-15"), (f"LEDGER LANE {i}", "-7.00", "coles", "f", None, "2023-10-15"))
         store.ingest(rows, settings, batch_id=i, splits=True)
         store.ingest(rows, settings, batch_id=i, splits=True)
     assert set(Path(scratch_root(spark).removeprefix("file:")).glob("*")) == before
