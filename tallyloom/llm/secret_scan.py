@@ -2,6 +2,8 @@
 
 A text is scanned as it is. Then every encoding found in it (percent escapes, Unicode escapes, base64 runs, and base64 of
 compressed bytes) gives a further layer, which is scanned and searched for encodings in turn until no new layer appears.
+A base64 run is decoded from each of its four alignments, over line ends too, and all members of compressed bytes are read,
+in windows.
 A layer that was seen before in the same text isn't followed again. Each layer knows which characters of the original
 text its characters come from, so a secret found in it has a span in the original.
 """
@@ -9,13 +11,13 @@ text its characters come from, so a secret found in it has a span in the origina
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
 import zlib
-from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import zstandard
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from tallyloom.llm.common import map_batches, texts_of
 
-#: bytes of one decompressed layer; what a compressed run holds beyond is not unpacked
-MAX_UNPACKED = 64 << 20
+#: decompressed bytes are scanned in windows of about two of these, which share their ends
+WINDOW, OVERLAP = 2 << 20, 1 << 19
 MASK = "[SECRET]"
 # fixed values: the three kinds, in the order in which they are listed
 KINDS = ("assign", "access", "hex")
@@ -37,7 +39,14 @@ MIN_VALUE = 8
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: a base64 run over several lines: all but the first and the last are whole lines
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 SHORTEST = 16
+#: base64 of what gzip, zlib, bzip2 and zstd begin with
+PACKED = re.compile(r"(?=H4sI|e[AFJN]|Qlpo|KLUv)")
+#: no secret, and no encoding of one, is shorter
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){14}|(?:\0[\t\n\r\x20-\x7e]){14}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -102,82 +111,168 @@ def _unicode(layer: Layer) -> Layer | None:
     return _spliced(layer, pieces) if pieces else None
 
 
-def unpacked(raw: bytes, limit: int = MAX_UNPACKED) -> bytes | None:
-    """Decompressed bytes if the first ones are those of gzip, zlib, bzip2 or zstd; None if they aren't or don't fit."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, limit)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, limit)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, limit)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                return reader.read(limit)
-    except (zlib.error, OSError, EOFError, zstandard.ZstdError):
-        pass
-    return None
-
-
-def readable(raw: bytes) -> str | None:
-    """The bytes as text: UTF-8 without control characters other than white space."""
+class _Source:
+    """Pieces as a file to read from."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
+
+    def read(self, size: int) -> bytes:
+        if not self.held:
+            self.held = next(self.pieces, b"")
+        out, self.held = self.held[:size], self.held[size:]
+        return out
+
+
+def _members(pieces: Iterator[bytes], opened: Callable) -> Iterator[bytes]:
+    """Pieces of all members that follow one another, zeros between them skipped; what comes before damage counts."""
+    tool, fed = opened(), b""
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
+        while True:
+            if tool.eof:
+                tool, fed = opened(), tool.unused_data.lstrip(b"\0")
+                while not fed:
+                    fed = next(pieces).lstrip(b"\0")
+            elif not fed and getattr(tool, "needs_input", True):
+                fed = next(pieces)
+            piece = tool.decompress(fed, WINDOW)
+            fed = getattr(tool, "unconsumed_tail", b"")
+            if piece:
+                yield piece
+    except (zlib.error, OSError, EOFError, StopIteration):
+        return
 
 
-def _base64(run: str) -> str | None:
-    """Text of a base64 run, compressed bytes unpacked until they are text or no further layer."""
-    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(bare) % 4 == 1:
-        return None
+def _frames(pieces: Iterator[bytes]) -> Iterator[bytes]:
     try:
-        raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (inner := unpacked(raw)) is not None and hashlib.sha1(inner).digest() not in seen:
-        seen.add(hashlib.sha1(inner).digest())
-        raw = inner
-    return readable(raw)
+        with zstandard.ZstdDecompressor().stream_reader(_Source(pieces), read_across_frames=True) as reader:
+            while piece := reader.read(WINDOW):
+                yield piece
+    except zstandard.ZstdError:
+        return
+
+
+def unpacked(head: bytes, pieces: Iterator[bytes]) -> Iterator[bytes] | None:
+    """Decompressed bytes of every member or frame, if ``head`` is what gzip, zlib, bzip2 or zstd begin with."""
+    if head[:2] == b"\x1f\x8b":
+        return _members(pieces, lambda: zlib.decompressobj(31))
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return _members(pieces, zlib.decompressobj)
+    if head[:3] == b"BZh":
+        return _members(pieces, bz2.BZ2Decompressor)
+    return _frames(pieces) if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _taken(pieces: Iterator[bytes]) -> bytes:
+    """The first bytes: at least a window, or all."""
+    out = bytearray()
+    for piece in pieces:
+        out += piece
+        if len(out) >= WINDOW:
+            break
+    return bytes(out)
+
+
+def windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """All bytes in windows, each beginning with the last ``OVERLAP`` bytes of the one before."""
+    held, fresh = bytearray(), False
+    for piece in pieces:
+        held += piece
+        fresh = True
+        if len(held) >= 2 * WINDOW:
+            yield bytes(held)
+            del held[:-OVERLAP]
+            fresh = False
+    if fresh:
+        yield bytes(held)
+
+
+def readings(raw: bytes) -> Iterator[str]:
+    """Texts that the bytes may be: UTF-8 with other bytes replaced, and UTF-16. Control characters don't end a text."""
+    if PRINTABLE.search(raw):
+        yield raw.decode(errors="replace")
+    if WIDE.search(raw):
+        for part in (raw, raw[1:]):
+            for kind in ("utf-16-le", "utf-16-be"):
+                yield part[: len(part) & ~1].decode(kind, errors="replace")
+
+
+def contents(raw: bytes) -> Iterator[str]:
+    """Texts in the bytes, and in what they hold compressed, in any number of layers. A layer that holds itself ends."""
+    head, rest, seen = raw, iter(()), set()
+    yield from readings(raw)
+    while (mark := hashlib.sha1(head).digest()) not in seen:
+        seen.add(mark)
+        inner = unpacked(head, chain([head], rest))
+        if inner is None or not (first := _taken(inner)):
+            break
+        head, rest = first, inner
+    if len(seen) > 1:
+        for window in windows(chain([head], rest)):
+            yield from readings(window)
+
+
+def _base64(run: str) -> Iterator[tuple[int, str]]:
+    """Texts of a base64 run and the place in it where they begin.
+
+    A run may take in letters, '/', '_' and '-' that stand before what was encoded. Places a multiple of four apart decode
+    alike, so four of them have all texts; compressed bytes are read from where they begin.
+    """
+    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for k in sorted({*range(4), *(m.start() for m in PACKED.finditer(bare))}):
+        part = bare[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        if k < 4 or unpacked(raw[:4], iter(())) is not None:
+            for text in contents(raw):
+                yield k, text
 
 
-def layers_of(layer: Layer) -> list[Layer]:
+def layers_of(layer: Layer) -> Iterator[Layer]:
     """The layers that one decoding of each kind gives."""
-    out = []
     if "%" in layer.text and (new := _percent(layer)):
-        out.append(new)
+        yield new
     if ("\\" in layer.text or "&#" in layer.text) and (new := _unicode(layer)):
-        out.append(new)
-    if max(map(len, layer.text.split()), default=0) >= SHORTEST:
-        for m in BASE64.finditer(layer.text):
-            text = _base64(m[0])
-            if text:
-                a, b = layer.original(m.start(), m.end())
-                out.append(Layer(text, np.full(len(text), a), np.full(len(text), b)))
-    return out
+        yield new
+    runs = [(m.start(), m.end(), m[0]) for m in BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        joined = ((m, re.sub(r"\s+", "", m[0])) for m in WRAPPED.finditer(layer.text))
+        runs += [(m.start(), m.end(), run) for m, run in joined if len(run) >= SHORTEST]
+    for start, end, run in runs:
+        for k, text in _base64(run):
+            a, b = layer.original(start + min(k, 3), end)
+            yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
+
+
+def encoded(text: str) -> bool:
+    """Whether a text may hold a further layer."""
+    return "%" in text or "\\" in text or "&#" in text or "\n" in text or max(map(len, text.split()), default=0) >= SHORTEST
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
-    """Base spans and those of all decoded layers, as (start, kind, end) in the original text, sorted, without repeats."""
+    """Base spans and those of all decoded layers, as (start, kind, end) in the original text, sorted, without repeats.
+
+    Layers are followed depth first and made when they are needed, so that one window of each depth is held.
+    """
     found = set(base_spans(text) if base is None else base)
-    if not ("%" in text or "\\" in text or "&#" in text or max(map(len, text.split()), default=0) >= SHORTEST):
+    if not encoded(text):
         return sorted(found)
     place = np.arange(len(text))
-    queue = deque([Layer(text, place, place + 1)])
-    seen = {hashlib.sha1(text.encode()).digest()}
-    while queue:
-        for layer in layers_of(queue.popleft()):
-            mark = hashlib.sha1(layer.text.encode() + layer.begin.tobytes()).digest()
-            if mark in seen:
-                continue
-            seen.add(mark)
-            queue.append(layer)
-            for a, kind, b in base_spans(layer.text):
-                start, end = layer.original(a, b)
-                found.add((start, kind, end))
+    open_layers = [layers_of(Layer(text, place, place + 1))]
+    seen = {hashlib.sha1(text.encode(errors="surrogatepass")).digest()}
+    while open_layers:
+        layer = next(open_layers[-1], None)
+        if layer is None:
+            open_layers.pop()
+            continue
+        mark = hashlib.sha1(layer.text.encode(errors="surrogatepass") + layer.begin.tobytes()).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        open_layers.append(layers_of(layer))
+        for a, kind, b in base_spans(layer.text):
+            start, end = layer.original(a, b)
+            found.add((start, kind, end))
     return sorted(found)
 
 
