@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import LETTER, classes
@@ -25,6 +25,8 @@ SLOTS = 128
 #: documents that a language's prototype is learned from, at most about; and those of all languages
 FIT_ROWS, FIT_TOTAL = 1000, 50_000
 UNDETERMINED = "und"
+#: a bound is this part of the low quantile of a language's own scores; texts of so many characters have 0.7 of a long one's score
+LOW, OF_LOW, HALF_LENGTH = 0.01, 0.5, 320
 
 
 def letter_vectors(dim: int, seed: int) -> np.ndarray:
@@ -83,13 +85,11 @@ class Profiles:
     seed: int
 
 
-def learn(docs: DataFrame, dim: int = DIM, seed: int = 7, per_language: int = FIT_ROWS, in_all: int = FIT_TOTAL) -> Profiles:
-    """Prototypes from documents that are not held out and have a language.
+def fit_rows(docs: DataFrame, per_language: int = FIT_ROWS, in_all: int = FIT_TOTAL) -> DataFrame:
+    """doc_id, text, lang of documents to learn from: not held out, with a language.
 
     At most about ``per_language`` documents of each, those with the smallest hashes of id; never more than about ``in_all``.
-    What the driver gets is one vector per language.
     """
-    ship(docs.sparkSession)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
@@ -97,7 +97,13 @@ def learn(docs: DataFrame, dim: int = DIM, seed: int = 7, per_language: int = FI
     share = (F.xxhash64(F.col("doc_id").cast("string")).cast("double") / F.lit(2.0**64)) + 0.5
     narrow = hot_key_join(known.select("doc_id", "lang"), counts, ["lang"], "inner", salted=True)
     chosen = narrow.where(share <= F.lit(float(bound)) / F.col("n")).select("doc_id", "lang").distinct()
-    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most about in_all ids
+    return known.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most about in_all ids
+
+
+def learn(docs: DataFrame, dim: int = DIM, seed: int = 7, per_language: int = FIT_ROWS, in_all: int = FIT_TOTAL) -> Profiles:
+    """Prototypes from the documents of ``fit_rows``. What the driver gets is one vector per language."""
+    ship(docs.sparkSession)
+    sample = fit_rows(docs, per_language, in_all)
 
     def sums(batch):
         texts, names = texts_of(batch), np.array(batch.column(1).to_pylist(), object)
@@ -142,6 +148,27 @@ def predict(docs: DataFrame, profiles: Profiles, *also: str, into: tuple[str, st
     return map_batches(source, step, f"{kinds}, `{into[0]}` string, `{into[1]}` double")
 
 
+def expected(length: Column | str) -> Column:
+    """The share of a long text's cosine that a text of so many characters has, about."""
+    n = F.col(length) if isinstance(length, str) else length
+    return F.sqrt(n / (n + F.lit(float(HALF_LENGTH))))
+
+
+def bounds(docs: DataFrame, profiles: Profiles) -> dict[str, float]:
+    """Of each language the cosine, times ``expected``, below which a text isn't in it: a part of what nearly all of its own documents have.
+
+    Scores of the documents of ``fit_rows`` are counted in buckets of a thousandth, per language predicted; such counts
+    merge by adding. What the driver gets is one number per language.
+    """
+    scored = predict(fit_rows(docs), profiles, "lang", "text").where("lang_pred = lang")
+    bucket = F.floor(1000 * F.col("score") / expected(F.greatest(F.length("text"), F.lit(1)))).alias("bucket")
+    sketch = scored.select("lang", bucket).groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("lang")
+    summed = sketch.withColumn("below", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
+    low = summed.where(F.col("below") >= LOW * F.col("total")).groupBy("lang").agg(F.min("bucket").alias("low"))
+    return {r["lang"]: OF_LOW * r["low"] / 1000 for r in low.collect()}
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that are not held out, predicted for every row."""
     predicted = predict(docs, learn(docs))
