@@ -125,6 +125,11 @@ class Model:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
+    @property
+    def tells_apart(self) -> bool:
+        """Whether it learned from both classes; if not, every score is the same."""
+        return bool(self.weights["c"].any())
+
     def forward(self, x: np.ndarray, bag: np.ndarray) -> dict[str, np.ndarray]:
         """Passages sorted by bag; every bag from 0 on has one."""
         w = self.weights
