@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import merkle, mixing
+from tallyloom.llm import merkle, mixing, prefix_trie
 from tallyloom.llm.common import table
 from tallyloom.llm.queries import query
 
@@ -97,3 +97,39 @@ FROM f{len(steps)} f JOIN a{low} ON a{low}.nth = f.nth JOIN b{high} ON true
 @query("op12_merkle_manifest", merkle_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+#: prefixes as texts of the digests of their turns
+OP13_SQL = f"""
+WITH t AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS content, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) - 1 AS nth FROM t
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM o GROUP BY conv_id
+), u AS (
+  SELECT c.conv_id, 0 AS part, o.nth, content, bytes FROM c JOIN o ON o.conv_id = c.base AND o.nth < c.h
+  UNION ALL SELECT c.conv_id, 1, o.nth, content, bytes FROM c JOIN o ON o.conv_id = c.conv_id AND o.nth >= c.h
+), x AS (
+  SELECT conv_id, bytes, row_number() OVER w AS depth, string_agg(content, '') OVER w AS path FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY part, nth ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), f AS (SELECT conv_id, max(depth) AS depth FROM x GROUP BY conv_id),
+n AS (
+  SELECT path, any_value(x.depth) AS depth, min(x.conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(x.conv_id AS VARCHAR), ',' ORDER BY x.conv_id) FILTER (x.depth = f.depth), '')) AS ends_sha256
+  FROM x JOIN f ON x.conv_id = f.conv_id GROUP BY path
+), k AS (SELECT left(path, (depth - 1) * 64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.path = k.path),
+s AS (
+  SELECT left(path, d * 64) AS path, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM m) GROUP BY 1
+)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON m.path = s.path LEFT JOIN n p ON m.depth > 0 AND p.path = left(m.path, (m.depth - 1) * 64)
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
