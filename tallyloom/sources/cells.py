@@ -1,8 +1,13 @@
 """CSV files read by header name.
 
-Every file is read as positional cells by Spark's own CSV reader, quoting, embedded newlines and byte-order marks
-included, and the header row of each file is found among its rows. Files of one folder may therefore have different
-column orders or layouts. A field is then ``cell at the position of its name``, an expression without a join per column.
+Rows become positional cells by Spark's own CSV parser, and the header row of each file is found among its rows. Files of
+one folder may therefore have different column orders or layouts. A field is then ``cell at the position of its name``,
+an expression without a join per column.
+
+All files are split over tasks. A quoted cell may hold line ends, so whether a line begins inside quotes depends on all lines
+before it: each line maps the state before it to the state after it, the maps of a chunk of lines compose to one, those
+of the chunks of a file are composed in order, and then every line of every chunk knows its state. A pass over the lines tells
+which files have a cell that goes on after its line; only their lines are shuffled, once, by chunk.
 """
 
 from __future__ import annotations
@@ -12,91 +17,158 @@ from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.operators.lookup import hot_key_join
+from tallyloom.operators.running import accumulate, chunk
 from tallyloom.schema import MONEY, REJECT
 
 #: cells that the CSV reader itself fills; wider rows are split from their text, so no width is lost
 WIDTH = 24
 ROW_TEXT = "_row_text"
 CELLS = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH)], T.StructField(ROW_TEXT, T.StringType())])
-#: a cell with what is before it: the start of the row or a comma
-CELL = r'(^|,)("(?:[^"]|"")*"|[^,]*)'
-
-
-def _options(reader, glob: str | None, multi_line: bool):
-    reader = reader.schema(CELLS).options(
-        header=False,
-        multiLine=multi_line,
-        escape='"',
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=ROW_TEXT,
-        encoding="UTF-8",
-        emptyValue="",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-        recursiveFileLookup=True,
-    )
+#: a cell with the comma before it
+CELL = r',("[^"]*+(?:""[^"]*+)*+"(?=,|\z)|[^,]*)'
+#: a quoted cell up to its closing quote, any whole cell with the comma after it, and a line that leaves a quoted cell open:
+#: one that begins outside quotes, and one that begins inside
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+WHOLE = rf'(?:{QUOTED}"[^,]*+|[^",][^,]*+|),'
+OPENS = rf"^(?:{WHOLE})*+{QUOTED}\z"
+STAYS = rf'^[^"]*+(?:""[^"]*+)*+(?:\z|"[^,]*+,(?:{WHOLE})*+{QUOTED}\z)'
+#: lines of one row at most; a quote that stays open for longer is not the start of a cell of many lines
+ROW_LINES = 10_000
+
+
+PARSER = {
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": ROW_TEXT,
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def files(reader, glob: str | None = None):
+    """A reader of all files below a path, or of those that match."""
+    reader = reader.option("recursiveFileLookup", True)
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
 def split_row(text: Column) -> Column:
     """Cells of one CSV row of any width: quotes taken off, doubled ones made single."""
-    raw = F.transform(F.regexp_extract_all(text, F.lit(CELL), F.lit(0)), lambda c, i: F.when(i == 0, c).otherwise(F.substring(c, 2, 1 << 30)))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(CELL), F.lit(1))
     quoted = r'(?s)^"(.*)"$'
     return F.transform(raw, lambda c: F.when(c.rlike(quoted), F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
+def _cells(fields: Column | str, text: Column) -> Column:
+    """Cells of a parsed row. A row with as many commas as the parser has cells may be wider, whatever is in its cells; it is split from its text."""
+
+    def at(name: str) -> Column:
+        return F.col(f"{fields}.{name}") if fields else F.col(name)
+
+    narrow = F.array(*[at(f"c{i}") for i in range(WIDTH)])
+    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    return F.when(text.isNotNull() & (commas >= WIDTH), split_row(F.regexp_replace(text, r"^\ufeff|[\r\n]+$", ""))).otherwise(narrow)
+
+
 def _rows(df: DataFrame) -> DataFrame:
-    """The reader keeps the text of rows that have another number of cells than its schema; full ones may have more."""
-    narrow = F.array(*[F.col(f"c{i}") for i in range(WIDTH)])
-    full = F.col(f"c{WIDTH - 1}").isNotNull() & F.col(ROW_TEXT).isNotNull()
-    text = F.regexp_replace(ROW_TEXT, r"^\ufeff|[\r\n]+$", "")
-    cells = F.when(full, split_row(text)).otherwise(narrow)
+    """file, block, cells of rows that the CSV reader read. It keeps the text of rows with another number of cells than its schema."""
     return df.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), cells.alias("cells")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), _cells("", F.col(ROW_TEXT)).alias("cells")
     )
 
 
-def files_with_open_quotes(lines: DataFrame) -> list[str]:
-    """Files of a text frame in which a line has an odd number of quotes, as one before a quoted newline has.
-
-    Names are those of ``DataFrame.inputFiles``.
-    """
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    return [r["file"] for r in lines.where(odd).select(F.input_file_name().alias("file")).distinct().toLocalIterator()]
+def open_quotes(lines: DataFrame) -> list[str]:
+    """Files of a text frame in which a line that begins outside quotes may end inside. Names are those of ``DataFrame.inputFiles``."""
+    return [r["file"] for r in lines.where(F.col("value").rlike(OPENS)).select(F.input_file_name().alias("file")).distinct().toLocalIterator()]
 
 
-def read_cells(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool | None = None) -> DataFrame:
-    """Rows of all CSV files below a path: file, block, seq, cells.
+def inside_quotes(lines: DataFrame) -> DataFrame:
+    """Lines (file, block, seq, text) with ``inside``: whether they begin inside quotes, and ``inside_after``.
 
-    With ``multi_line`` a file is one split, as quoted newlines require; without it large files are split. By default
-    one pass over the lines tells which files need it; the others are split. The driver sees names of files, as it does
-    when Spark lists them.
+    A line sets the state, turns it or leaves it: the state is what was last set, turned as often as lines turned it since. The same holds
+    for chunks of lines, so a window within each chunk and one over the chunks of a file tell it. Lines are shuffled once.
+    """
+    outside, stays = F.col("text").rlike(OPENS), F.col("text").rlike(STAYS)
+    key = ["file", "block", "_chunk"]
+    known = lines.withColumns(
+        {"_chunk": chunk(), "_set": F.when(outside == stays, outside.cast("long")), "_turn": (outside & ~stays).cast("long")}
+    )
+    within = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    local = known.withColumn("_turns", F.sum("_turn").over(within))
+    mark = F.when(F.col("_set").isNotNull(), F.struct(F.col("_set").alias("v"), F.col("_turns").alias("at")))
+    local = local.withColumn("_mark", F.last(mark, ignorenulls=True).over(within))
+
+    totals = local.groupBy(*key).agg(F.sum("_turn").alias("t"), F.max_by("_mark", "seq").alias("m"))
+    along = Window.partitionBy("file").orderBy("block", "_chunk")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    counted = totals.withColumn("_all", F.sum("t").over(so_far))
+    set_at = F.when(F.col("m").isNotNull(), F.struct(F.col("m.v").alias("v"), (F.col("_all") - F.col("t") + F.col("m.at")).alias("at")))
+    carried = counted.withColumn("_base", F.last(set_at, ignorenulls=True).over(so_far))
+    after = F.coalesce("_base.v", F.lit(0)) + F.col("_all") - F.coalesce("_base.at", F.lit(0))
+    entering = carried.select(*key, F.coalesce(F.lag(after % 2).over(along), F.lit(0)).alias("_in"))
+
+    state = F.coalesce("_mark.v", F.col("_in")) + F.col("_turns") - F.coalesce("_mark.at", F.lit(0))
+    ends = local.join(entering, key).withColumn("inside_after", state % 2 == 1)
+    begins = F.coalesce(F.lag("inside_after").over(Window.partitionBy(*key).orderBy("seq")), F.col("_in") == 1)
+    return ends.withColumn("inside", begins).drop("_set", "_turn", "_turns", "_mark", "_in")
+
+
+def read_quoted(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """Rows (file, block, seq, cells) of files whose quoted cells may hold line ends, each file split over tasks.
+
+    A row stands where its first line stands. Lines of one row are gathered; all others are rows as they are. When over
+    ``ROW_LINES`` lines would make one row, its quote isn't one: each of its lines is a row, so that what follows isn't lost.
+    """
+    text = files(spark.read, glob).text(paths)
+    block = F.col("_metadata.file_block_start")
+    bare = F.when(block == 0, F.regexp_replace("value", r"^\ufeff", "")).otherwise(F.col("value"))
+    lines = inside_quotes(with_seq(text.select(F.col("_metadata.file_path").alias("file"), block.alias("block"), bare.alias("text"))))
+    several = F.col("inside") | F.col("inside_after")
+    found = accumulate(lines.where(several).select("file", "block", "seq", "text", "inside"), lasts={"row": F.when(~F.col("inside"), position())})
+    sizes = found.groupBy("file", "row").agg((F.count(F.lit(1)) > ROW_LINES).alias("long"))
+    sized = hot_key_join(found, sizes, ["file", "row"], "inner", salted=False)
+    gathered = sized.where("not long").groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))).alias("lines"))
+    joined = gathered.select("file", "row.block", "row.seq", F.array_join("lines.text", "\n").alias("text"))
+    columns = ("file", "block", "seq", "text")
+    whole = lines.where(~several).select(*columns).unionByName(sized.where("long").select(*columns)).unionByName(joined)
+    fields = F.from_csv("text", ", ".join(f"{f.name} string" for f in CELLS), {k: str(v).lower() if isinstance(v, bool) else v for k, v in PARSER.items()})
+    parsed = whole.where(F.trim("text") != "").withColumn("_fields", fields)
+    return parsed.select("file", "block", "seq", _cells("_fields", F.col("text")).alias("cells"))
+
+
+def read_cells(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """Rows of all CSV files below a path: file, block, seq, cells. Large files are split, those with quoted line ends too.
+
+    One pass over the lines tells which files have any; the driver sees names of files, as it does when Spark lists them.
     """
-    if multi_line is not None:
-        return with_seq(_rows(_options(spark.read, glob, multi_line).csv(path)))
-    text = spark.read.option("recursiveFileLookup", True)
-    lines = (text.option("pathGlobFilter", glob) if glob else text).text(path)
-    whole = files_with_open_quotes(lines)
-    if not whole:
-        return read_cells(spark, path, glob, multi_line=False)
-    rest = sorted(set(lines.inputFiles()) - set(whole))
-    parts = [_rows(_options(spark.read, None, m).csv([_plain(f) for f in files])) for files, m in ((rest, False), (sorted(whole), True)) if files]
-    return with_seq(reduce(lambda a, b: a.unionByName(b), parts))
+    lines = files(spark.read, glob).text(path)
+    quoted = open_quotes(lines)
+    rest = sorted(set(lines.inputFiles()) - set(quoted))
+    parts = []
+    if rest:
+        plain = path if not quoted else [_plain(f) for f in rest]
+        reader = files(spark.read.schema(CELLS).options(header=False, encoding="UTF-8", **PARSER), None if quoted else glob)
+        parts.append(with_seq(_rows(reader.csv(plain))))
+    if quoted:
+        parts.append(read_quoted(spark, [_plain(f) for f in sorted(quoted)]))
+    if not parts:
+        return read_quoted(spark, path, glob)
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _plain(uri: str) -> str:
-    """Path of a file by its URI; characters that a glob would read as its own are escaped."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+    """Path of a file by its URI."""
+    return escaped(unquote(uri))
 
 
-def stream_cells(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool = True, **options) -> DataFrame:
-    """The same rows as a file stream, without ``seq``, which is added to each micro-batch."""
-    return _rows(_options(spark.readStream, glob, multi_line).options(**options).csv(path))
+def escaped(path: str) -> str:
+    """Characters that a glob would read as its own are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def with_seq(rows: DataFrame) -> DataFrame:
@@ -150,7 +222,7 @@ def field(name: str) -> Column:
 
 def raw_map() -> Column:
     """The row as it was, by column name; unnamed cells are left out, and the first of equal names counts."""
-    pairs = F.arrays_zip(F.col("names").alias("n"), F.transform("cells", lambda c: F.coalesce(c, F.lit(""))).alias("c"))
+    pairs = F.transform("names", lambda n, i: F.struct(n.alias("n"), F.coalesce(F.get("cells", i), F.lit("")).alias("c")))
     named = F.filter(
         pairs, lambda p, i: (F.coalesce(p["n"], F.lit("")) != "") & (F.array_position("names", p["n"]) == i + 1)
     )

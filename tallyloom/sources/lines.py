@@ -5,28 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources.cells import with_seq
+from tallyloom.sources.cells import files, with_seq
 
 
-def _rows(df: DataFrame) -> DataFrame:
-    return df.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").alias("text"),
-    )
-
-
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """file, block, seq, text of every line below a path. Large files are split, small ones share tasks."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return with_seq(_rows(reader.text(path)))
-
-
-def stream_lines(spark: SparkSession, path: str, glob: str | None = None, **options) -> DataFrame:
-    reader = spark.readStream.option("recursiveFileLookup", True).options(**options)
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return _rows(reader.text(path))
+    return with_seq(
+        files(spark.read, glob)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.col("value").alias("text"),
+        )
+    )
 
 
 def lines_of_table(statement_lines: DataFrame) -> DataFrame:

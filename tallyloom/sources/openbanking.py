@@ -22,15 +22,11 @@ def _rows(df: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    reader = spark.read.schema(SCHEMA).options(multiLine=multi_line, recursiveFileLookup=True)
+def read_records(spark: SparkSession, path: str | list[str], glob: str | None = None, multi_line: bool = False) -> DataFrame:
+    reader = C.files(spark.read.schema(SCHEMA).options(multiLine=multi_line), glob)
     return C.with_seq(_rows(reader.json(path)))
 
 
-def stream_records(spark: SparkSession, path: str, **options) -> DataFrame:
-    return _rows(spark.readStream.schema(SCHEMA).options(recursiveFileLookup=True, **options).json(path))
-
-
 def parse_openbanking(rows: DataFrame, source_type: str, rank: int = 9) -> DataFrame:
     """Posted records only; the date is the first ten characters of the post date.
 

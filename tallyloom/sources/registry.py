@@ -1,4 +1,4 @@
-"""Sources by name: where their files land, how they are read in batch and as a stream, how they become RAW_TXN.
+"""Sources by name: where their files land, how they are read, how they become RAW_TXN. A stream lists files and reads them in the same way.
 
 A new source is one more entry. ``parse`` should be built-in expressions; ``mapInPandas`` is the way out for formats
 that need a library.
@@ -23,13 +23,12 @@ JSON = "*.{json,JSON}"
 
 @dataclass(frozen=True)
 class Source:
-    """``read`` and ``stream`` give rows of files, ``parse`` turns rows of a batch into records."""
+    """``read`` gives rows of the files below a path, or of listed files; ``parse`` turns rows into records."""
 
     name: str
     folder: str
     glob: str
-    read: Callable[[SparkSession, str, str], DataFrame]
-    stream: Callable[..., DataFrame]
+    read: Callable[[SparkSession, str | list[str], str | None], DataFrame]
     parse: Callable[[DataFrame], DataFrame]
 
     def records(self, spark: SparkSession, root: str) -> DataFrame:
@@ -37,21 +36,15 @@ class Source:
 
 
 def csv_source(name: str, parse: Callable[[DataFrame], DataFrame]) -> Source:
-    return Source(name, name, CSV, cells.read_cells, cells.stream_cells, parse)
+    return Source(name, name, CSV, cells.read_cells, parse)
 
 
 def text_source(name: str, parse: Callable[[DataFrame], DataFrame]) -> Source:
-    return Source(name, name, TXT, lines.read_lines, lines.stream_lines, parse)
+    return Source(name, name, TXT, lines.read_lines, parse)
 
 
 def openbanking_source(name: str, source_type: str) -> Source:
-    def read(spark: SparkSession, path: str, glob: str) -> DataFrame:
-        return openbanking.read_records(spark, path)
-
-    def stream(spark: SparkSession, path: str, glob: str, **options) -> DataFrame:
-        return openbanking.stream_records(spark, path, pathGlobFilter=glob, **options)
-
-    return Source(name, name, JSON, read, stream, lambda rows: openbanking.parse_openbanking(rows, source_type))
+    return Source(name, name, JSON, openbanking.read_records, lambda rows: openbanking.parse_openbanking(rows, source_type))
 
 
 #: in registry order, which decides between copies of a record that arrive together

@@ -1,24 +1,32 @@
 """The same ingest as a stream: files that land in the staging folders, once each, into the store.
 
-Structured Streaming keeps track of which files were taken; the store recognises records it has. Together a record is
-added exactly once, however often a batch is repeated and however late a statement arrives. There is no watermark: a
-statement may be years old, so any state that forgets would add it twice.
+The stream lists files, and a micro-batch reads those it names with the reader of the batch ingest, so a large file is
+split over tasks in both. Structured Streaming keeps track of which files were taken; the store recognises records it
+has. Together a record is added exactly once, however often a batch is repeated and however late a statement arrives.
+There is no watermark: a statement may be years old, so any state that forgets would add it twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.config import Settings
+from tallyloom.session import removed
 from tallyloom.sinks.store import Store
-from tallyloom.sources.cells import with_seq
+from tallyloom.sources.cells import escaped, files
 from tallyloom.sources.registry import REGISTRY, Source
 
+#: a file as a stream lists it, and as it is noted when it is in the store
+LISTED = "path string, modificationTime timestamp, length long, content binary"
+TAKEN = "path string, batch long"
+
 
 def ingest_stream(
     spark: SparkSession,
@@ -36,55 +44,94 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start the stream of one source.
 
-    With ``archive``, files of a finished batch are moved there when a later batch runs (and by ``archive_committed``).
-    ``max_files`` bounds the
-    files of one micro-batch; any division into batches gives the same table.
+    The files of each batch are noted in a table beside the checkpoint when the batch is in the store. With ``archive``,
+    a batch first moves the files of the batches before it, which are committed; ``archive_taken`` moves those of the
+    last. ``max_files`` bounds the files of one micro-batch; any division into batches gives the same table.
     """
-    options: dict[str, object] = {}
-    if archive is not None:
-        options.update(cleanSource="archive", sourceArchiveDir=archive)
-    if max_files is not None:
-        options.update(maxFilesPerTrigger=max_files)
-    rows = source.stream(spark, f"{staging}/{source.folder}", source.glob, **options)
+    options = {} if max_files is None else {"maxFilesPerTrigger": max_files}
+    folder = f"{staging}/{source.folder}"
+    listed = files(spark.readStream.format("binaryFile").schema(LISTED), source.glob).options(**options).load(folder).select("path")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        store = Store(batch.sparkSession, store_root)
-        store.ingest(source.parse(with_seq(batch)), settings, learned, batch_id=batch_id, hooks=hooks)
-
-    writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/{source.name}")
+        session = batch.sparkSession
+        if archive is not None:
+            archive_taken(session, source, checkpoint, archive, before=batch_id)
+        names = [row["path"] for row in batch.toLocalIterator()]  # names only, as the stream itself holds them
+        if not names:
+            return
+        rows = source.read(session, [escaped(n) for n in names], None)
+        Store(session, store_root).ingest(source.parse(rows), settings, learned, batch_id=batch_id, hooks=hooks)
+        noted = session.createDataFrame([(n, batch_id) for n in names], TAKEN)
+        noted.write.mode("overwrite").parquet(f"{_taken(source, checkpoint)}/{batch_id}")
+
+    writer = listed.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/{source.name}")
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.queryName(f"ingest-{source.name}").start()
 
 
-def _bare(path: str | Column) -> Column:
-    """A path without scheme and host."""
-    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+def _taken(source: Source, checkpoint: str) -> str:
+    return f"{checkpoint}/{source.name}-taken"
+
+
+def taken_files(spark: SparkSession, source: Source, checkpoint: str) -> DataFrame:
+    """path, batch of all files that are in the store."""
+    try:
+        return files(spark.read.schema(TAKEN)).parquet(_taken(source, checkpoint))
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], TAKEN)
+
+
+def moved(paths: DataFrame, archive: str) -> DataFrame:
+    """path, moved: files moved below ``archive`` under their own path, by the executors. A file that is gone was moved before."""
+
+    def located(uri: str) -> tuple[str, str]:
+        """File system and path of a URI; without a host it is a path of the local file system."""
+        parts = urlsplit(uri)
+        if not parts.netloc:
+            return "file:///", uri.removeprefix("file:").replace("///", "/")
+        path = uri.split(parts.netloc, 1)[1]
+        # an object store has the bucket in its paths
+        return f"{parts.scheme}://{parts.netloc}/", parts.netloc + path if parts.scheme.startswith(("s3", "gs")) else path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        _, top = located(archive.rstrip("/"))
+        for batch in batches:
+            names, done = batch.column(0).to_pylist(), []
+            for name in names:
+                root, path = located(name)
+                system, _ = fs.FileSystem.from_uri(root.replace("s3a://", "s3://"))
+                target = f"{top}/{path.lstrip('/')}"
+                found = system.get_file_info(path).type == fs.FileType.File
+                if found:
+                    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    system.move(path, target)
+                done.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(done, pa.bool_())], names=["path", "moved"])
+
+    return paths.select("path").mapInArrow(run, "path string, moved boolean")
 
 
-def archive_committed(spark: SparkSession, source: Source, staging: str, checkpoint: str, archive: str) -> int:
-    """Move the staged files of batches that are committed to the archive, below their own path, and count them.
+def archive_taken(spark: SparkSession, source: Source, checkpoint: str, archive: str, before: int | None = None) -> int:
+    """Move the files that are in the store (of batches before one) to the archive, and count them. A repeat moves the rest.
 
-    A running stream moves files of a batch when a later one ends, so those of the last batch stay behind. Which files
-    were taken in is read from the stream's own log. Files are moved one by one by name only; a repeat moves the rest.
+    What is noted of a batch goes when its files are moved. Staging and archive are on one file system, one that pyarrow
+    can open on the executors.
     """
-    state = f"{checkpoint}/{source.name}"
-    last = spark.read.text(f"{state}/commits").agg(F.max(F.regexp_extract("_metadata.file_name", r"^(\d+)$", 1).cast("long"))).first()[0]
-    if last is None:
+    taken = taken_files(spark, source, checkpoint)
+    if before is not None:
+        taken = taken.where(F.col("batch") < before)
+    batches = [row["batch"] for row in taken.select("batch").distinct().collect()]
+    if not batches:
         return 0
-    # the log numbers its entries itself; the committed batch names the last one that it covers
-    upto = spark.read.schema("logOffset long").json(f"{state}/offsets/{last}").agg(F.max("logOffset")).first()[0]
-    log = spark.read.schema("path string, batchId long").json(f"{state}/sources/0").where(F.col("path").isNotNull() & (F.col("batchId") <= F.lit(upto)))
-    taken = log.select(_bare(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("_bare")).distinct()
-    staged = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=source.glob).load(f"{staging}/{source.folder}")
-    waiting = staged.select("path", _bare("path").alias("_bare")).join(taken, "_bare", "left_semi").select("path", "_bare")
-    paths, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    moved = 0
-    for row in waiting.toLocalIterator():
-        source_path, target = paths.Path(row["path"]), paths.Path(f"{archive.rstrip('/')}{row['_bare']}")
-        system = source_path.getFileSystem(conf)
-        system.mkdirs(target.getParent())
-        moved += system.rename(source_path, target)
-    return moved
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = taken.where(F.col("batch").isin(batches)).select("path").distinct()
+    count = moved(paths.repartition(tasks, "path"), archive).where("moved").count()
+    removed(spark, *[f"{_taken(source, checkpoint)}/{n}" for n in batches])
+    return count
 
 
 def ingest_available(
@@ -113,4 +160,4 @@ def ingest_available(
             continue
         query.awaitTermination()
         if archive is not None:
-            archive_committed(spark, registry[name], staging, checkpoint, archive)
+            archive_taken(spark, registry[name], checkpoint, archive)

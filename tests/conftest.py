@@ -53,7 +53,7 @@ def settings() -> Settings:
         rules=(
             Rule("source", "Airbnb Income", source_type="airbnb"),
             Rule("regex", "Business: Hosting", "RACK ?HARBOUR"),
-            Rule("regex", "Business: Software", r"PIXELDESK|LEDGER.?LANE|\bINVOICER\b"),
+            Rule("regex", "Business: Software", r"PIXELDESK|QUILL.?LANE|\bINVOICER\b"),
             Rule("regex", "Salary", "^PAYROLL"),
             Rule("regex", "Not defined", "WOOLWORTHS"),
             Rule("regex", "Transfers", "TRANSFER TO|BPAY|INTERNAL TRANSFER"),
@@ -67,7 +67,7 @@ def settings() -> Settings:
             TagRule("internet", "FIBREFONE"),
             TagRule("biz", "PIXELDESK|RACK ?HARBOUR"),
             TagRule("deductible", "RACK ?HARBOUR"),
-            TagRule("biz", "LEDGER.?LANE"),
+            TagRule("biz", "QUILL.?LANE"),
         ),
         tax=TaxConfig(
             financial_year=2025,

@@ -126,12 +126,12 @@ def stage(tmp_path, name, *rows):
 
 
 def test_stream_equals_batch_and_archives(spark, settings, tmp_path):
-    stage(tmp_path, "a.csv", ("01/02/2025", "ALDI", "10.00"), ("02/02/2018", "LEDGER LANE", "5.00"))
+    stage(tmp_path, "a.csv", ("01/02/2025", "ALDI", "10.00"), ("02/02/2018", "QUILL LANE", "5.00"))
     stage(tmp_path, "b.CSV", ("01/02/2025", "ALDI", "10.00"), ("31/02/2025", "BAD", "1.00"))
     staging, archive, check = str(tmp_path / "staging"), str(tmp_path / "archive"), str(tmp_path / "check")
     batch_root, stream_root = str(tmp_path / "batch"), str(tmp_path / "stream")
     preview = jobs.dry_run(spark, staging, batch_root, settings)
-    assert sorted(r["description"] for r in preview.collect()) == ["ALDI", "LEDGER LANE"]
+    assert sorted(r["description"] for r in preview.collect()) == ["ALDI", "QUILL LANE"]
     assert not (tmp_path / "batch").exists()
     assert jobs.ingest(spark, staging, batch_root, settings).inserted == 2
     ingest_available(spark, staging, stream_root, settings, check, archive=archive, max_files=1)
@@ -154,13 +154,48 @@ def test_stream_equals_batch_and_archives(spark, settings, tmp_path):
     assert coverage.first()["total"] == store.transactions().count()
 
 
+def test_archive_moves_only_what_is_in_the_store_and_can_be_repeated(spark, tmp_path):
+    from tallyloom.sources.registry import REGISTRY
+    from tallyloom.streaming import ingest as STREAM
+
+    stage(tmp_path, "a [1] ä.csv", ("01/02/2025", "ALDI", "10.00"))
+    stage(tmp_path, "b.csv", ("01/02/2025", "ALDI", "11.00"))
+    folder, check, archive = tmp_path / "staging" / "amex", str(tmp_path / "check"), str(tmp_path / "archive")
+
+    def note(batch, *names):
+        rows = [(f"file:{folder / n}", batch) for n in names]
+        spark.createDataFrame(rows, STREAM.TAKEN).write.parquet(f"{check}/amex-taken/{batch}")
+
+    note(0, "a [1] ä.csv", "gone.csv")
+    note(1, "b.csv")
+    assert STREAM.archive_taken(spark, REGISTRY["amex"], check, archive, before=1) == 1
+    assert [p.name for p in folder.iterdir()] == ["b.csv"]
+    assert [r["batch"] for r in STREAM.taken_files(spark, REGISTRY["amex"], check).collect()] == [1]
+    assert STREAM.archive_taken(spark, REGISTRY["amex"], check, archive) == 1
+    assert STREAM.archive_taken(spark, REGISTRY["amex"], check, archive) == 0
+    assert sorted(p.name for p in (tmp_path / "archive").rglob("*.csv")) == ["a [1] ä.csv", "b.csv"]
+
+
+def test_one_large_streamed_file_is_read_by_many_tasks(spark, settings, tmp_path):
+    stage(tmp_path, "a.csv", ("01/02/2025", '"two\nlines"', "1.00"), *[("01/02/2025", f"SHOP {i}", "1.00") for i in range(2000)])
+    staging, root = str(tmp_path / "staging"), str(tmp_path / "store")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        ingest_available(spark, staging, root, settings, str(tmp_path / "check"), sources=("amex",))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    stored = Store(spark, root).transactions()
+    assert stored.count() == 2001 and stored.select("arrival.block").distinct().count() > 5
+
+
 def test_backfill_replaces_a_year_even_when_empty(spark, settings, make_records):
     from dataclasses import replace
 
     from tallyloom.config import TaxConfig
 
     store = Store(spark, scratch_path(spark, "store"))
-    store.ingest(make_records(("LEDGER LANE", "-10.00", "coles", "f", None, "2024-10-15")), settings)
+    store.ingest(make_records(("QUILL LANE", "-10.00", "coles", "f", None, "2024-10-15")), settings)
     assert store.backfill_splits(settings, 2025) == 1 and store.backfill_splits(settings, 2024) == 0
     assert store.splits().count() == 1
     assert store.backfill_splits(replace(settings, tax=TaxConfig()), 2025) == 0
@@ -190,7 +225,7 @@ def test_ingest_with_splits_leaves_no_scratch_and_compacts(spark, settings, make
     store = Store(spark, str(tmp_path / "store"))
     before = set(Path(scratch_root(spark).removeprefix("file:")).glob("*"))
     for i in range(3):
-        rows = make_records((f"LEDGER LANE {i}", "-10.00", "coles", "f", None, "2024-10-15"), (f"LEDGER LANE {i}", "-7.00", "coles", "f", None, "2023-10-15"))
+        rows = make_records((f"QUILL LANE {i}", "-10.00", "coles", "f", None, "2024-10-15"), (f"QUILL LANE {i}", "-7.00", "coles", "f", None, "2023-10-15"))
         store.ingest(rows, settings, batch_id=i, splits=True)
         store.ingest(rows, settings, batch_id=i, splits=True)
     assert set(Path(scratch_root(spark).removeprefix("file:")).glob("*")) == before

@@ -7,7 +7,7 @@ from tallyloom.operators import rules as R
 # (description, source, category, confidence, is_transfer)
 CASES = [
     ("PixelDesk monthly plan", "paypal", "Business: Software", 0.8, False),
-    ("Ledger-Lane", "amex", "Business: Software", 0.8, False),
+    ("Quill-Lane", "amex", "Business: Software", 0.8, False),
     ("THE INVOICER", "ing", "Business: Software", 0.8, False),
     ("invoicery", "ing", "Uncategorized", 0.0, False),
     ("Rack Harbour GmbH", "paypal", "Business: Hosting", 0.8, False),
@@ -48,7 +48,7 @@ def test_tags_in_order_and_once(spark, settings):
         "Wavephone": ["mobile"],
         "RackHarbour": ["biz", "deductible"],
         "aldi": [],
-        "pixeldesk by ledger lane": ["biz"],
+        "pixeldesk by quill lane": ["biz"],
     }
     df = spark.createDataFrame([(t, "ing") for t in want], "description string, source_type string")
     got = {r["description"]: r["t"] for r in df.select("description", R.tags_expr(settings.tag_rules).alias("t")).collect()}
@@ -77,7 +77,7 @@ def test_many_rules_in_chunks(spark, settings):
 def test_bad_pattern_is_reported(spark):
     with pytest.raises(ValueError, match="unclosed"):
         R.validate_patterns(spark, ["(unclosed"])
-    R.validate_patterns(spark, ["LEDGER.?LANE", r"\bX\b"])
+    R.validate_patterns(spark, ["QUILL.?LANE", r"\bX\b"])
 
 
 def test_plain_alternatives_use_no_regex(spark):

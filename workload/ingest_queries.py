@@ -661,7 +661,7 @@ def v01(spark, d):
         return rows.select("*", F.lit("events").alias("file"), F.lit(0).alias("block"), F.col("event_id").alias("seq"))
 
     registry = {}
-    REG.register(REG.Source("events", ".", "*.parquet", read, LN.stream_lines, parse), registry)
+    REG.register(REG.Source("events", ".", "*.parquet", read, parse), registry)
     return REG.scan_staging(spark, d, registry=registry).select("txn_date", "description", "amount")
 
 
