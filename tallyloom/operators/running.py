@@ -1,13 +1,14 @@
-"""Running sums and carried-forward values along very long sequences.
+"""Running values along very long sequences: totals, carried-forward and upcoming values, states of a machine.
 
 A window over a whole sequence runs in one task. Here a sequence is cut into chunks: each chunk is accumulated on its
 own, the chunk totals are accumulated per sequence, and what came before a chunk is added to it. A sequence of a
-billion rows becomes 50 000 chunk rows, and the long frame is shuffled once.
+billion rows becomes 50 000 chunk rows, and the long frame is shuffled once, whatever is asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,53 +20,124 @@ def chunk() -> Column:
     return F.expr(f"seq div {CHUNK_ROWS}")
 
 
+@dataclass(frozen=True)
+class Machine:
+    """A machine with few states, numbered from 0. ``moves[e][s]`` is the state after event e in state s.
+
+    A chunk of events maps each state to the state it ends in; such maps compose, so chunks are folded apart and in parallel.
+    """
+
+    moves: tuple[tuple[int, ...], ...]
+    start: int = 0
+
+    def after(self, event: Column, state: Column) -> Column:
+        """State after an event; null events change nothing."""
+        n = len(self.moves[0])
+        table = F.array(*[F.lit(s) for row in self.moves for s in row])
+        return F.coalesce(F.get(table, event * n + state), state)
+
+    def maps(self, events: Column) -> Column:
+        """Where each state ends after the events."""
+        every = F.array(*[F.lit(s) for s in range(len(self.moves[0]))])
+        return F.aggregate(events, every, lambda at, e: F.transform(at, lambda s: self.after(e["event"], s)))
+
+    def entering(self, maps: Column) -> Column:
+        """State after a sequence of maps."""
+        return F.aggregate(maps, F.lit(self.start), lambda s, m: F.get(m, s))
+
+    def changes(self, events: Column, entering: Column) -> Column:
+        """seq and state of the events that change the state."""
+        none = F.array().cast("array<struct<seq:bigint,state:int>>")
+
+        def step(at: Column, e: Column) -> Column:
+            new = self.after(e["event"], at["state"])
+            more = F.when(new != at["state"], F.array_append(at["changes"], F.struct(e["seq"].cast("bigint").alias("seq"), new.alias("state")))).otherwise(at["changes"])
+            return F.struct(new.alias("state"), more.alias("changes"))
+
+        return F.aggregate(events, F.struct(entering.alias("state"), none.alias("changes")), step)["changes"]
+
+
 def accumulate(
-    rows: DataFrame, sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None
+    rows: DataFrame,
+    sums: Mapping[str, Column] | None = None,
+    lasts: Mapping[str, Column] | None = None,
+    *,
+    earlier: Mapping[str, Column] | None = None,
+    marks: Mapping[str, tuple[str, Column]] | None = None,
+    nexts: Mapping[str, Column] | None = None,
+    states: Mapping[str, tuple[Machine, Column]] | None = None,
 ) -> DataFrame:
-    """Add running totals and last non-NULL values, this row included, per ``file`` in order of (``block``, ``seq``)."""
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    inputs = {f"_in_{n}": c for n, c in {**sums, **lasts}.items()}
-    keyed = rows.withColumns({"_chunk": chunk(), **inputs})
+    """Add running values per ``file`` in order of (``block``, ``seq``).
+
+    ``sums``: totals, and ``lasts``: last non-NULL values, both with this row. ``earlier``: last non-NULL values before this row.
+    ``marks``: the total of a sum at the last row, up to this one, that meets a condition. ``nexts``: next non-NULL values after this
+    row. ``states``: the state of a machine after this row, from a column of its events.
+    """
+    sums, lasts, earlier, marks, nexts, states = (dict(x or {}) for x in (sums, lasts, earlier, marks, nexts, states))
+    plain = {**sums, **lasts, **earlier, **nexts, **{n: e for n, (_, e) in states.items()}, **{n: c for n, (_, c) in marks.items()}}
+    keyed = rows.withColumns({"_chunk": chunk(), **{f"_in_{n}": c for n, c in plain.items()}})
     key = ["file", "block", "_chunk"]
-    inside = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*key).orderBy("seq")
+    upto, past = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumns(
         {
-            **{n: F.sum(f"_in_{n}").over(inside) for n in sums},
-            **{n: F.last(f"_in_{n}", ignorenulls=True).over(inside) for n in lasts},
+            **{n: F.sum(f"_in_{n}").over(upto) for n in sums},
+            **{n: F.last(f"_in_{n}", ignorenulls=True).over(upto) for n in lasts},
+            **{n: F.last(f"_in_{n}", ignorenulls=True).over(past) for n in earlier},
         }
-    ).drop(*inputs)
-    totals = keyed.groupBy(*key).agg(
+    )
+    local = local.withColumns({n: F.last(F.when(F.col(f"_in_{n}"), F.coalesce(F.col(s), F.lit(0))), ignorenulls=True).over(upto) for n, (s, _) in marks.items()})
+    if nexts:
+        later = Window.partitionBy(*key).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+        local = local.withColumns({n: F.last(f"_in_{n}", ignorenulls=True).over(later) for n in nexts})
+
+    def ends(name: str, pick) -> Column:
+        return pick(f"_in_{name}", F.when(F.col(f"_in_{name}").isNotNull(), F.col("seq")))
+
+    # marks hold a total inside their chunk: the chunk's last one is its total less what came after the row
+    inputs = keyed if not marks else local
+    totals = inputs.groupBy(*key).agg(
         *[F.sum(f"_in_{n}").alias(n) for n in sums],
-        *[F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.col("seq"))).alias(n) for n in lasts],
+        *[ends(n, F.max_by).alias(n) for n in (*lasts, *earlier)],
+        *[F.max_by(n, "seq").alias(n) for n in marks],
+        *[ends(n, F.min_by).alias(n) for n in nexts],
+        *[F.array_sort(F.collect_list(F.when(F.col(f"_in_{n}").isNotNull(), F.struct("seq", F.col(f"_in_{n}").alias("event"))))).alias(n) for n in states],
     )
+    totals = totals.withColumns({f"_maps_{n}": m.maps(F.col(n)) for n, (m, _) in states.items()})
     before = Window.partitionBy("file").orderBy("block", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *key,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
-        *[F.last(n, ignorenulls=True).over(before).alias(f"_before_{n}") for n in lasts],
+    back = Window.partitionBy("file").orderBy(F.desc("block"), F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumns({f"_before_{n}": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in sums})
+    offsets = offsets.withColumns({n: F.col(n) + F.col(f"_before_{s}") for n, (s, _) in marks.items()})
+    offsets = offsets.withColumns(
+        {
+            **{f"_before_{n}": F.last(n, ignorenulls=True).over(before) for n in (*lasts, *earlier, *marks)},
+            **{f"_before_{n}": F.last(n, ignorenulls=True).over(back) for n in nexts},
+            **{f"_before_{n}": m.entering(F.collect_list(f"_maps_{n}").over(before)) for n, (m, _) in states.items()},
+        }
     )
+    changes = {f"_changes_{n}": m.changes(F.col(n), F.col(f"_before_{n}")) for n, (m, _) in states.items()}
+    offsets = offsets.withColumns(changes).select(*key, *[f"_before_{n}" for n in plain], *changes)
     joined = local.join(offsets, key)
-    return joined.withColumns(
+
+    def state(name: str) -> Column:
+        past_changes = F.filter(f"_changes_{name}", lambda c: c["seq"] <= F.col("seq"))
+        return F.coalesce(F.get(past_changes, F.size(past_changes) - 1)["state"], F.col(f"_before_{name}"))
+
+    whole = joined.withColumns(
         {
-            **{n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_before_{n}") for n in sums},
-            **{n: F.coalesce(F.col(n), F.col(f"_before_{n}")) for n in lasts},
+            **{n: F.coalesce(F.col(n) + F.col(f"_before_{s}"), F.col(f"_before_{n}")) for n, (s, _) in marks.items()},
+            **{n: F.coalesce(F.col(n), F.col(f"_before_{n}")) for n in (*lasts, *earlier, *nexts)},
+            **{n: state(n) for n in states},
         }
-    ).drop("_chunk", *[f"_before_{n}" for n in (*sums, *lasts)])
+    ).withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_before_{n}") for n in sums})
+    return whole.drop("_chunk", *[f"_in_{n}" for n in plain], *[f"_before_{n}" for n in plain], *changes)
 
 
-def with_next(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the next value of a text column that isn't blank, in the order of the file, over chunks and blocks.
+def filled(column: str) -> Column:
+    """The text of a column, null where it is blank."""
+    return F.when(F.col(column) != "", F.col(column))
 
-    Inside a chunk it is a running value in descending order; the first value of each chunk is carried back to the
-    chunks before it, in a frame of one row per chunk.
-    """
-    key = ["file", "block", "_chunk"]
-    keyed = rows.withColumn("_chunk", chunk())
-    filled = F.when(F.col(column) != "", F.col(column))
-    later = Window.partitionBy(*key).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    local = keyed.withColumn(name, F.last(filled, ignorenulls=True).over(later))
-    firsts = keyed.groupBy(*key).agg(F.min_by(filled, F.when(filled.isNotNull(), F.col("seq"))).alias("_first"))
-    back = Window.partitionBy("file").orderBy(F.desc("block"), F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = firsts.select(*key, F.last("_first", ignorenulls=True).over(back).alias("_carried"))
-    joined = local.join(carried, key)
-    return joined.withColumn(name, F.coalesce(name, "_carried")).drop("_chunk", "_carried")
+
+def with_next(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the next value of a text column that isn't blank, in the order of the file, over chunks and blocks."""
+    return accumulate(rows, nexts={name: filled(column)})

@@ -1,8 +1,9 @@
 """Statement lines stitched into transactions.
 
 Input: one row per line of extracted statement text (``file``, ``block``, ``seq``, ``text``; ``block`` is a page or a
-file block). What a line-by-line reader would keep as state is expressed with running sums and carried values, so a
-statement of any length is processed by many tasks. Only the lines of one entry are ever brought together.
+file block). What a line-by-line reader would keep as state is a small machine whose maps of chunks compose, together with
+running sums and carried values, so a statement of any length is processed by many tasks and its lines are shuffled
+once. Only lines of one entry are ever brought together, and at most ``PART_LINES`` of them in one row.
 """
 
 from __future__ import annotations
@@ -15,12 +16,19 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 from tallyloom.operators.lookup import hot_key_join
-from tallyloom.operators.running import accumulate, with_next
+from tallyloom.operators.running import Machine, accumulate, filled
 from tallyloom.schema import MONEY
 from tallyloom.sources.cells import record
 
 POS = ("block", "seq")
 HEAD, NOISE, FOOT, EXTRA, DATE, TEXT = "H", "N", "F", "X", "D", "T"
+#: states of a statement: outside a section, in one without an entry, in an entry; and the lines that change them.
+#: A footer closes a section only while an entry is open, and the next header opens it again.
+OUTSIDE, SECTION, ENTRY = 0, 1, 2
+EVENTS = {HEAD: (SECTION, SECTION, ENTRY), DATE: (OUTSIDE, ENTRY, ENTRY), FOOT: (OUTSIDE, SECTION, OUTSIDE)}
+#: lines of an entry that are one transaction; more of them go to quarantine in parts of this size
+PART_LINES = 10_000
+TOO_LONG = "entry of too many lines"
 
 
 @dataclass(frozen=True)
@@ -173,93 +181,80 @@ def line_kind(layout: Layout) -> Column:
     return kind.otherwise(TEXT)
 
 
-def mark_lines(lines: DataFrame, layout: Layout) -> DataFrame:
-    """Lines with their kind, number in the file, entry number, footer count and whether a header was seen."""
+def mark_lines(lines: DataFrame, layout: Layout, until: Column | None = None) -> DataFrame:
+    """Lines with their kind, number in the file, entry number, part of the entry, and the state of the statement after them.
+
+    With ``until``, a condition on ``text``, ``rest`` and ``kind``, there is also ``stopped``: the place of the last line before, a date line or
+    text in an entry, that met it, and ``dated``: the place of the entry's date line.
+    """
     trimmed = lines.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    ahead = with_next(trimmed, "text", "next_text") if layout.looks_ahead else trimmed.withColumn("next_text", F.lit(None).cast("string"))
-    known = ahead.withColumn("kind", F.when(F.col("text") != "", line_kind(layout)))
-    kind = F.col("kind")
+    known = trimmed.withColumn("kind", F.when(F.col("text") != "", line_kind(layout)))
+    kind, pos = F.col("kind"), F.struct(*POS)
+    events = F.lit(None).cast("int")
+    for number, name in enumerate(EVENTS):
+        events = F.when(kind == name, number).otherwise(events)
+    machine = Machine(tuple(EVENTS.values()), SECTION if layout.header is None else OUTSIDE)
+    known = with_rest(known, layout) if until is not None else known
     marked = accumulate(
         known,
         sums={
             "line_no": F.lit(1),
             "entry": (kind == DATE).cast("long"),
-            "footers": (kind == FOOT).cast("long"),
         },
-        lasts={"opened": F.when(kind == HEAD, True)},
+        lasts={"dated": F.when(kind == DATE, pos)} if until is not None else None,
+        earlier={"stopped": F.when(kind.isin(DATE, TEXT) & until, pos)} if until is not None else None,
+        marks={"_date_line": ("line_no", kind == DATE)},
+        nexts={"next_text": filled("text")} if layout.looks_ahead else None,
+        states={"state": (machine, events)},
     )
-    return marked.where(F.col("text") != "")
-
+    part = F.floor((F.col("line_no") - F.col("_date_line")) / PART_LINES).cast("long")
+    if not layout.looks_ahead:
+        marked = marked.withColumn("next_text", F.lit(None).cast("string"))
+    return marked.where(F.col("text") != "").withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).drop("_date_line")
 
-def in_section(marked: DataFrame, layout: Layout) -> DataFrame:
-    """Lines that belong to an entry of a transaction section."""
-    lines = marked.where(F.col("kind").isin(DATE, TEXT, EXTRA))
-    if layout.footer is not None:
-        return _closing_sections(marked)
-    return lines.where(F.col("opened")) if layout.header is not None else lines
 
+def in_section(marked: DataFrame) -> DataFrame:
+    """Lines of transaction sections."""
+    return marked.where((F.col("state") != OUTSIDE) & F.col("kind").isin(DATE, TEXT, EXTRA))
 
-def _closing_sections(marked: DataFrame) -> DataFrame:
-    """Sections that a footer closes, but only while an entry is open; the next header opens again.
 
-    Lines up to and including a footer form a segment. Entering it with the section closed (0) or open without an
-    entry (1), a segment leaves it
+def in_entry(marked: DataFrame) -> DataFrame:
+    """Lines that belong to an entry; what follows a section's header before its first date belongs to none."""
+    return marked.where((F.col("state") == ENTRY) & F.col("kind").isin(DATE, TEXT, EXTRA))
 
-    * with a date line after its first header, or with date lines and no header: closed,
-    * without date lines: open if it has a header, else as it was,
-    * with date lines, but only before its header: the other way round.
-
-    So the state at a segment is the last fixed outcome before it, flipped once per reversing segment since.
-    """
-    pos = F.struct(*POS)
-    segment = F.col("footers") - (F.col("kind") == FOOT).cast("long")
-    rows = marked.withColumn("segment", segment)
-    facts = rows.groupBy("file", "segment").agg(
-        F.min(F.when(F.col("kind") == HEAD, pos)).alias("first_head"),
-        F.max(F.when(F.col("kind") == DATE, pos)).alias("last_date"),
-    )
-    head, dated = F.col("first_head").isNotNull(), F.col("last_date").isNotNull()
-    reversing = dated & head & (F.col("last_date") < F.col("first_head"))
-    fixed = F.when(~reversing & (head | dated), F.when(dated, 0).otherwise(1))
-    steps = facts.select(
-        "file",
-        F.lit(0).alias("block"),
-        F.col("segment").alias("seq"),
-        "first_head",
-        fixed.alias("fixed"),
-        reversing.cast("long").alias("flip"),
-    )
-    counted = accumulate(steps, sums={"flips": F.col("flip")})
-    carried = accumulate(
-        counted, lasts={"base": F.when(F.col("fixed").isNotNull(), F.struct(F.col("fixed").alias("v"), F.col("flips").alias("at")))}
-    )
-    after = F.pmod(F.coalesce("base.v", F.lit(0)) + F.col("flips") - F.coalesce("base.at", F.lit(0)), F.lit(2))
-    # the state after a segment is the state on entering the next one
-    entering = carried.select("file", (F.col("seq") + 1).alias("segment"), after.alias("state"))
-    heads = facts.select("file", "segment", "first_head").join(entering, ["file", "segment"], "left")
-    placed = hot_key_join(rows, heads, ["file", "segment"])
-    is_open = (F.coalesce("state", F.lit(0)) == 1) | F.coalesce(pos > F.col("first_head"), F.lit(False))
-    return placed.where(is_open & F.col("kind").isin(DATE, TEXT, EXTRA)).drop("segment", "first_head", "state")
 
+def not_stopped(lines: DataFrame) -> DataFrame:
+    """Lines of an entry up to the first one that met the condition of ``mark_lines``."""
+    return lines.where(F.col("stopped").isNull() | (F.col("stopped") < F.col("dated")))
 
-def entries(lines: DataFrame, until: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """One row per entry with its lines in order; entries whose date line is not among ``lines`` are dropped.
 
-    ``more`` names columns that were computed per line and are gathered with it.
+def entries(lines: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per part of an entry with its lines in order; entries whose date line is not among ``lines`` are dropped.
 
-    With ``until``, lines after the first one that meets it are left out before anything is gathered, and entries
-    that never meet it are dropped.
+    ``more`` names columns that were computed per line and are gathered with it. All parts but the first begin within the entry.
     """
-    pos = F.struct(*POS)
-    keep = lines
-    if until is not None:
-        stops = lines.where(until).groupBy("file", "entry").agg(F.min(pos).alias("_stop"))
-        keep = hot_key_join(lines, stops, ["file", "entry"], "inner", salted=True)
-        keep = keep.where(pos <= F.col("_stop")).drop("_stop")
     line = F.struct(*POS, "kind", "text", *more)
-    grouped = keep.where(F.col("entry") > 0).groupBy("file", "entry").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    grouped = lines.where(F.col("entry") > 0).groupBy("file", "entry", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     first = F.col("lines")[0]
-    return grouped.where(first["kind"] == DATE).withColumns({"block": first["block"], "seq": first["seq"]})
+    return grouped.where((first["kind"] == DATE) | (F.col("part") > 0)).withColumns({"block": first["block"], "seq": first["seq"]})
+
+
+def overlong(found: DataFrame, layout: Layout) -> DataFrame:
+    """Records for quarantine: the further parts of entries of very many lines, each with its own text."""
+    text = F.array_join(F.col("lines.text"), "\n")
+    nothing = F.lit(None)
+    return found.where("part > 0").select(
+        *record(
+            txn_date=nothing.cast("date"),
+            date_raw=F.lit(""),
+            description=F.substring(text, 1, 200),
+            amount=nothing.cast(MONEY),
+            source_type=layout.source_type,
+            source_rank=layout.rank,
+            reject=F.lit(TOO_LONG),
+            raw=F.create_map(F.lit("part"), F.col("part").cast("string"), F.lit("text"), text),
+        )
+    )
 
 
 def with_rest(lines: DataFrame, layout: Layout) -> DataFrame:
@@ -268,6 +263,12 @@ def with_rest(lines: DataFrame, layout: Layout) -> DataFrame:
     return lines.withColumn("rest", F.coalesce(after, F.col("text")))
 
 
+def ended(found: DataFrame, until: Column) -> DataFrame:
+    """Entries whose last line meets the condition; the others have no amount within their first ``PART_LINES`` lines."""
+    last = found.where("part = 0").withColumn("rest", F.element_at("lines", -1)["rest"])
+    return last.where(until).drop("rest")
+
+
 def with_parts(found: DataFrame, layout: Layout) -> DataFrame:
     """``date_text`` of the date line and the ``parts`` of the entry, line by line."""
     return found.withColumns(
@@ -415,8 +416,9 @@ def with_ing_columns(lines: DataFrame, text: str, name: str = "cols") -> DataFra
 
 def stitch_ing(lines: DataFrame, layout: Layout = ING) -> DataFrame:
     """Everything up to the next date or footer belongs to an entry; the first line with a non-zero amount gives it."""
-    members = with_ing_columns(with_rest(in_section(mark_lines(lines, layout), layout), layout), "rest")
-    found = with_parts(entries(members, more=("rest", "cols")), layout)
+    members = with_ing_columns(with_rest(in_entry(mark_lines(lines, layout)), layout), "rest")
+    gathered = entries(members, more=("rest", "cols"))
+    found = with_parts(gathered.where("part = 0"), layout)
     at = F.array_position(F.transform("lines", lambda e: e["cols"]["amount"].isNotNull()), True)
     found = found.withColumn("_at", at).where(F.col("_at") > 0)
     found = found.withColumn("_hit", F.get("lines", (F.col("_at") - 1).cast("int"))["cols"])
@@ -433,7 +435,7 @@ def stitch_ing(lines: DataFrame, layout: Layout = ING) -> DataFrame:
         F.lit("money_in"), F.coalesce("_hit.money_in", F.lit("")),
         F.lit("balance"), F.col("_hit.balance"),
     )
-    return _records(found, layout, parsed, description, F.col("_hit.amount"), raw)
+    return _records(found, layout, parsed, description, F.col("_hit.amount"), raw).unionByName(overlong(gathered, layout))
 
 
 def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
@@ -443,7 +445,7 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
         closing_balance_of(r"Closing [Bb]alance\s+\$?([\d,]+\.\d{2})").alias("closing_balance")
     )
     foreign = F.col("kind") == EXTRA
-    members = with_rest(in_section(marked, layout), layout).withColumns(
+    members = with_rest(in_entry(marked), layout).withColumns(
         {
             "amounts": F.when(foreign, F.array().cast("array<string>")).otherwise(
                 F.regexp_extract_all("rest", F.lit(f"({DOLLARS})"), 1)
@@ -452,7 +454,8 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
         }
     )
     members = members.withColumn("rest", F.when(foreign, F.concat(F.lit("("), "rest", F.lit(")"))).otherwise(F.col("rest")))
-    found = with_parts(entries(members, more=("rest", "amounts", "bare")), layout)
+    gathered = entries(members, more=("rest", "amounts", "bare"))
+    found = with_parts(gathered.where("part = 0"), layout)
     at = F.array_position(F.transform("lines", lambda e: F.size(e["amounts"]) > 0), True)
     found = found.withColumn("_at", at).where(F.col("_at") > 0)
     texts = F.transform("lines", lambda e, i: F.when(i == F.col("_at") - 1, e["bare"]).otherwise(e["rest"]))
@@ -470,7 +473,7 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
     found = hot_key_join(found, balances, ["file"])
     description = _joined(F.col("_texts"))
     parsed = S.parse_statement_date("date_text", F.lit(None).cast("string"))
-    return _records(found, layout, parsed, description, amount, _card_raw(parsed, description, amount))
+    return _records(found, layout, parsed, description, amount, _card_raw(parsed, description, amount)).unionByName(overlong(gathered, layout))
 
 
 def _card_raw(parsed: Column, description: Column, amount: Column, *more: Column) -> Column:
@@ -519,9 +522,9 @@ def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC, *, infer_year: bool = F
 
     All dates without a year get the year of the period's start, or with ``infer_year`` the one that fits the period.
     """
-    marked = mark_lines(lines, layout)
-    members = with_rest(in_section(marked, layout), layout)
-    found = with_parts(entries(members, until=F.col("rest").rlike(ONE), more=("rest",)), layout)
+    ends = F.col("rest").rlike(ONE)
+    marked = mark_lines(lines, layout, ends)
+    found = with_parts(ended(entries(not_stopped(in_entry(marked)), more=("rest",)), ends), layout)
     found = hot_key_join(found, hsbc_attributes(marked, layout), ["file"])
     found = found.withColumn("_hit", hsbc_amount(F.element_at("parts", -1), F.col("has_balance")))
     before = F.slice("parts", F.lit(1), F.size("parts") - 1)
@@ -554,10 +557,9 @@ def stitch_coles(lines: DataFrame, layout: Layout = COLES, *, infer_year: bool =
 
     All dates without a year get the year of the period's end, or with ``infer_year`` the one that fits the period.
     """
-    marked = mark_lines(lines, layout)
-    members = with_rest(in_section(marked, layout), layout)
     ends = F.col("rest").rlike(S.MONEY_TOKEN) | F.col("rest").rlike(LONG_REFERENCE)
-    found = with_parts(entries(members, until=ends, more=("rest",)), layout)
+    marked = mark_lines(lines, layout, ends)
+    found = with_parts(ended(entries(not_stopped(in_entry(marked)), more=("rest",)), ends), layout)
     found = hot_key_join(found, coles_attributes(marked, layout), ["file"])
     parts = F.transform("parts", lambda p, i: F.when(i == 0, strip_post_date(p)).otherwise(p))
     found = found.withColumn("parts", parts).withColumn("_hit", coles_amount(F.element_at("parts", -1)))

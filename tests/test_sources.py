@@ -227,6 +227,67 @@ def test_year_fits_a_period_over_new_year(spark, tmp_path):
     assert got == [("A", "2024-12-20"), ("B", "2025-01-02")]
 
 
+def test_text_after_a_reopened_header_belongs_to_no_entry(spark, tmp_path):
+    text = """Date Details Money out Money in Balance
+01/02/2025 Shop one -1.00 10.00
+Always here to help
+between
+Date Details Money out Money in Balance
+not part of shop one
+02/02/2025 Shop two -2.00 8.00
+"""
+    got = rows(ST.stitch_ing(LN.read_lines(spark, put(tmp_path, "a.txt", text))), "description", "amount")
+    assert got == [("Shop one", "-1.00"), ("Shop two", "-2.00")]
+
+
+@pytest.mark.parametrize("bank", STATEMENTS)
+@pytest.mark.parametrize("chunk_rows", [1, 7])
+def test_statements_do_not_depend_on_chunks(spark, tmp_path, monkeypatch, bank, chunk_rows):
+    monkeypatch.setattr(running, "CHUNK_ROWS", chunk_rows)
+    text, want = STATEMENTS[bank]
+    path = put(tmp_path, "a.txt", text)
+    assert rows(ST.STITCHERS[bank](LN.read_lines(spark, path)), "txn_date", "description", "amount") == want
+
+
+@pytest.mark.parametrize("bank", ["ing", "bankwest", "hsbc", "coles"])
+def test_entries_of_very_many_lines_come_in_parts(spark, tmp_path, monkeypatch, bank):
+    """No row gathers more than PART_LINES lines, the transaction stays, and what follows is in quarantine."""
+    monkeypatch.setattr(ST, "PART_LINES", 4)
+    monkeypatch.setattr(running, "CHUNK_ROWS", 5)
+    head = {"ing": "Date Details Money out Money in Balance\n01/02/2025 Shop -1.00 10.00\n", "bankwest": "Date Description Debit Credit\n02 Nov 25 Shop $1.00\n",
+            "hsbc": "02 Nov 24 Shop 1.00\n", "coles": "Date Description Amount\n02 Nov 24 Shop $1.00\n"}[bank]
+    text = head + "".join(f"more {i}\n" for i in range(1, 21))
+    got = ST.STITCHERS[bank](LN.read_lines(spark, put(tmp_path, "a.txt", text))).collect()
+    good = [r for r in got if r["reject_reason"] is None]
+    assert [(r["description"], str(r["amount"])) for r in good] == [("Shop more 1 more 2 more 3" if bank in ("ing", "bankwest") else "Shop", "-1.00")]
+    parts = sorted((r for r in got if r["reject_reason"] == ST.TOO_LONG), key=lambda r: int(r["raw"]["part"]))
+    lost = [line for r in parts for line in r["raw"]["text"].split("\n")]
+    assert lost == ([f"more {i}" for i in range(4, 21)] if bank in ("ing", "bankwest") else [])
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 4, 20_000])
+def test_running_values_equal_a_sequential_reader(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(running, "CHUNK_ROWS", chunk_rows)
+    rng = random.Random(chunk_rows)
+    machine = running.Machine(((1, 2, 0), (0, 0, 2)), 1)
+    data = [(f"f{f}", n // 7, n, rng.randrange(9), rng.choice([None, n]), rng.choice([0, 1, None])) for f in range(4) for n in range(60)]
+    df = spark.createDataFrame(data, "file string, block int, seq long, v long, x long, e int")
+    out = running.accumulate(
+        df, {"s": F.col("v")}, {"l": F.col("x")}, earlier={"b": F.col("x")}, marks={"m": ("s", F.col("v") == 3)}, nexts={"n": F.col("x")}, states={"st": (machine, F.col("e"))}
+    )
+    got = {(r["file"], r["seq"]): tuple(r[c] for c in ("s", "l", "b", "m", "n", "st")) for r in out.collect()}
+    for f in range(4):
+        mine = [r for r in data if r[0] == f"f{f}"]
+        total, last, mark, state = 0, None, None, 1
+        for i, (_, _, seq, v, x, e) in enumerate(mine):
+            before, total = last, total + v
+            last = x if x is not None else last
+            mark = total if v == 3 else mark
+            state = machine.moves[e][state] if e is not None else state
+            later = next((r[4] for r in mine[i + 1 :] if r[4] is not None), None)
+            assert got[f"f{f}", seq] == (total, last, before, mark, later, state)
+
+
 def sequential_section(kinds):
     """Which lines belong to an entry, read one by one."""
     state, kept = 0, []
@@ -250,7 +311,7 @@ def test_sections_equal_a_sequential_reader(spark, monkeypatch, chunk_rows):
     files = {f"f{i}": [rng.choice("HDFTN") for _ in range(rng.randint(1, 40))] for i in range(60)}
     data = [(f, 0, n, text[k]) for f, kinds in files.items() for n, k in enumerate(kinds)]
     lines = spark.createDataFrame(data, "file string, block int, seq long, text string")
-    out = ST.in_section(ST.mark_lines(lines, ST.ING), ST.ING).select("file", "seq").collect()
+    out = ST.in_section(ST.mark_lines(lines, ST.ING)).select("file", "seq").collect()
     got = {f: sorted(r["seq"] for r in out if r["file"] == f) for f in files}
     assert got == {f: sequential_section(k) for f, k in files.items()}
     assert out and F is not None

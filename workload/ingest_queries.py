@@ -210,7 +210,7 @@ def _keyed(rows, *more):
     SELECT ev.doc_id, ev.n FROM st JOIN ev ON ev.doc_id = st.doc_id AND ev.i = st.i WHERE st.s > 0 AND ev.kind IN ('D', 'T')""",
 )
 def l01(spark, d):
-    return _keyed(ST.in_section(ST.mark_lines(_doc_lines(spark, d), ST.ING), ST.ING))
+    return _keyed(ST.in_section(ST.mark_lines(_doc_lines(spark, d), ST.ING)))
 
 
 @query(
