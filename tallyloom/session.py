@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,6 +56,37 @@ def removed(spark: SparkSession, *paths: str) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def created(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole text at once; False if it is there already. Of several writers one succeeds.
+
+    The text is written beside it first. On a local disk a hard link then takes the name, elsewhere a rename, which a
+    file system of a cluster refuses when the name is taken.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    system.mkdirs(target.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}")
+    stream = system.create(draft)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if system.getUri().getScheme() != "file":
+        if system.rename(draft, target):
+            return True
+        system.delete(draft, False)
+        return False
+    local = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)]
+    try:
+        jvm.java.nio.file.Files.createLink(*local)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in str(error.java_exception):
+            raise
+        return False
+    finally:
+        system.delete(draft, False)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back; survives the loss of any executor."""
     path = scratch_path(df.sparkSession, label)

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import jobs
@@ -238,4 +239,69 @@ def test_ingest_with_splits_leaves_no_scratch_and_compacts(spark, settings, make
     fresh = store.compact()
     assert content(fresh) == content(store) and Store(spark, store.root).version == fresh.version
     assert fresh.splits().count() == 6
-    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "store" / "v1" / "transactions").glob("fy=*"))
+    years = list((tmp_path / "store" / "v1" / "transactions").rglob("fy=*"))
+    assert len(years) == 2 and all(len(list(p.glob("*.parquet"))) == 1 for p in years)
+    assert store.ingest(make_records(("AFTERWARDS",)), settings).inserted == 1 and store.version == 1
+    assert fresh.transactions().count() == 7
+
+
+class Interrupted(Store):
+    """A writer to which something happens just before its first commit."""
+
+    happens = None
+
+    def _commit(self, *args, **more):
+        happens, self.happens = self.happens, None
+        if happens is not None:
+            happens()
+        return super()._commit(*args, **more)
+
+
+def interrupted(spark, root, happens):
+    store = Interrupted(spark, root)
+    store.happens = happens
+    return store
+
+
+def test_two_writers_at_once_leave_each_row_once(spark, settings, make_records, tmp_path):
+    root = str(tmp_path / "store")
+    same, other = make_records(("A",), ("B",), ("C",)), make_records(("B",), ("D",))
+    outcomes = []
+    first = interrupted(spark, root, lambda: outcomes.append(Store(spark, root).ingest(other, settings, splits=True)))
+    outcomes.append(first.ingest(same, settings, splits=True))
+    assert [(o.inserted, o.skipped) for o in outcomes] == [(2, 0), (2, 1)]
+    store = Store(spark, root)
+    assert sorted(r["description"] for r in store.transactions().collect()) == ["A", "B", "C", "D"]
+    assert store.raw_audit().count() == 4 and store.with_raw().where("raw is null").count() == 0
+    # a writer whose rows the other one doesn't have is not repeated
+    apart = interrupted(spark, root, lambda: Store(spark, root).ingest(make_records(("E",)), settings))
+    assert apart.ingest(make_records(("F",)), settings).inserted == 1
+    assert store.transactions().count() == 6 and [c["seq"] for c in store.commits()] == [1, 2, 3, 4]
+
+
+def test_a_crash_before_the_commit_leaves_nothing(spark, settings, make_records, tmp_path):
+    def crash():
+        raise KeyboardInterrupt
+
+    root, rows = str(tmp_path / "store"), make_records(("A",), ("B",))
+    with pytest.raises(KeyboardInterrupt):
+        interrupted(spark, root, crash).ingest(rows, settings, splits=True)
+    store = Store(spark, root)
+    assert [store.transactions().count(), store.raw_audit().count(), store.splits().count(), store.fx_rates().count()] == [0, 0, 0, 0]
+    assert store.ingest(rows, settings).inserted == 2 and store.ingest(rows, settings).inserted == 0
+    assert store.transactions().groupBy("dedup_hash").count().where("count > 1").isEmpty()
+
+
+def test_compaction_and_backfill_lose_no_commit(spark, settings, make_records, tmp_path):
+    root = str(tmp_path / "store")
+    Store(spark, root).ingest(make_records(("QUILL LANE", "-10.00", "coles", "f", None, "2024-10-15")), settings)
+    late = make_records(("QUILL LANE", "-20.00", "coles", "f", None, "2024-11-15"))
+    fresh = interrupted(spark, root, lambda: Store(spark, root).ingest(late, settings)).compact()
+    assert fresh.version == 1 and fresh.transactions().count() == 2
+    more = make_records(("QUILL LANE", "-30.00", "coles", "f", None, "2024-12-15"))
+    assert interrupted(spark, root, lambda: Store(spark, root).ingest(more, settings)).backfill_splits(settings, 2025) == 3
+    assert Store(spark, root).splits().count() == 3
+    # a writer that began before a compaction ends up in the version after it
+    old = interrupted(spark, root, lambda: Store(spark, root).compact())
+    assert old.ingest(make_records(("NEW",)), settings).inserted == 1
+    assert Store(spark, root).version == 2 and Store(spark, root).transactions().count() == 4
