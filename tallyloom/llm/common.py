@@ -65,8 +65,10 @@ def by_size(texts: Sequence[str], chars: int = 500_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-#: bytes of a batch that a step gets at once; Spark's own batches hold up to ten thousand rows of any length
+#: bytes of a batch that a step gets at once
 PIECE_BYTES = 4 << 20
+#: rows that Spark hands to Python at once, unless the session says otherwise than Spark's own ten thousand: texts may be very long
+BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def rows_of(batch: pa.RecordBatch) -> int:
@@ -78,7 +80,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers of the cluster, once per application."""
+    """Give the package to the Python workers of the cluster, once per application, and see to batches of long texts."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
