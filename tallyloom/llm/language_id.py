@@ -40,6 +40,10 @@ def slots() -> np.ndarray:
     return out.astype(np.uint8)
 
 
+#: trigrams, texts, and pairs of both whose products are made at once
+GRAMS, TEXTS, PAIRS = 4096, 512, 8192
+
+
 class Encoder:
     """Texts to bundles."""
 
@@ -61,10 +65,28 @@ class Encoder:
         pairs, counts = np.unique(owner[2:][inside] * SLOTS**3 + gram, return_counts=True)
         text, gram = pairs // SLOTS**3, pairs % SLOTS**3
         grams, column = np.unique(gram, return_inverse=True)
-        bound = self.placed[0][grams // SLOTS**2] * self.placed[1][grams // SLOTS % SLOTS] * self.placed[2][grams % SLOTS]
-        dense = np.zeros((len(texts), len(grams)), np.float32)
-        dense[text, column] = counts
-        return dense @ bound.astype(np.float32), lettered
+        order = np.argsort(column, kind="stable")
+        text, column, counts = text[order], column[order], counts[order]
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for at in range(0, len(grams), GRAMS):  # some thousand trigrams at a time: large scripts have very many
+            some = grams[at : at + GRAMS]
+            bound = self.placed[0][some // SLOTS**2] * self.placed[1][some // SLOTS % SLOTS] * self.placed[2][some % SLOTS]
+            here = slice(*np.searchsorted(column, (at, at + len(some))))
+            rows, row = np.unique(text[here], return_inverse=True)  # texts that have any of them
+            if 20 * len(row) < len(rows) * len(some):  # few of them in each text
+                by_row = np.argsort(row, kind="stable")
+                for first in range(0, len(by_row), PAIRS):
+                    pair = by_row[first : first + PAIRS]
+                    held, begin = np.unique(row[pair], return_index=True)
+                    products = bound[column[here][pair] - at].astype(np.float32) * counts[here][pair, None]
+                    out[rows[held]] += np.add.reduceat(products, begin)
+                continue
+            for first in range(0, len(rows), TEXTS):
+                mine = (row >= first) & (row < first + TEXTS)
+                dense = np.zeros((min(TEXTS, len(rows) - first), len(some)), np.float32)
+                dense[row[mine] - first, column[here][mine] - at] = counts[here][mine]
+                out[rows[first : first + TEXTS]] += dense @ bound.astype(np.float32)
+        return out, lettered
 
 
 def unit(x: np.ndarray) -> np.ndarray:
