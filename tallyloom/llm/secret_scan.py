@@ -2,8 +2,9 @@
 
 A text is scanned as it is. Then every encoding found in it (percent escapes, Unicode escapes, base64 runs, and base64 of
 compressed bytes) gives a further layer, which is scanned and searched for encodings in turn until no new layer appears.
-A base64 run is decoded from each of its four alignments, over line ends too, and all members of compressed bytes are read,
-in windows.
+A base64 run is decoded from each of its four alignments, over line ends too. Decoded bytes are read as text, and compressed
+bytes are unpacked wherever they begin; what is unpacked is a layer like any other, read as text and searched for
+further beginnings while it streams by, so that at any depth a window and the state of a decompressor are all that is held.
 A layer that was seen before in the same text isn't followed again. Each layer knows which characters of the original
 text its characters come from, so a secret found in it has a span in the original.
 """
@@ -15,9 +16,8 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import zstandard
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from tallyloom.llm.common import map_batches, texts_of
 
-#: decompressed bytes are scanned in windows of about two of these, which share their ends
-WINDOW, OVERLAP = 2 << 20, 1 << 19
+#: decoded bytes are read as text in windows of about two of these, which share their ends: so much, or an open run of base64 up to a bound
+WINDOW, OVERLAP, CARRY = 2 << 20, 1 << 19, 16 << 20
+#: by so many first bytes a layer is known, and so often may one of them lie within another like it: what unpacks to itself ends
+HEAD, SAME = 4096, 3
 MASK = "[SECRET]"
 # fixed values: the three kinds, in the order in which they are listed
 KINDS = ("assign", "access", "hex")
@@ -42,8 +44,9 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: a base64 run over several lines: all but the first and the last are whole lines
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 SHORTEST = 16
-#: base64 of what gzip, zlib, bzip2 and zstd begin with
-PACKED = re.compile(r"(?=H4sI|e[AFJN]|Qlpo|KLUv)")
+#: what gzip, zlib, bzip2 and zstd begin with
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd")
+RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 #: no secret, and no encoding of one, is shorter
 PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
 WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){14}|(?:\0[\t\n\r\x20-\x7e]){14}")
@@ -111,82 +114,6 @@ def _unicode(layer: Layer) -> Layer | None:
     return _spliced(layer, pieces) if pieces else None
 
 
-class _Source:
-    """Pieces as a file to read from."""
-
-    def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held = pieces, b""
-
-    def read(self, size: int) -> bytes:
-        if not self.held:
-            self.held = next(self.pieces, b"")
-        out, self.held = self.held[:size], self.held[size:]
-        return out
-
-
-def _members(pieces: Iterator[bytes], opened: Callable) -> Iterator[bytes]:
-    """Pieces of all members that follow one another, zeros between them skipped; what comes before damage counts."""
-    tool, fed = opened(), b""
-    try:
-        while True:
-            if tool.eof:
-                tool, fed = opened(), tool.unused_data.lstrip(b"\0")
-                while not fed:
-                    fed = next(pieces).lstrip(b"\0")
-            elif not fed and getattr(tool, "needs_input", True):
-                fed = next(pieces)
-            piece = tool.decompress(fed, WINDOW)
-            fed = getattr(tool, "unconsumed_tail", b"")
-            if piece:
-                yield piece
-    except (zlib.error, OSError, EOFError, StopIteration):
-        return
-
-
-def _frames(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    try:
-        with zstandard.ZstdDecompressor().stream_reader(_Source(pieces), read_across_frames=True) as reader:
-            while piece := reader.read(WINDOW):
-                yield piece
-    except zstandard.ZstdError:
-        return
-
-
-def unpacked(head: bytes, pieces: Iterator[bytes]) -> Iterator[bytes] | None:
-    """Decompressed bytes of every member or frame, if ``head`` is what gzip, zlib, bzip2 or zstd begin with."""
-    if head[:2] == b"\x1f\x8b":
-        return _members(pieces, lambda: zlib.decompressobj(31))
-    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
-        return _members(pieces, zlib.decompressobj)
-    if head[:3] == b"BZh":
-        return _members(pieces, bz2.BZ2Decompressor)
-    return _frames(pieces) if head[:4] == b"\x28\xb5\x2f\xfd" else None
-
-
-def _taken(pieces: Iterator[bytes]) -> bytes:
-    """The first bytes: at least a window, or all."""
-    out = bytearray()
-    for piece in pieces:
-        out += piece
-        if len(out) >= WINDOW:
-            break
-    return bytes(out)
-
-
-def windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """All bytes in windows, each beginning with the last ``OVERLAP`` bytes of the one before."""
-    held, fresh = bytearray(), False
-    for piece in pieces:
-        held += piece
-        fresh = True
-        if len(held) >= 2 * WINDOW:
-            yield bytes(held)
-            del held[:-OVERLAP]
-            fresh = False
-    if fresh:
-        yield bytes(held)
-
-
 def readings(raw: bytes) -> Iterator[str]:
     """Texts that the bytes may be: UTF-8 with other bytes replaced, and UTF-16. Control characters don't end a text."""
     if PRINTABLE.search(raw):
@@ -197,35 +124,129 @@ def readings(raw: bytes) -> Iterator[str]:
                 yield part[: len(part) & ~1].decode(kind, errors="replace")
 
 
+class _Bytes:
+    """A layer of bytes that streams by: texts in it, and in whatever compressed bytes it holds."""
+
+    def __init__(self, above: tuple[bytes, ...] = ()):
+        self.above, self.held, self.fresh, self.limit = above, bytearray(), False, 2 * WINDOW
+        self.tail, self.inner = b"", []
+
+    def feed(self, piece: bytes) -> Iterator[str]:
+        self.held += piece
+        self.fresh = True
+        if len(self.held) >= self.limit:
+            yield from readings(bytes(self.held))
+            run = len(self.held) - len(self.held.rstrip(RUN_BYTES))
+            del self.held[: -max(OVERLAP, min(run, CARRY))]
+            self.limit, self.fresh = len(self.held) + 2 * WINDOW, False
+        for one in self.inner:
+            yield from one.feed(piece)
+        joined = self.tail + piece
+        for start in PACKED.finditer(joined):
+            if start.end() > len(self.tail):
+                one = _Unpacked(start[0], self.above)
+                self.inner.append(one)
+                yield from one.feed(memoryview(joined)[start.start() :])
+        self.inner = [one for one in self.inner if one.alive]
+        self.tail = joined[-3:]
+
+    def close(self) -> Iterator[str]:
+        if self.fresh:
+            yield from readings(bytes(self.held))
+        for one in self.inner:
+            yield from one.close()
+
+
+class _Unpacked:
+    """One member or frame, unpacked as its bytes come in. What comes before damage counts; what follows it is found by its own beginning."""
+
+    def __init__(self, magic: bytes, above: tuple[bytes, ...]):
+        self.above, self.alive, self.head, self.layer = above, True, bytearray(), None
+        if magic[:2] == b"\x1f\x8b":
+            self.tool, self.slice = zlib.decompressobj(31), 1 << 16
+        elif magic[:1] == b"x":
+            self.tool, self.slice = zlib.decompressobj(), 1 << 16
+        elif magic[:3] == b"BZh":
+            self.tool, self.slice = bz2.BZ2Decompressor(), 1 << 16
+        else:  # gives all that it can at once, so it gets little at once
+            self.tool, self.slice = zstandard.ZstdDecompressor().decompressobj(), 1 << 9
+
+    def _pieces(self, data: bytes) -> Iterator[bytes]:
+        if isinstance(self.tool, bz2.BZ2Decompressor):
+            while not self.tool.eof:
+                yield self.tool.decompress(data, WINDOW)
+                data = b""
+                if self.tool.needs_input:
+                    return
+        elif self.slice == 1 << 9:
+            yield self.tool.decompress(data)
+        else:
+            while data and not self.tool.eof:
+                yield self.tool.decompress(data, WINDOW)
+                data = self.tool.unconsumed_tail
+
+    def feed(self, data) -> Iterator[str]:
+        for at in range(0, len(data), self.slice):
+            if not self.alive:
+                return
+            try:
+                for piece in self._pieces(bytes(data[at : at + self.slice])):
+                    yield from self._give(piece)
+            except (zlib.error, zstandard.ZstdError, OSError, EOFError):
+                yield from self.close()
+                return
+            if self.tool.eof:
+                yield from self.close()
+
+    def _give(self, piece: bytes) -> Iterator[str]:
+        if self.layer is None:
+            self.head += piece
+            if len(self.head) < HEAD:
+                return
+            piece = self._known()
+        if self.layer is not None:
+            yield from self.layer.feed(piece)
+
+    def _known(self) -> bytes:
+        """Open the layer when its first bytes are there, unless it is one that holds itself."""
+        mark = hashlib.sha1(self.head[:HEAD]).digest()
+        if self.above.count(mark) >= SAME:
+            self.alive = False
+        else:
+            self.layer = _Bytes((*self.above, mark))
+        return bytes(self.head)
+
+    def close(self) -> Iterator[str]:
+        if self.alive:
+            if self.layer is None and self.head:
+                piece = self._known()
+                if self.layer is not None:
+                    yield from self.layer.feed(piece)
+            if self.layer is not None:
+                yield from self.layer.close()
+        self.alive = False
+
+
 def contents(raw: bytes) -> Iterator[str]:
-    """Texts in the bytes, and in what they hold compressed, in any number of layers. A layer that holds itself ends."""
-    head, rest, seen = raw, iter(()), set()
-    yield from readings(raw)
-    while (mark := hashlib.sha1(head).digest()) not in seen:
-        seen.add(mark)
-        inner = unpacked(head, chain([head], rest))
-        if inner is None or not (first := _taken(inner)):
-            break
-        head, rest = first, inner
-    if len(seen) > 1:
-        for window in windows(chain([head], rest)):
-            yield from readings(window)
+    """Texts in the bytes, and in what they hold compressed, in any number of layers."""
+    layer = _Bytes((hashlib.sha1(raw[:HEAD]).digest(),))
+    for at in range(0, len(raw), WINDOW):
+        yield from layer.feed(raw[at : at + WINDOW])
+    yield from layer.close()
 
 
 def _base64(run: str) -> Iterator[tuple[int, str]]:
     """Texts of a base64 run and the place in it where they begin.
 
     A run may take in letters, '/', '_' and '-' that stand before what was encoded. Places a multiple of four apart decode
-    alike, so four of them have all texts; compressed bytes are read from where they begin.
+    alike, so four of them have all texts.
     """
     bare = run.rstrip("=").replace("-", "+").replace("_", "/")
-    for k in sorted({*range(4), *(m.start() for m in PACKED.finditer(bare))}):
+    for k in range(4):
         part = bare[k:]
         part = part[: len(part) - (len(part) % 4 == 1)]
-        raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        if k < 4 or unpacked(raw[:4], iter(())) is not None:
-            for text in contents(raw):
-                yield k, text
+        for text in contents(base64.b64decode(part + "=" * (-len(part) % 4))):
+            yield k, text
 
 
 def layers_of(layer: Layer) -> Iterator[Layer]:
@@ -240,7 +261,7 @@ def layers_of(layer: Layer) -> Iterator[Layer]:
         runs += [(m.start(), m.end(), run) for m, run in joined if len(run) >= SHORTEST]
     for start, end, run in runs:
         for k, text in _base64(run):
-            a, b = layer.original(start + min(k, 3), end)
+            a, b = layer.original(start + k, end)
             yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
 
 
