@@ -2,8 +2,9 @@
 
 Four figures of every document are summed up per language and source in a mergeable quantile sketch: a histogram of
 integer buckets that keep the leading eight bits of a value, so that sketches merge by adding counts, in any order and
-with equal results, and a quantile is off by less than one part in 128. Thresholds are fences from the quartiles of the group's
-sketch; groups with few documents use the sketch of their language, and languages with few that of all documents.
+with equal results, and a quantile is off by less than one part in 128. Thresholds are fences: a quantile of the group's
+sketch and, beyond it, a multiple of the distance between two of its quantiles. No fixed value bounds them. Groups with few
+documents use the sketch of their language, and languages with few that of all documents.
 Only DataFrame functions are used.
 """
 
@@ -22,10 +23,14 @@ from tallyloom.session import written
 MIN_WORDS = 50
 #: documents that a sketch needs to set thresholds of its own
 MIN_GROUP = 200
-#: a fence is a quartile plus this many times the distance between the quartiles
+#: a fence is a quantile plus this many times its distance from a lower one
 SPREAD = 3
-#: least distance between the median and a fence: where all documents are alike, small differences are no fault
-LEAST = {"symbols": 60, "dup_lines": 700, "repeats": 300, "word_length": 250}
+#: the two quantiles of each figure, in hundredths: quartiles where a fault shows in a minority of documents that stand apart,
+#: the uppermost hundredth where many sound documents have a little of it
+QUANTILES = {"symbols": (75, 25), "dup_lines": (99, 75), "repeats": (99, 75), "word_length": (75, 25)}
+#: what the shares are shares of, and how many occurrences more than the fence allows are no fault: in short texts one or two make a large share
+SHARES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+SLACK = 2
 TWO_SIDED = ("word_length",)
 NULL_KEY = "\x00"
 WORD = r"[^\x20\x09-\x0D]"
@@ -108,12 +113,7 @@ def _figures() -> dict[str, Column]:
     def share(a: str, b: str, scale: int) -> Column:
         return F.expr(f"({scale} * {a}) div greatest({b}, 1L)")
 
-    return {
-        "symbols": share("n_symbols", "word_chars", 1000),
-        "dup_lines": share("n_dup_lines", "n_lines", 1000),
-        "repeats": share("n_repeat_words", "n_words", 1000),
-        "word_length": share("word_chars", "n_words", 100),
-    }
+    return {n: share(a, b, 1000) for n, (a, b) in SHARES.items()} | {"word_length": share("word_chars", "n_words", 100)}
 
 
 def bucket(value: str) -> Column:
@@ -130,22 +130,26 @@ def sketches(figures: DataFrame) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """low, high of each figure as columns, one row per key, from quartiles of the sketch; and how many documents it holds."""
+    """low, high of each figure as columns, one row per key, from quantiles of the sketch; and how many documents it holds."""
     merged = sketch.groupBy(*keys, "figure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "figure")
     counted = merged.withColumn("below", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    quartile = {q: F.min(F.when(F.col("below") * 4 >= F.col("total") * q, F.col("bucket"))) for q in (1, 2, 3)}
-    per = counted.groupBy(*keys, "figure").agg(*[c.alias(f"q{q}") for q, c in quartile.items()], F.max("total").alias("total"))
-    least = reduce(lambda a, kv: F.when(F.col("figure") == kv[0], kv[1]).otherwise(a), LEAST.items(), F.lit(0))
-    spread = SPREAD * (F.col("q3") - F.col("q1"))
-    per = per.withColumn("high", F.greatest(F.col("q3") + spread, F.col("q2") + least)).withColumn("low", F.least(F.col("q1") - spread, F.col("q2") - least))
-    columns = [F.max(F.when(F.col("figure") == n, F.col(side))).alias(f"{n}_{side}") for n in LEAST for side in ("low", "high")]
+    ranks = sorted({q for pair in QUANTILES.values() for q in pair})
+    quantile = {q: F.min(F.when(F.col("below") * 100 >= F.col("total") * q, F.col("bucket"))) for q in ranks}
+    per = counted.groupBy(*keys, "figure").agg(*[c.alias(f"q{q}") for q, c in quantile.items()], F.max("total").alias("total"))
+    high, low = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for name, (up, down) in QUANTILES.items():
+        apart = SPREAD * (F.col(f"q{up}") - F.col(f"q{down}"))
+        high = F.when(F.col("figure") == name, F.col(f"q{up}") + apart).otherwise(high)
+        low = F.when(F.col("figure") == name, F.col(f"q{down}") - apart).otherwise(low)
+    per = per.withColumns({"high": high, "low": low})
+    columns = [F.max(F.when(F.col("figure") == n, F.col(side))).alias(f"{n}_{side}") for n in QUANTILES for side in ("low", "high")]
     return per.groupBy(*keys).agg(*columns, F.max("total").alias("total"))
 
 
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """lang, source and the fences that hold there: the group's own, its language's, or those of all documents."""
-    names = [f"{n}_{side}" for n in LEAST for side in ("low", "high")]
+    names = [f"{n}_{side}" for n in QUANTILES for side in ("low", "high")]
     own = _fences(sketch, ["lang", "source"])
     language = _fences(sketch, ["lang"])
     overall = _fences(sketch.withColumn("every", F.lit(1)), ["every"])
@@ -173,6 +177,7 @@ def apply_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     figures = written(figures.withColumns({**_figures(), "base_failed": failed}), "figures")
     limits = thresholds(sketches(figures), min_group)
     joined = hot_key_join(figures, limits, ["lang", "source"], "left", salted=True)
-    inside = [F.col(n) <= F.col(f"{n}_high") for n in LEAST] + [F.col(n) >= F.col(f"{n}_low") for n in TWO_SIDED]
+    inside = [1000 * F.col(a) <= F.col(f"{n}_high") * F.col(b) + 1000 * SLACK for n, (a, b) in SHARES.items()]
+    inside += [F.col(n).between(F.col(f"{n}_low"), F.col(f"{n}_high")) for n in TWO_SIDED]
     kept = ~F.col("base_failed") & F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -88,12 +88,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
-_LEAST = quality_rules.LEAST
 _FENCES = ", ".join(
-    f"greatest(max(q3) FILTER (figure = '{n}') + {quality_rules.SPREAD} * (max(q3) FILTER (figure = '{n}') - max(q1) FILTER (figure = '{n}')), max(q2) FILTER (figure = '{n}') + {least}) AS {n}_high, "
-    f"least(max(q1) FILTER (figure = '{n}') - {quality_rules.SPREAD} * (max(q3) FILTER (figure = '{n}') - max(q1) FILTER (figure = '{n}')), max(q2) FILTER (figure = '{n}') - {least}) AS {n}_low"
-    for n, least in _LEAST.items()
+    f"max(q{up}) FILTER (figure = '{n}') + {quality_rules.SPREAD} * (max(q{up}) FILTER (figure = '{n}') - max(q{down}) FILTER (figure = '{n}')) AS {n}_high, "
+    f"max(q{down}) FILTER (figure = '{n}') - {quality_rules.SPREAD} * (max(q{up}) FILTER (figure = '{n}') - max(q{down}) FILTER (figure = '{n}')) AS {n}_low"
+    for n, (up, down) in quality_rules.QUANTILES.items()
 )
+_RANKS = ", ".join(f"min(bucket) FILTER (below * 100 >= total * {q}) AS q{q}" for q in (25, 75, 99))
 
 
 def _level(name: str, keys: str) -> str:
@@ -101,7 +101,7 @@ def _level(name: str, keys: str) -> str:
   SELECT {keys}, figure, bucket, sum(sum(n)) OVER (PARTITION BY {keys}, figure ORDER BY bucket) AS below, sum(sum(n)) OVER (PARTITION BY {keys}, figure) AS total
   FROM sketch GROUP BY {keys}, figure, bucket
 ), {name}_q AS (
-  SELECT {keys}, figure, max(total) AS total, min(bucket) FILTER (below * 4 >= total) AS q1, min(bucket) FILTER (below * 4 >= total * 2) AS q2, min(bucket) FILTER (below * 4 >= total * 3) AS q3
+  SELECT {keys}, figure, max(total) AS total, {_RANKS}
   FROM {name}_c GROUP BY {keys}, figure
 ), {name} AS (SELECT {keys}, max(total) AS total, {_FENCES} FROM {name}_q GROUP BY {keys})"""
 
@@ -139,7 +139,8 @@ WITH d AS (
   SELECT lang, source, 1 AS every, figure, value - value % (CAST(1 AS BIGINT) << CAST(greatest(length(bin(value)) - 8, 0) AS BIGINT)) AS bucket, count(*) AS n FROM v GROUP BY ALL
 ), {_level("own", "lang, source")}, {_level("language", "lang")}, {_level("overall", "every")}
 SELECT x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed,
-  NOT x.base_failed AND coalesce({" AND ".join(f"x.{n} <= {_pick(n + '_high')}" for n in _LEAST)} AND x.word_length >= {_pick("word_length_low")}, false) AS kept
+  NOT x.base_failed AND coalesce({" AND ".join(f"1000 * x.{a} <= {_pick(n + '_high')} * x.{b} + {1000 * quality_rules.SLACK}" for n, (a, b) in quality_rules.SHARES.items())}
+    AND x.word_length BETWEEN {_pick("word_length_low")} AND {_pick("word_length_high")}, false) AS kept
 FROM x LEFT JOIN own ON x.lang = own.lang AND x.source = own.source LEFT JOIN language ON x.lang = language.lang LEFT JOIN overall ON true
 """
 
