@@ -189,7 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS, most_pa
 
     At most about ``per_class`` labelled documents of each class, those with the smallest hashes of id, and of each at most
     ``most_passages`` passages, evenly spread. Their features are computed on the executors and gathered: a few megabytes,
-    whatever the corpus. Of several labels of a document the lowest counts; null labels and ids do not.
+    whatever the corpus. Of several labels of a document the lowest counts; null labels and ids do not. Of several rows with
+    one id the one with the lowest features counts, chosen before anything is gathered.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -206,8 +207,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS, most_pa
                     own = own[np.linspace(0, len(own) - 1, most_passages).astype(int)]
                 yield {"doc_id": [key], "quality": [y], "x": [own.astype(np.float32).tobytes()]}
 
-    found = map_batches(rows.select("doc_id", "text", "quality"), step, "doc_id long, quality int, x binary").toPandas()
-    found = found.sort_values(["doc_id", "x"], kind="stable")
+    found = map_batches(rows.select("doc_id", "text", "quality"), step, "doc_id long, quality int, x binary")
+    # one row of an id, however many rows have it
+    found = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["x"]]
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, FEATURES))
     bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags]) if bags else np.zeros(0, np.int64)
