@@ -69,6 +69,8 @@ def by_size(texts: Sequence[str], chars: int = 500_000) -> Iterator[slice]:
 PIECE_BYTES = 4 << 20
 #: rows that Spark hands to Python at once, unless the session says otherwise than Spark's own ten thousand: texts may be very long
 BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: likewise their bytes, instead of Spark's own 64 MB
+BYTES_SETTING, SPARKS_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 
 def rows_of(batch: pa.RecordBatch) -> int:
@@ -83,6 +85,8 @@ def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers of the cluster, once per application, and see to batches of long texts."""
     if spark.conf.get(BATCH_SETTING) == "10000":
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    if spark.conf.get(BYTES_SETTING).rstrip("b") == SPARKS_BYTES:
+        spark.conf.set(BYTES_SETTING, str(PIECE_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -7,9 +7,10 @@ import zlib
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language_id, quality_classifier, quality_rules, secret_scan
+from tallyloom.llm import common, language_id, quality_classifier, quality_rules, secret_scan
 from tallyloom.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -132,3 +133,15 @@ def test_attention_gradients():
     model = quality_classifier.train(x, bag, label)
     assert ((model.score(x, bag) > 0.5) == (label == 1)).mean() > 0.95
     assert np.allclose(np.add.reduceat(model.forward(x, bag)["a"], np.arange(0, 120, 3)), 1)
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    common.ship(spark)
+    long = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    seen = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in seen) == 600 and max(r["size"] for r in seen) < 2 * common.PIECE_BYTES
