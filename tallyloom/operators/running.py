@@ -24,37 +24,43 @@ def chunk() -> Column:
 class Machine:
     """A machine with few states, numbered from 0. ``moves[e][s]`` is the state after event e in state s.
 
-    A chunk of events maps each state to the state it ends in; such maps compose, so chunks are folded apart and in parallel.
+    A sequence of events maps each state to the state it ends in. A machine has few such maps, so they are numbered, number 0
+    changes nothing, and composing two is a look-up: sequences are folded apart and in parallel.
     """
 
     moves: tuple[tuple[int, ...], ...]
     start: int = 0
 
-    def after(self, event: Column, state: Column) -> Column:
-        """State after an event; null events change nothing."""
-        n = len(self.moves[0])
-        table = F.array(*[F.lit(s) for row in self.moves for s in row])
-        return F.coalesce(F.get(table, event * n + state), state)
-
-    def maps(self, events: Column) -> Column:
-        """Where each state ends after the events."""
-        every = F.array(*[F.lit(s) for s in range(len(self.moves[0]))])
-        return F.aggregate(events, every, lambda at, e: F.transform(at, lambda s: self.after(e["event"], s)))
-
-    def entering(self, maps: Column) -> Column:
+    def maps(self) -> list[tuple[int, ...]]:
+        """All maps that events compose to."""
+        found = [tuple(range(len(self.moves[0])))]
+        for known in found:
+            found += [m for m in dict.fromkeys(tuple(e[s] for s in known) for e in self.moves) if m not in found]
+        return found
+
+    def numbers(self, events: Column) -> Column:
+        """Numbers of the maps of single events."""
+        every = self.maps()
+        return F.transform(events, lambda e: _at([every.index(m) for m in self.moves], e["event"]))
+
+    def doubled(self, runs: Column, k: int) -> Column:
+        """Maps of the last 2k events at each event, from those of the last k."""
+        every = self.maps()
+        table = [every.index(tuple(b[s] for s in a)) for a in every for b in every]
+        longer = F.transform(runs, lambda m, i: F.when(i >= k, _at(table, F.get(runs, i - k) * len(every) + m)).otherwise(m))
+        return F.when(F.size(runs) > k, longer).otherwise(runs)
+
+    def after(self, number: Column, state: Column) -> Column:
+        """State after the events of a map, from a state."""
+        return _at([s for m in self.maps() for s in m], number * len(self.moves[0]) + state)
+
+    def entering(self, numbers: Column) -> Column:
         """State after a sequence of maps."""
-        return F.aggregate(maps, F.lit(self.start), lambda s, m: F.get(m, s))
-
-    def changes(self, events: Column, entering: Column) -> Column:
-        """seq and state of the events that change the state."""
-        none = F.array().cast("array<struct<seq:bigint,state:int>>")
+        return F.aggregate(numbers, F.lit(self.start), lambda s, m: self.after(m, s))
 
-        def step(at: Column, e: Column) -> Column:
-            new = self.after(e["event"], at["state"])
-            more = F.when(new != at["state"], F.array_append(at["changes"], F.struct(e["seq"].cast("bigint").alias("seq"), new.alias("state")))).otherwise(at["changes"])
-            return F.struct(new.alias("state"), more.alias("changes"))
 
-        return F.aggregate(events, F.struct(entering.alias("state"), none.alias("changes")), step)["changes"]
+def _at(table: list[int], index: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in table]), index)
 
 
 def accumulate(
@@ -84,6 +90,7 @@ def accumulate(
             **{n: F.sum(f"_in_{n}").over(upto) for n in sums},
             **{n: F.last(f"_in_{n}", ignorenulls=True).over(upto) for n in lasts},
             **{n: F.last(f"_in_{n}", ignorenulls=True).over(past) for n in earlier},
+            **{n: F.count(f"_in_{n}").over(upto) for n in states},
         }
     )
     local = local.withColumns({n: F.last(F.when(F.col(f"_in_{n}"), F.coalesce(F.col(s), F.lit(0))), ignorenulls=True).over(upto) for n, (s, _) in marks.items()})
@@ -103,7 +110,13 @@ def accumulate(
         *[ends(n, F.min_by).alias(n) for n in nexts],
         *[F.array_sort(F.collect_list(F.when(F.col(f"_in_{n}").isNotNull(), F.struct("seq", F.col(f"_in_{n}").alias("event"))))).alias(n) for n in states],
     )
-    totals = totals.withColumns({f"_maps_{n}": m.maps(F.col(n)) for n, (m, _) in states.items()})
+    # a byte per event: the map of all events of the chunk up to it
+    for n, (m, _) in states.items():
+        totals = totals.withColumn(n, m.numbers(F.col(n)))
+        for k in (1 << i for i in range(CHUNK_ROWS.bit_length())):
+            totals = totals.withColumn(n, m.doubled(F.col(n), k))
+        totals = totals.withColumn(n, F.col(n).cast("array<tinyint>"))
+    maps = {n: F.coalesce(F.get(n, F.size(n) - 1), F.lit(0)).cast("int") for n in states}
     before = Window.partitionBy("file").orderBy("block", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("file").orderBy(F.desc("block"), F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumns({f"_before_{n}": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in sums})
@@ -112,25 +125,26 @@ def accumulate(
         {
             **{f"_before_{n}": F.last(n, ignorenulls=True).over(before) for n in (*lasts, *earlier, *marks)},
             **{f"_before_{n}": F.last(n, ignorenulls=True).over(back) for n in nexts},
-            **{f"_before_{n}": m.entering(F.collect_list(f"_maps_{n}").over(before)) for n, (m, _) in states.items()},
+            **{f"_before_{n}": m.entering(F.collect_list(maps[n]).over(before)) for n, (m, _) in states.items()},
         }
     )
-    changes = {f"_changes_{n}": m.changes(F.col(n), F.col(f"_before_{n}")) for n, (m, _) in states.items()}
-    offsets = offsets.withColumns(changes).select(*key, *[f"_before_{n}" for n in plain], *changes)
+    runs = {f"_runs_{n}": F.col(n) for n in states}
+    offsets = offsets.withColumns(runs).select(*key, *[f"_before_{n}" for n in plain], *runs)
     joined = local.join(offsets, key)
 
-    def state(name: str) -> Column:
-        past_changes = F.filter(f"_changes_{name}", lambda c: c["seq"] <= F.col("seq"))
-        return F.coalesce(F.get(past_changes, F.size(past_changes) - 1)["state"], F.col(f"_before_{name}"))
+    def state(name: str, machine: Machine) -> Column:
+        """The map up to the row's last event, from the state that the chunk begins in."""
+        run = F.coalesce(F.get(f"_runs_{name}", (F.col(name) - 1).cast("int")).cast("int"), F.lit(0))
+        return machine.after(run, F.col(f"_before_{name}"))
 
     whole = joined.withColumns(
         {
             **{n: F.coalesce(F.col(n) + F.col(f"_before_{s}"), F.col(f"_before_{n}")) for n, (s, _) in marks.items()},
             **{n: F.coalesce(F.col(n), F.col(f"_before_{n}")) for n in (*lasts, *earlier, *nexts)},
-            **{n: state(n) for n in states},
+            **{n: state(n, m) for n, (m, _) in states.items()},
         }
     ).withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_before_{n}") for n in sums})
-    return whole.drop("_chunk", *[f"_in_{n}" for n in plain], *[f"_before_{n}" for n in plain], *changes)
+    return whole.drop("_chunk", *[f"_in_{n}" for n in plain], *[f"_before_{n}" for n in plain], *runs)
 
 
 def filled(column: str) -> Column:
