@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,6 +140,15 @@ def unconverted_fx(amount: Column | str, original_amount: Column | str, original
 # --- text and keys -------------------------------------------------------------------------------------------------
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once per row, however often ``f`` names it.
+
+    A filter that is moved below a projection repeats the definition of a column at each mention. Also keeps long expressions
+    out of the generated method of a stage, which the JVM leaves uncompiled above 8 000 bytes.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapse_ws(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(text), r"\s+", " "))
 

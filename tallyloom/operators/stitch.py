@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scalars as S
 from tallyloom.operators.lookup import hot_key_join
 from tallyloom.operators.running import Machine, accumulate, filled
-from tallyloom.schema import MONEY
+from tallyloom.schema import MONEY, REJECT
 from tallyloom.sources.cells import record
 
 POS = ("block", "seq")
@@ -169,16 +169,19 @@ COLES = Layout(
 
 def line_kind(layout: Layout) -> Column:
     """Header, noise, extra, date, footer or plain text; a footer only counts where no date starts the line."""
-    text = F.col("text")
-    kind = F.when(layout.header(text), HEAD) if layout.header else F.when(F.lit(False), HEAD)
-    if layout.noise:
-        kind = kind.when(layout.noise(text), NOISE)
-    if layout.extra:
-        kind = kind.when(layout.extra(text), EXTRA)
-    kind = kind.when(text.rlike(layout.date), DATE)
-    if layout.footer:
-        kind = kind.when(layout.footer(text), FOOT)
-    return kind.otherwise(TEXT)
+
+    def of(text: Column) -> Column:
+        kind = F.when(layout.header(text), HEAD) if layout.header else F.when(F.lit(False), HEAD)
+        if layout.noise:
+            kind = kind.when(layout.noise(text), NOISE)
+        if layout.extra:
+            kind = kind.when(layout.extra(text), EXTRA)
+        kind = kind.when(text.rlike(layout.date), DATE)
+        if layout.footer:
+            kind = kind.when(layout.footer(text), FOOT)
+        return kind.otherwise(TEXT)
+
+    return S.once(F.col("text"), of)
 
 
 def mark_lines(lines: DataFrame, layout: Layout, until: Column | None = None) -> DataFrame:
@@ -239,24 +242,6 @@ def entries(lines: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     return grouped.where((first["kind"] == DATE) | (F.col("part") > 0)).withColumns({"block": first["block"], "seq": first["seq"]})
 
 
-def overlong(found: DataFrame, layout: Layout) -> DataFrame:
-    """Records for quarantine: the further parts of entries of very many lines, each with its own text."""
-    text = F.array_join(F.col("lines.text"), "\n")
-    nothing = F.lit(None)
-    return found.where("part > 0").select(
-        *record(
-            txn_date=nothing.cast("date"),
-            date_raw=F.lit(""),
-            description=F.substring(text, 1, 200),
-            amount=nothing.cast(MONEY),
-            source_type=layout.source_type,
-            source_rank=layout.rank,
-            reject=F.lit(TOO_LONG),
-            raw=F.create_map(F.lit("part"), F.col("part").cast("string"), F.lit("text"), text),
-        )
-    )
-
-
 def with_rest(lines: DataFrame, layout: Layout) -> DataFrame:
     """``rest``: the part of a line that may hold text and amounts, on a date line what follows the date."""
     after = F.when(F.col("kind") == DATE, F.trim(F.regexp_extract("text", layout.date, 2)))
@@ -374,53 +359,56 @@ def with_ing_columns(lines: DataFrame, text: str, name: str = "cols") -> DataFra
     """Add struct(found, rest, money_out, money_in, balance, amount) from the last two or three numbers of a line.
 
     The last number is the balance. A third one from the end belongs to the columns if fewer than 15 characters
-    separate it from the next; of two, a negative first is money out. Numbers and gaps are columns of their own, so
-    that each line is scanned twice and not once per use.
+    separate it from the next; of two, a negative first is money out. Each line is scanned twice and not once per use.
     """
-    scanned = lines.withColumns(
-        {"_numbers": F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1), "_gaps": F.split(text, NUMBER)}
+    scanned = F.struct(
+        F.col(text).alias("text"),
+        F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1).alias("numbers"),
+        F.split(text, NUMBER).alias("gaps"),
     )
-    n = F.size("_numbers")
+    return lines.withColumn(name, S.once(scanned, lambda line: S.once(_ing_places(line), _ing_columns)))
+
+
+def _ing_places(line: Column) -> Column:
+    n = F.size(line["numbers"])
 
     def number(back: int) -> Column:
-        return F.get("_numbers", n - back)
+        return F.get(line["numbers"], n - back)
 
     def gap(back: int) -> Column:
-        return F.coalesce(F.length(F.get("_gaps", n - back)), F.lit(0))
+        return F.coalesce(F.length(F.get(line["gaps"], n - back)), F.lit(0))
 
     three = (n >= 3) & (gap(2) < 15)
-    start = F.length(text) - gap(0) - F.length(number(1)) - gap(1) - F.length(number(2))
+    start = F.length(line["text"]) - gap(0) - F.length(number(1)) - gap(1) - F.length(number(2))
     start = F.when(three, start - gap(2) - F.length(number(3))).otherwise(start)
     negative = number(2).startswith("-")
-    out = F.when(three, number(3)).when(negative, number(2))
-    into = F.when(three | ~negative, number(2))
     found = n >= 2
-    placed = scanned.withColumns(
-        {
-            "_out": F.when(found, out),
-            "_into": F.when(found, into),
-            "_left": F.when(found, F.trim(F.substring(text, F.lit(1), start))),
-            "_balance": F.when(found, number(1)),
-        }
+    return F.struct(
+        F.when(found, F.trim(F.substring(line["text"], F.lit(1), start))).alias("left"),
+        F.when(found, F.when(three, number(3)).when(negative, number(2))).alias("out"),
+        F.when(found, F.when(three | ~negative, number(2))).alias("into"),
+        F.when(found, number(1)).alias("balance"),
     )
-    cols = F.struct(
-        F.col("_left").isNotNull().alias("found"),
-        F.col("_left").alias("rest"),
-        F.col("_out").alias("money_out"),
-        F.col("_into").alias("money_in"),
-        F.col("_balance").alias("balance"),
-        S.sign_split(_number(F.col("_into")), _number(F.col("_out")), credit_first=False).alias("amount"),
+
+
+def _ing_columns(place: Column) -> Column:
+    return F.struct(
+        place["left"].isNotNull().alias("found"),
+        place["left"].alias("rest"),
+        place["out"].alias("money_out"),
+        place["into"].alias("money_in"),
+        place["balance"].alias("balance"),
+        S.sign_split(_number(place["into"]), _number(place["out"]), credit_first=False).alias("amount"),
     )
-    return placed.withColumn(name, cols).drop("_numbers", "_gaps", "_out", "_into", "_left", "_balance")
 
 
 def stitch_ing(lines: DataFrame, layout: Layout = ING) -> DataFrame:
     """Everything up to the next date or footer belongs to an entry; the first line with a non-zero amount gives it."""
     members = with_ing_columns(with_rest(in_entry(mark_lines(lines, layout)), layout), "rest")
     gathered = entries(members, more=("rest", "cols"))
-    found = with_parts(gathered.where("part = 0"), layout)
+    found = with_parts(gathered, layout)
     at = F.array_position(F.transform("lines", lambda e: e["cols"]["amount"].isNotNull()), True)
-    found = found.withColumn("_at", at).where(F.col("_at") > 0)
+    found = found.withColumn("_at", at).where((F.col("_at") > 0) | (F.col("part") > 0))
     found = found.withColumn("_hit", F.get("lines", (F.col("_at") - 1).cast("int"))["cols"])
 
     def text_of(e: Column, i: Column) -> Column:
@@ -435,7 +423,7 @@ def stitch_ing(lines: DataFrame, layout: Layout = ING) -> DataFrame:
         F.lit("money_in"), F.coalesce("_hit.money_in", F.lit("")),
         F.lit("balance"), F.col("_hit.balance"),
     )
-    return _records(found, layout, parsed, description, F.col("_hit.amount"), raw).unionByName(overlong(gathered, layout))
+    return _records(found, layout, parsed, description, F.col("_hit.amount"), raw)
 
 
 def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
@@ -455,9 +443,9 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
     )
     members = members.withColumn("rest", F.when(foreign, F.concat(F.lit("("), "rest", F.lit(")"))).otherwise(F.col("rest")))
     gathered = entries(members, more=("rest", "amounts", "bare"))
-    found = with_parts(gathered.where("part = 0"), layout)
+    found = with_parts(gathered, layout)
     at = F.array_position(F.transform("lines", lambda e: F.size(e["amounts"]) > 0), True)
-    found = found.withColumn("_at", at).where(F.col("_at") > 0)
+    found = found.withColumn("_at", at).where((F.col("_at") > 0) | (F.col("part") > 0))
     texts = F.transform("lines", lambda e, i: F.when(i == F.col("_at") - 1, e["bare"]).otherwise(e["rest"]))
     hit = F.get("lines", (F.col("_at") - 1).cast("int"))["amounts"]
     found = found.withColumns({"_texts": texts, "_hit": hit})
@@ -473,7 +461,7 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
     found = hot_key_join(found, balances, ["file"])
     description = _joined(F.col("_texts"))
     parsed = S.parse_statement_date("date_text", F.lit(None).cast("string"))
-    return _records(found, layout, parsed, description, amount, _card_raw(parsed, description, amount)).unionByName(overlong(gathered, layout))
+    return _records(found, layout, parsed, description, amount, _card_raw(parsed, description, amount))
 
 
 def _card_raw(parsed: Column, description: Column, amount: Column, *more: Column) -> Column:
@@ -495,26 +483,31 @@ def _year_marked(raw: Column) -> Column:
 def hsbc_amount(text: Column, has_balance: Column) -> Column:
     """struct(amount, balance, rest): debit, credit and balance; amount and balance, or debit and credit; or one signed amount."""
 
-    def group(pattern: str, i: int) -> Column:
-        return _number(F.regexp_extract(text, pattern, i))
+    def of(line: Column) -> Column:
+        text, three, two, one = (line[n] for n in ("text", "three", "two", "one"))
 
-    three, two, one = text.rlike(THREE), text.rlike(TWO), text.rlike(ONE)
-    a3, b3 = group(THREE, 1), group(THREE, 2)
-    a2, b2 = group(TWO, 1), group(TWO, 2)
-    amount = (
-        F.when(three, F.when(b3 > 0, b3).otherwise(-a3))
-        .when(two & has_balance, -a2)
-        .when(two, F.when(a2 > 0, -a2).otherwise(b2))
-        .when(one, -group(ONE, 1))
-    )
-    balance = F.when(three, group(THREE, 3)).when(two & has_balance, b2)
-    rest = (
-        F.when(three, F.regexp_replace(text, THREE, ""))
-        .when(two, F.regexp_replace(text, TWO, ""))
-        .when(one, F.regexp_replace(text, ONE, ""))
-        .otherwise(text)
-    )
-    return F.struct(amount.alias("amount"), balance.alias("balance"), F.trim(rest).alias("rest"))
+        def group(pattern: str, i: int) -> Column:
+            return _number(F.regexp_extract(text, pattern, i))
+
+        two_balance = two & line["has_balance"]
+        a2, b3 = group(TWO, 1), group(THREE, 2)
+        amount = (
+            F.when(three, F.when(b3 > 0, b3).otherwise(-group(THREE, 1)))
+            .when(two_balance, -a2)
+            .when(two, F.when(a2 > 0, -a2).otherwise(group(TWO, 2)))
+            .when(one, -group(ONE, 1))
+        )
+        balance = F.when(three, group(THREE, 3)).when(two_balance, group(TWO, 2))
+        rest = (
+            F.when(three, F.regexp_replace(text, THREE, ""))
+            .when(two, F.regexp_replace(text, TWO, ""))
+            .when(one, F.regexp_replace(text, ONE, ""))
+            .otherwise(text)
+        )
+        return F.struct(amount.alias("amount"), balance.alias("balance"), F.trim(rest).alias("rest"))
+
+    kinds = {"three": text.rlike(THREE), "two": text.rlike(TWO), "one": text.rlike(ONE), "has_balance": has_balance}
+    return S.once(F.struct(text.alias("text"), *[c.alias(n) for n, c in kinds.items()]), of)
 
 
 def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC, *, infer_year: bool = False) -> DataFrame:
@@ -576,20 +569,23 @@ def stitch_coles(lines: DataFrame, layout: Layout = COLES, *, infer_year: bool =
 def _records(
     found: DataFrame, layout: Layout, parsed: Column, description: Column, amount: Column, raw: Column
 ) -> DataFrame:
-    reject = F.when(parsed.isNull(), F.lit("unreadable date"))
+    """Records of entries; the further parts of entries of very many lines go to quarantine, each with its own text."""
+    further = F.col("part") > 0
+    text = F.array_join("lines.text", "\n")
     out = found.select(
         *record(
-            txn_date=parsed,
-            date_raw=F.col("date_text"),
-            description=description,
-            amount=amount,
+            txn_date=F.when(~further, parsed),
+            date_raw=F.when(further, F.lit("")).otherwise(F.col("date_text")),
+            description=F.when(further, F.substring(text, 1, 200)).otherwise(description),
+            amount=F.when(~further, amount),
             source_type=layout.source_type,
             source_rank=layout.rank,
-            reject=reject,
-            raw=raw,
+            reject=F.when(further, F.lit(TOO_LONG)).when(parsed.isNull(), F.lit("unreadable date")),
+            raw=F.when(further, F.create_map(F.lit("part"), F.col("part").cast("string"), F.lit("text"), text)).otherwise(raw),
         )
     )
-    return out.where((F.col("description") != "") & F.col("amount").isNotNull())
+    read = (F.col("description") != "") & F.col("amount").isNotNull()
+    return out.where(read | (F.coalesce(REJECT, F.lit("")) == TOO_LONG))
 
 
 STITCHERS = {"ing": stitch_ing, "bankwest": stitch_bankwest, "hsbc": stitch_hsbc, "coles": stitch_coles}

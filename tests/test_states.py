@@ -1,10 +1,13 @@
 """States of a machine along long statements, and the size of the code that lines are classified by."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import running, stitch
+from workload import catalog
 
 
 def test_states_agree_with_a_loop_over_chunk_borders(spark, monkeypatch):
@@ -27,3 +30,10 @@ def test_a_line_looks_its_state_up_instead_of_searching_all_changes(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[: plan.index("Join")]
     assert "filter(" not in joined and "lambda" not in joined
+
+
+@pytest.mark.parametrize("key", ["L02_noise_filter", "L05_amount_columns"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, key):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    text = catalog.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(mode)
+    assert all(int(size) < 8000 for size in re.findall(r"maxMethodCodeSize:(\d+)", text))
