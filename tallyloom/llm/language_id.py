@@ -11,19 +11,17 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import LETTER, classes
-from tallyloom.llm.common import by_size, held_out, map_batches, ship, texts_of
-from tallyloom.operators.lookup import hot_key_join
+from tallyloom.llm.common import by_size, held_out, map_batches, texts_of
 
 DIM = 512
 #: letters with a vector: 26, those beyond share the others; 0 stands for whatever is no letter
 SLOTS = 128
-#: documents that a language's prototype is learned from, at most about; and those of all languages
-FIT_ROWS, FIT_TOTAL = 1000, 50_000
+#: vectors of unit length are summed in whole numbers of this part, so that a sum is the same in any order
+PARTS = 1 << 20
 UNDETERMINED = "und"
 #: a bound is this part of the low quantile of a language's own scores; texts of so many characters have 0.7 of a long one's score
 LOW, OF_LOW, HALF_LENGTH = 0.01, 0.5, 320
@@ -107,40 +105,28 @@ class Profiles:
     seed: int
 
 
-def fit_rows(docs: DataFrame, per_language: int = FIT_ROWS, in_all: int = FIT_TOTAL) -> DataFrame:
-    """doc_id, text, lang of documents to learn from: not held out, with a language.
-
-    At most about ``per_language`` documents of each, those with the smallest hashes of id; never more than about ``in_all``.
-    """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    bound = min(per_language, max(1, in_all // max(total, 1)))
-    share = (F.xxhash64(F.col("doc_id").cast("string")).cast("double") / F.lit(2.0**64)) + 0.5
-    narrow = hot_key_join(known.select("doc_id", "lang"), counts, ["lang"], "inner", salted=True)
-    chosen = narrow.where(share <= F.lit(float(bound)) / F.col("n")).select("doc_id", "lang").distinct()
-    return known.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most about in_all ids
+def known(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang of the documents to learn from: all that are not held out and have a language."""
+    return docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
 
-def learn(docs: DataFrame, dim: int = DIM, seed: int = 7, per_language: int = FIT_ROWS, in_all: int = FIT_TOTAL) -> Profiles:
-    """Prototypes from the documents of ``fit_rows``. What the driver gets is one vector per language."""
-    ship(docs.sparkSession)
-    sample = fit_rows(docs, per_language, in_all)
+def learn(docs: DataFrame, dim: int = DIM, seed: int = 7) -> Profiles:
+    """Prototypes from all documents of ``known``: sums that merge by adding. What the driver gets is one vector per language."""
 
     def sums(batch):
         texts, names = texts_of(batch), np.array(batch.column(1).to_pylist(), object)
+        here, of = np.unique(names.astype(str), return_inverse=True)
+        total = np.zeros((len(here), dim), np.int64)
         for part in by_size(texts):
             vectors, _ = encoder(dim, seed).bundles(texts[part])
-            own = names[part]
-            here = sorted(set(own))
-            yield {"lang": here, "v": [unit(vectors)[own == n].sum(axis=0).tolist() for n in here]}
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "v": [np.sum(list(pdf["v"]), axis=0)]})
-
-    parts = map_batches(sample.select("text", "lang"), sums, "lang string, v array<double>")
-    rows = parts.groupBy("lang").applyInPandas(merged, "lang string, v array<double>").orderBy("lang").toPandas()
-    prototypes = np.array(list(rows["v"]), np.float64).reshape(len(rows), dim)
+            np.add.at(total, of[part], np.rint(unit(vectors) * PARTS).astype(np.int64))
+        yield {"lang": here.tolist(), "v": total.tolist()}
+
+    parts = map_batches(known(docs).select("text", "lang"), sums, "lang string, v array<long>")
+    added = parts.select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    whole = added.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x")))["x"].alias("v"))
+    rows = whole.orderBy("lang").toPandas()
+    prototypes = np.array([list(v) for v in rows["v"]], np.float64).reshape(len(rows), dim)
     return Profiles(tuple(rows["lang"]), unit(prototypes), dim, seed)
 
 
@@ -179,10 +165,10 @@ def expected(length: Column | str) -> Column:
 def bounds(docs: DataFrame, profiles: Profiles) -> dict[str, float]:
     """Of each language the cosine, times ``expected``, below which a text isn't in it: a part of what nearly all of its own documents have.
 
-    Scores of the documents of ``fit_rows`` are counted in buckets of a thousandth, per language predicted; such counts
+    Scores of the documents of ``known`` are counted in buckets of a thousandth, per language predicted; such counts
     merge by adding. What the driver gets is one number per language.
     """
-    scored = predict(fit_rows(docs), profiles, "lang", "text").where("lang_pred = lang")
+    scored = predict(known(docs), profiles, "lang", "text").where("lang_pred = lang")
     bucket = F.floor(1000 * F.col("score") / expected(F.greatest(F.length("text"), F.lit(1)))).alias("bucket")
     sketch = scored.select("lang", bucket).groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("lang")

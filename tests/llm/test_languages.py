@@ -50,3 +50,14 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
     assert int(done.stdout) < 300
+
+
+def test_prototypes_learn_from_every_document_in_any_order(spark):
+    rows = [(i, "the cat sat on the mat" if i % 5 else f"word{i} zebra quokka", "en") for i in range(1, 2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, many = (language_id.learn(docs.repartition(n)) for n in (2, 7))
+    assert few.languages == ("en",) and few.prototypes.tolist() == many.prototypes.tolist()
+    texts = [r["text"] for r in language_id.known(docs).collect()]
+    vectors, _ = Encoder().bundles(texts)
+    mean = language_id.unit(language_id.unit(vectors.astype(np.float64)).sum(axis=0))
+    assert len(texts) > 1900 and float(few.prototypes[0] @ mean) > 1 - 1e-9
