@@ -1,6 +1,7 @@
 """CSV files read by header name.
 
-Rows become positional cells by Spark's own CSV parser, and the header row of each file is found among its rows. Files of
+Rows become positional cells: those without quotes are split at their commas, the others go through Spark's own CSV parser. The
+header row of each file is found among its rows. Files of
 one folder may therefore have different column orders or layouts. A field is then ``cell at the position of its name``,
 an expression without a join per column.
 
@@ -13,6 +14,7 @@ which files have a cell that goes on after its line; only their lines are shuffl
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
@@ -21,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.operators.lookup import hot_key_join
+from tallyloom.functions import scalars as S
+from tallyloom.operators.lookup import CONFIG_ROWS, hot_key_join
 from tallyloom.operators.running import accumulate, chunk
 from tallyloom.schema import MONEY, REJECT
 
@@ -37,6 +40,8 @@ QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
 WHOLE = rf'(?:{QUOTED}"[^,]*+|[^",][^,]*+|),'
 OPENS = rf"^(?:{WHOLE})*+{QUOTED}\z"
 STAYS = rf'^[^"]*+(?:""[^"]*+)*+(?:\z|"[^,]*+,(?:{WHOLE})*+{QUOTED}\z)'
+#: a line that isn't blank
+FILLED = r"[^\x00-\x20]"
 #: lines of one row at most; a quote that stays open for longer is not the start of a cell of many lines
 ROW_LINES = 10_000
 
@@ -64,27 +69,48 @@ def split_row(text: Column) -> Column:
     return F.transform(raw, lambda c: F.when(c.rlike(quoted), F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
-def _cells(fields: Column | str, text: Column) -> Column:
-    """Cells of a parsed row. A row with as many commas as the parser has cells may be wider, whatever is in its cells; it is split from its text."""
+def _cells(text: Column) -> Column:
+    """Cells of a row: split at its commas where it has no quotes, else by the parser.
 
-    def at(name: str) -> Column:
-        return F.col(f"{fields}.{name}") if fields else F.col(name)
+    The parser throws for each cell that a row has less than its schema, so the row is filled up by the commas it lacks outside quotes.
+    A row with as many commas as the parser has cells may be wider, whatever is in its cells; it is split from its text.
+    """
 
-    narrow = F.array(*[at(f"c{i}") for i in range(WIDTH)])
-    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    return F.when(text.isNotNull() & (commas >= WIDTH), split_row(F.regexp_replace(text, r"^\ufeff|[\r\n]+$", ""))).otherwise(narrow)
+    def commas(c: Column) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
 
+    def filled_up(bare: Column) -> Column:
+        # not behind an open quote, nor behind blanks that may follow a closed one
+        closed = ~bare.contains('"') & ~text.endswith(" ") & ~text.endswith("\t")
+        return F.when(closed, F.concat(text, F.repeat(F.lit(","), WIDTH - 1 - commas(bare)))).otherwise(text)
+
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in PARSER.items()}
+    whole = S.once(F.regexp_replace(text, r'"[^"]*+"', ""), filled_up)
+    fields = F.from_csv(whole, ", ".join(f"{f.name} string" for f in CELLS), options)
+    parsed = S.once(fields, lambda f: F.array(*[f[f"c{i}"] for i in range(WIDTH)]))
+    split = F.when(~text.contains('"'), F.split(text, ",")).when(commas(text) >= WIDTH, split_row(F.regexp_replace(text, r"[\r\n]+$", "")))
+    return split.otherwise(parsed)
+
+
+def _rows(lines: DataFrame) -> DataFrame:
+    """file, block, seq, cells of lines with their text, without blank ones.
+
+    Numbers of rows and cells are made together: a filter is not moved below numbers, where it would repeat the split.
+    """
+    filled = lines.where(F.col("text").rlike(FILLED))
+    return filled.select("file", "block", F.monotonically_increasing_id().alias("seq"), _cells(F.col("text")).alias("cells"))
 
-def _rows(df: DataFrame) -> DataFrame:
-    """file, block, cells of rows that the CSV reader read. It keeps the text of rows with another number of cells than its schema."""
-    return df.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), _cells("", F.col(ROW_TEXT)).alias("cells")
-    )
+
+def _text(text: DataFrame) -> DataFrame:
+    """file, block, text of the lines of a text frame, without a mark of their encoding."""
+    block = F.col("_metadata.file_block_start")
+    bare = F.when(block == 0, F.regexp_replace("value", r"^\ufeff", "")).otherwise(F.col("value"))
+    return text.select(F.col("_metadata.file_path").alias("file"), block.alias("block"), F.make_valid_utf8(bare).alias("text"))
 
 
 def open_quotes(lines: DataFrame) -> list[str]:
     """Files of a text frame in which a line that begins outside quotes may end inside. Names are those of ``DataFrame.inputFiles``."""
-    return [r["file"] for r in lines.where(F.col("value").rlike(OPENS)).select(F.input_file_name().alias("file")).distinct().toLocalIterator()]
+    return [r["file"] for r in lines.where(F.col("value").contains('"') & F.col("value").rlike(OPENS)).select(F.input_file_name().alias("file")).distinct().toLocalIterator()]
 
 
 def inside_quotes(lines: DataFrame) -> DataFrame:
@@ -124,10 +150,7 @@ def read_quoted(spark: SparkSession, paths: str | list[str], glob: str | None =
     A row stands where its first line stands. Lines of one row are gathered; all others are rows as they are. When over
     ``ROW_LINES`` lines would make one row, its quote isn't one: each of its lines is a row, so that what follows isn't lost.
     """
-    text = files(spark.read, glob).text(paths)
-    block = F.col("_metadata.file_block_start")
-    bare = F.when(block == 0, F.regexp_replace("value", r"^\ufeff", "")).otherwise(F.col("value"))
-    lines = inside_quotes(with_seq(text.select(F.col("_metadata.file_path").alias("file"), block.alias("block"), bare.alias("text"))))
+    lines = inside_quotes(with_seq(_text(files(spark.read, glob).text(paths))))
     several = F.col("inside") | F.col("inside_after")
     found = accumulate(lines.where(several).select("file", "block", "seq", "text", "inside"), lasts={"row": F.when(~F.col("inside"), position())})
     sizes = found.groupBy("file", "row").agg((F.count(F.lit(1)) > ROW_LINES).alias("long"))
@@ -136,9 +159,9 @@ def read_quoted(spark: SparkSession, paths: str | list[str], glob: str | None =
     joined = gathered.select("file", "row.block", "row.seq", F.array_join("lines.text", "\n").alias("text"))
     columns = ("file", "block", "seq", "text")
     whole = lines.where(~several).select(*columns).unionByName(sized.where("long").select(*columns)).unionByName(joined)
-    fields = F.from_csv("text", ", ".join(f"{f.name} string" for f in CELLS), {k: str(v).lower() if isinstance(v, bool) else v for k, v in PARSER.items()})
-    parsed = whole.where(F.trim("text") != "").withColumn("_fields", fields)
-    return parsed.select("file", "block", "seq", _cells("_fields", F.col("text")).alias("cells"))
+    # in a row of its own, so that a filter doesn't repeat the split
+    cells = F.inline(F.array(F.struct(_cells(F.col("text")).alias("cells"))))
+    return whole.where(F.trim("text") != "").select("file", "block", "seq", cells)
 
 
 def read_cells(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -152,8 +175,7 @@ def read_cells(spark: SparkSession, path: str | list[str], glob: str | None = No
     parts = []
     if rest:
         plain = path if not quoted else [_plain(f) for f in rest]
-        reader = files(spark.read.schema(CELLS).options(header=False, encoding="UTF-8", **PARSER), None if quoted else glob)
-        parts.append(with_seq(_rows(reader.csv(plain))))
+        parts.append(_rows(_text(files(spark.read, None if quoted else glob).text(plain))))
     if quoted:
         parts.append(read_quoted(spark, [_plain(f) for f in sorted(quoted)]))
     if not parts:
@@ -196,20 +218,45 @@ class HeaderRule:
 NO_HEADER = "no header row"
 
 
-def with_header(rows: DataFrame, rule: HeaderRule) -> DataFrame:
-    """Data rows with the column names of their file (``names``).
+def per_file(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with what is known of their file, one row per file, as Spark lists them.
+
+    The driver knows how many files were listed. When they are few the facts go to the rows, which stay in the tasks that read
+    them; rows are neither shuffled by file, which gathers them in as many tasks as there are files, nor broadcast.
+    """
+    if 0 < len(rows.inputFiles()) <= CONFIG_ROWS:
+        return rows.join(F.broadcast(facts), "file")
+    return hot_key_join(rows, facts, ["file"], "inner")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """file, _start: where the first row of each file stands. Numbers are aggregated first, so that rows are not sorted."""
+    return rows.groupBy("file", "block").agg(F.min("seq").alias("seq")).groupBy("file").agg(F.min(position()).alias("_start"))
+
+
+def with_header(rows: DataFrame, rule: HeaderRule, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Data rows with the column names of their file (``names``), and the places of ``fields``, found once per file, for ``placed``.
 
     Of a file without a header the first row is kept, without names, so that the readers can send it to quarantine. Only
-    header rows and row numbers are aggregated; the join copes with a file that holds a large part of all rows when there
-    are too many files for a broadcast.
+    header rows and row numbers are aggregated.
     """
     headers = rows.where(rule.is_header(F.col("cells"))).select("file", "cells", position().alias("_at"))
     names = headers.groupBy("file").agg(trimmed(F.min_by("cells", "_at")).alias("names"))
-    per_file = rows.groupBy("file").agg(F.min(position()).alias("_start")).join(names, "file", "left")
-    data = hot_key_join(rows.where(~rule.is_header(F.col("cells"))), per_file, ["file"], "inner")
+    data = per_file(rows.where(~rule.is_header(F.col("cells"))), labelled(starts(rows).join(names, "file", "left")).withColumns(
+        {f"_at_{n}": (F.nullif(F.array_position("names", n), F.lit(0)) - 1).cast("int") for n in fields}
+    ))
     return data.where(F.col("names").isNotNull() | (position() == F.col("_start"))).drop("_start")
 
 
+def valued(rows: DataFrame, texts: Column, values: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add the fields of ``values``, a struct made of the struct ``texts``; rows whose values don't meet ``keep`` go.
+
+    Both are evaluated once per row. A filter on plain columns would be moved below them and repeat all that they are made of.
+    """
+    one = F.transform(F.array(texts), values)
+    return rows.select("*", F.inline(one if keep is None else F.filter(one, keep)))
+
+
 def trimmed(names: Column) -> Column:
     return F.transform(names, lambda n: F.trim(n))
 
@@ -220,13 +267,24 @@ def field(name: str) -> Column:
     return F.coalesce(F.get("cells", at.cast("int")), F.lit(""))
 
 
+def placed(name: str) -> Column:
+    """``field`` of a column whose place is known."""
+    return F.coalesce(F.get("cells", F.col(f"_at_{name}")), F.lit(""))
+
+
+def labelled(facts: DataFrame) -> DataFrame:
+    """Add to the names of each file what ``raw_map`` needs: places and names of its columns, of equal names the first one."""
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("names") - 1),
+        lambda i: (F.coalesce(F.get("names", i), F.lit("")) != "") & (F.array_position("names", F.get("names", i)) == i + 1),
+    )
+    placed = facts.withColumn("_places", F.when(F.size("names") > 0, places))
+    return placed.withColumn("_labels", F.transform("_places", lambda i: F.get("names", i)))
+
+
 def raw_map() -> Column:
     """The row as it was, by column name; unnamed cells are left out, and the first of equal names counts."""
-    pairs = F.transform("names", lambda n, i: F.struct(n.alias("n"), F.coalesce(F.get("cells", i), F.lit("")).alias("c")))
-    named = F.filter(
-        pairs, lambda p, i: (F.coalesce(p["n"], F.lit("")) != "") & (F.array_position("names", p["n"]) == i + 1)
-    )
-    return F.map_from_entries(named)
+    return F.map_from_arrays("_labels", F.transform("_places", lambda i: F.coalesce(F.get("cells", i), F.lit(""))))
 
 
 def record(

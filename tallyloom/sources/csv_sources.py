@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 from tallyloom.operators.conversions import collapse_conversions
-from tallyloom.operators.lookup import hot_key_join
 from tallyloom.schema import MONEY
 from tallyloom.sources import cells as C
 
@@ -21,25 +21,59 @@ PAYPAL_HEADER = C.HeaderRule(("Date", "Currency", "Gross", "Transaction ID"))
 
 
 def _simple(
-    rows: DataFrame, date: Column, text: Column, amount: Column, amounts: tuple[str, ...], source_type: str, rank: int, **more: Column
+    rows: DataFrame,
+    date: str,
+    text: str,
+    amounts: tuple[str, ...],
+    amount: Callable[..., Column],
+    source_type: str,
+    rank: int,
+    foreign: str | None = None,
 ) -> DataFrame:
     """Records of a plain layout: rows without a date, a description or an amount are not transactions.
 
-    A blank or zero amount is none; text in one of the columns ``amounts`` that is no number sends the row to quarantine.
+    ``amount`` is made of the values of the columns ``amounts``; a blank or zero one is none, and text that is no number sends the
+    row to quarantine. ``foreign`` names a column with the foreign amount.
     """
-    parsed = S.parse_dmy(date)
-    unreadable = reduce(lambda a, b: a | b, [(F.trim(C.field(n)) != "") & S.parse_amount_lenient(C.field(n)).isNull() for n in amounts])
-    blank = (F.trim(date) == "") | (F.trim(text) == "") | (amount.isNull() & ~unreadable)
-    headless = F.col("names").isNull()
-    return rows.where(~blank | headless).select(
+    numbers = [*amounts, *([foreign] if foreign else [])]
+    texts = F.struct(
+        C.field(date).alias("date_text"), F.trim(C.field(text)).alias("text"), *[C.field(n).alias(f"n{i}") for i, n in enumerate(numbers)]
+    )
+
+    def values(t: Column) -> Column:
+        return F.struct(
+            t["date_text"].alias("date_text"),
+            t["text"].alias("text"),
+            S.parse_dmy(t["date_text"]).alias("parsed"),
+            *[S.parse_amount_lenient(t[f"n{i}"]).alias(f"v{i}") for i in range(len(numbers))],
+            *[(F.trim(t[f"n{i}"]) != "").alias(f"filled{i}") for i in range(len(amounts))],
+        )
+
+    def of(v: Callable[[str], Column]) -> tuple[Column, Column]:
+        """Amount, and whether one of its columns is unreadable."""
+        bad = reduce(lambda a, b: a | b, [v(f"filled{i}") & v(f"v{i}").isNull() for i in range(len(amounts))])
+        return amount(*[v(f"v{i}") for i in range(len(amounts))]), bad
+
+    def keep(v: Column) -> Column:
+        figure, bad = of(lambda n: v[n])
+        blank = (F.trim(v["date_text"]) == "") | (v["text"] == "") | (figure.isNull() & ~bad)
+        return ~blank | F.col("names").isNull()
+
+    figure, unreadable = of(F.col)
+    more = {"original_amount": F.when(F.col(f"v{len(amounts)}") != 0, -F.col(f"v{len(amounts)}"))} if foreign else {}
+    return C.valued(rows, texts, values, keep).select(
         *C.record(
-            txn_date=parsed,
-            date_raw=date,
-            description=F.trim(text),
-            amount=F.when(~unreadable, amount),
+            txn_date=F.col("parsed"),
+            date_raw=F.col("date_text"),
+            description=F.col("text"),
+            amount=F.when(~unreadable, figure),
             source_type=source_type,
             source_rank=rank,
-            reject=F.coalesce(F.when(headless, F.lit(C.NO_HEADER)), C.unreadable_date(date, parsed), F.when(unreadable, F.lit("unreadable amount"))),
+            reject=F.coalesce(
+                F.when(F.col("names").isNull(), F.lit(C.NO_HEADER)),
+                C.unreadable_date(F.col("date_text"), F.col("parsed")),
+                F.when(unreadable, F.lit("unreadable amount")),
+            ),
             raw=C.raw_map(),
             **more,
         )
@@ -48,34 +82,20 @@ def _simple(
 
 def parse_ing(rows: DataFrame, rank: int = 3) -> DataFrame:
     """Date, Description, Credit, Debit, Balance; a non-zero credit wins over a debit."""
-    data = C.with_header(rows, ING_HEADER)
-    credit, debit = (S.parse_amount_lenient(C.field(n)) for n in ("Credit", "Debit"))
-    return _simple(data, C.field("Date"), C.field("Description"), S.sign_split(credit, debit), ("Credit", "Debit"), "ing", rank)
+    return _simple(C.with_header(rows, ING_HEADER), "Date", "Description", ("Credit", "Debit"), S.sign_split, "ing", rank)
 
 
 def parse_bankwest(rows: DataFrame, rank: int = 7) -> DataFrame:
     """Nine columns; a non-zero debit wins over a credit."""
     data = C.with_header(rows, BANKWEST_HEADER)
-    credit, debit = (S.parse_amount_lenient(C.field(n)) for n in ("Credit", "Debit"))
-    amount = S.sign_split(credit, debit, credit_first=False)
-    return _simple(data, C.field("Transaction Date"), C.field("Narration"), amount, ("Credit", "Debit"), "bankwest", rank)
+    amount = partial(S.sign_split, credit_first=False)
+    return _simple(data, "Transaction Date", "Narration", ("Credit", "Debit"), amount, "bankwest", rank)
 
 
 def parse_amex(rows: DataFrame, rank: int = 8) -> DataFrame:
     """Purchases are positive in the export, so signs are flipped; the foreign currency has no code."""
     data = C.with_header(rows, AMEX_HEADER)
-    amount = -S.parse_amount_lenient(C.field("Amount"))
-    foreign = S.parse_amount_lenient(C.field("Foreign Spend Amount"))
-    return _simple(
-        data,
-        C.field("Date"),
-        C.field("Description"),
-        amount,
-        ("Amount",),
-        "amex",
-        rank,
-        original_amount=F.when(foreign != 0, -foreign),
-    )
+    return _simple(data, "Date", "Description", ("Amount",), lambda a: -a, "amex", rank, foreign="Foreign Spend Amount")
 
 
 # fixed values: names the rental platform has used for each column, in order of preference
@@ -98,62 +118,77 @@ AIRBNB_MIN_WORDS = 3
 def _airbnb_header(rows: DataFrame) -> DataFrame:
     """Names and header position per file: the first of its first 20 rows with three known words, else its first row.
 
-    A first row without the word 'date' cannot be a header that yields anything, so only likely rows are aggregated;
-    the start of each file is a sum-like minimum.
+    A first row without the word 'date' cannot be a header that yields anything. Only the first rows of each file are looked at.
     """
-    line = F.lower(F.array_join("cells", ","))
-    score = sum((line.contains(w).cast("int") for w in AIRBNB_WORDS), F.lit(0))
-    scored = rows.select("file", C.position().alias("at"), F.when(line.contains("date") | (score >= AIRBNB_MIN_WORDS), F.col("cells")).alias("cells"), score.alias("score"))
-    starts = scored.groupBy("file").agg(F.min("at").alias("_start"))
-    likely = hot_key_join(scored.where(F.col("cells").isNotNull()), starts, ["file"], "inner")
-    hit = (F.col("score") >= AIRBNB_MIN_WORDS) & (F.col("at.block") == F.col("_start.block")) & (
-        F.col("at.seq") < F.col("_start.seq") + AIRBNB_HEADER_LINES
+    starts = C.starts(rows)
+    top = C.per_file(rows, starts).where(
+        (F.col("block") == F.col("_start.block")) & (F.col("seq") < F.col("_start.seq") + AIRBNB_HEADER_LINES)
     )
-    best = likely.where(hit | (F.col("at") == F.col("_start"))).groupBy("file").agg(
+    line = F.struct(F.lower(F.array_join("cells", ",")).alias("line"))
+    score = lambda t: F.struct(t["line"].alias("line"), sum((t["line"].contains(w).cast("int") for w in AIRBNB_WORDS), F.lit(0)).alias("score"))
+    scored = C.valued(top.withColumn("at", C.position()), line, score)
+    hit = F.col("score") >= AIRBNB_MIN_WORDS
+    best = scored.where(hit | (F.col("line").contains("date") & (F.col("at") == F.col("_start")))).groupBy("file").agg(
         F.min_by("cells", F.struct((~hit).cast("int"), F.col("at"))).alias("names"),
         F.min(F.struct((~hit).cast("int").alias("k"), F.col("at").alias("s"))).alias("_at"),
     )
-    names = C.trimmed(F.col("names"))
-    lowered = F.transform(names, lambda n: F.lower(n))
-    found = best.select("file", names.alias("names"), lowered.alias("_lowered"), F.col("_at.s").alias("_found_at"))
+    found = best.select("file", C.trimmed(F.col("names")).alias("names"), F.col("_at.s").alias("_found_at"))
     every = starts.join(found, "file", "left")
-    return every.select("file", "names", "_lowered", F.coalesce("_found_at", "_start").alias("_header_at"))
+    lowered = F.transform("names", lambda n: F.lower(n))
+    named = C.labelled(every.select("file", "names", lowered.alias("_lowered"), F.coalesce("_found_at", "_start").alias("_header_at")))
+    headless = ~F.coalesce(F.arrays_overlap("_lowered", F.array(*[F.lit(a) for a in AIRBNB_ALIASES["date"]])), F.lit(False))
+    return named.withColumns({"_headless": headless, **{f"_at_{n}": _place(n) for n in AIRBNB_ALIASES}}).drop("_lowered")
 
 
-def _aliased(canonical: str) -> Column:
-    """Cell of the first alias that the file has a column for."""
+def _place(canonical: str) -> Column:
+    """Place of the first alias that the file has a column for."""
     found = [F.nullif(F.array_position("_lowered", a), F.lit(0)) for a in AIRBNB_ALIASES[canonical]]
-    picked = F.coalesce(*found)
-    return F.trim(F.coalesce(F.get("cells", (picked - 1).cast("int")), F.lit("")))
+    return (F.coalesce(*found) - 1).cast("int")
 
 
 def parse_airbnb(rows: DataFrame, rank: int = 1) -> DataFrame:
     """Payouts: net if it is not zero, else gross; zero rows are dropped. A file without a date column is one rejected row."""
-    data = hot_key_join(rows, _airbnb_header(rows), ["file"], "inner")
-    data = data.where(C.position() >= F.col("_header_at"))
-    date = _aliased("date")
-    parsed = S.parse_dmy2(date)
-    net, gross, fee = (S.parse_amount_strict(_aliased(n)) for n in ("net", "gross", "host_fee"))
-    amount = F.when(net != 0, net).when(net.isNotNull(), gross)
-    unreadable = F.when(net.isNull() | gross.isNull() | fee.isNull(), F.lit("unreadable amount"))
-    parts = [F.nullif(_aliased(n), F.lit("")) for n in ("type", "listing", "guest")]
-    listed = (C.position() > F.col("_header_at")) & (date != "")
-    headless = F.lit(True)
-    for alias in AIRBNB_ALIASES["date"]:
-        headless = headless & F.coalesce(~F.array_contains("_lowered", alias), F.lit(True))
-    data = data.where(F.when(headless, C.position() == F.col("_header_at")).otherwise(listed & (unreadable.isNotNull() | (amount != 0))))
-    return data.select(
+    data = C.per_file(rows, _airbnb_header(rows)).where(C.position() >= F.col("_header_at"))
+    texts = F.struct(*[F.trim(F.coalesce(F.get("cells", F.col(f"_at_{n}")), F.lit(""))).alias(n) for n in AIRBNB_ALIASES])
+    numbers = {"net": "net", "gross": "gross", "fee": "host_fee"}
+
+    def values(t: Column) -> Column:
+        parts = [F.nullif(t[n], F.lit("")) for n in ("type", "listing", "guest")]
+        return F.struct(
+            t["date"].alias("date_text"),
+            S.parse_dmy2(t["date"]).alias("parsed"),
+            *[S.parse_amount_strict(t[n]).alias(k) for k, n in numbers.items()],
+            F.concat_ws(" - ", F.lit("Airbnb"), *parts).alias("text"),
+            F.nullif(t["confirmation"], F.lit("")).alias("confirmation"),
+        )
+
+    def of(v: Callable[[str], Column]) -> tuple[Column, Column]:
+        """Amount, and whether a number of the row is unreadable."""
+        net, gross, fee = v("net"), v("gross"), v("fee")
+        return F.when(net != 0, net).when(net.isNotNull(), gross), net.isNull() | gross.isNull() | fee.isNull()
+
+    def keep(v: Column) -> Column:
+        amount, bad = of(lambda n: v[n])
+        listed = (C.position() > F.col("_header_at")) & (v["date_text"] != "")
+        return F.when(F.col("_headless"), C.position() == F.col("_header_at")).otherwise(listed & (bad | (amount != 0)))
+
+    amount, unreadable = of(F.col)
+    return C.valued(data, texts, values, keep).select(
         *C.record(
-            txn_date=parsed,
-            date_raw=date,
-            description=F.concat_ws(" - ", F.lit("Airbnb"), *parts),
+            txn_date=F.col("parsed"),
+            date_raw=F.col("date_text"),
+            description=F.col("text"),
             amount=amount,
             source_type="airbnb",
             source_rank=rank,
-            reject=F.coalesce(F.when(headless, F.lit(C.NO_HEADER)), C.unreadable_date(date, parsed), unreadable),
+            reject=F.coalesce(
+                F.when(F.col("_headless"), F.lit(C.NO_HEADER)),
+                C.unreadable_date(F.col("date_text"), F.col("parsed")),
+                F.when(unreadable, F.lit("unreadable amount")),
+            ),
             raw=C.raw_map(),
-            fee=F.abs(fee),
-            reference_id=F.nullif(_aliased("confirmation"), F.lit("")),
+            fee=F.abs("fee"),
+            reference_id=F.col("confirmation"),
         )
     )
 
@@ -161,31 +196,32 @@ def parse_airbnb(rows: DataFrame, rank: int = 1) -> DataFrame:
 # fixed values: row types of the payment provider
 PAYPAL_CONVERSIONS = ("General Currency Conversion", "General currency conversion")
 PAYPAL_SKIPPED = (*PAYPAL_CONVERSIONS, "Temporary Hold", "General Authorization")
+PAYPAL_FIELDS = ("Description", "Type", "Status", "Transaction ID", "Reference Txn ID", "Name", "Currency", "Gross", "Fee", "Date")
 
 
-def _paypal_amount(name: str) -> Column:
-    bare = F.trim(F.regexp_replace(C.field(name), "[, ]", ""))
+def _paypal_amount(text: Column) -> Column:
+    bare = F.trim(F.regexp_replace(text, "[, ]", ""))
     return F.when(bare == "", F.lit(0).cast(MONEY)).otherwise(bare.try_cast(MONEY))
 
 
 def parse_paypal(rows: DataFrame, rank: int = 0) -> DataFrame:
     """Two layouts, told apart by their type column; conversion rows are merged into their payment."""
-    data = C.with_header(rows, PAYPAL_HEADER)
-    kind = F.trim(F.coalesce(F.nullif(C.field("Description"), F.lit("")), C.field("Type")))
+    data = C.with_header(rows, PAYPAL_HEADER, PAYPAL_FIELDS)
+    kind = F.trim(F.coalesce(F.nullif(C.placed("Description"), F.lit("")), C.placed("Type")))
     prepared = data.select(
         "file",
         "block",
         "seq",
         C.position().alias("arrival"),
         kind.alias("kind"),
-        F.trim(C.field("Status")).alias("status"),
-        F.trim(C.field("Transaction ID")).alias("txn_ref"),
-        F.trim(C.field("Reference Txn ID")).alias("parent_ref"),
-        F.trim(C.field("Name")).alias("name"),
-        F.trim(C.field("Currency")).alias("currency"),
-        _paypal_amount("Gross").alias("gross"),
-        _paypal_amount("Fee").alias("fee"),
-        F.trim(C.field("Date")).alias("date"),
+        F.trim(C.placed("Status")).alias("status"),
+        F.trim(C.placed("Transaction ID")).alias("txn_ref"),
+        F.trim(C.placed("Reference Txn ID")).alias("parent_ref"),
+        F.trim(C.placed("Name")).alias("name"),
+        F.trim(C.placed("Currency")).alias("currency"),
+        _paypal_amount(C.placed("Gross")).alias("gross"),
+        _paypal_amount(C.placed("Fee")).alias("fee"),
+        F.trim(C.placed("Date")).alias("date"),
         C.raw_map().alias("raw"),
     )
     conversion = F.col("kind").isin(*PAYPAL_CONVERSIONS)
