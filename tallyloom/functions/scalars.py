@@ -35,18 +35,24 @@ def parse_statement_date(text: Column | str, year: Column | int) -> Column:
 
     Month names are the English three-letter ones in title case.
     """
-    t = F.regexp_replace(F.trim(_c(text)), r"\s+", " ")
     y = F.lit(year).cast("string") if isinstance(year, int) else year.cast("string")
-    named = F.when(t.rlike(r"(^|\s)[A-Z][a-z]{2}(\s|$)"), t)
-    return F.coalesce(
-        F.try_to_date(named, "d MMM yyyy"),
-        F.try_to_date(named, "d MMM yy"),
-        F.try_to_date(F.concat_ws(" ", F.when(named.rlike(r"^\d{1,2} \w{3}$"), named), y), "d MMM yyyy"),
-        F.try_to_date(F.concat_ws(" ", F.when(named.rlike(r"^\w{3} \d{1,2}$"), named), y), "MMM d yyyy"),
-        F.try_to_date(t, "d/M/yyyy"),
-        F.try_to_date(t, "d/M/yy"),
-        F.try_to_date(F.concat_ws("/", F.when(t.rlike(r"^\d{1,2}/\d{2}$"), t), y), "d/M/yyyy"),
-    )
+
+    def with_name(t: Column) -> Column:
+        return F.struct(t.alias("text"), F.when(t.rlike(r"(^|\s)[A-Z][a-z]{2}(\s|$)"), t).alias("named"))
+
+    def of(s: Column) -> Column:
+        t, named = s["text"], s["named"]
+        return F.coalesce(
+            F.try_to_date(named, "d MMM yyyy"),
+            F.try_to_date(named, "d MMM yy"),
+            F.try_to_date(F.concat_ws(" ", F.when(named.rlike(r"^\d{1,2} \w{3}$"), named), y), "d MMM yyyy"),
+            F.try_to_date(F.concat_ws(" ", F.when(named.rlike(r"^\w{3} \d{1,2}$"), named), y), "MMM d yyyy"),
+            F.try_to_date(t, "d/M/yyyy"),
+            F.try_to_date(t, "d/M/yy"),
+            F.try_to_date(F.concat_ws("/", F.when(t.rlike(r"^\d{1,2}/\d{2}$"), t), y), "d/M/yyyy"),
+        )
+
+    return once(F.regexp_replace(F.trim(_c(text)), r"\s+", " "), lambda t: once(with_name(t), of))
 
 
 def fy_of(date: Column | str) -> Column:
@@ -109,11 +115,18 @@ MONEY_TOKEN = r"(?i)(-?\$?[\d,]+\.\d{2})\s*(CR|DR)?\s*$"
 
 def parse_money_token(text: Column | str) -> Column:
     """struct(amount >= 0, is_credit, rest): a CR suffix or a minus sign marks a credit; NULL amount when none is there."""
-    t = _c(text)
-    number = F.regexp_replace(F.regexp_extract(t, MONEY_TOKEN, 1), r"[,$]", "").try_cast(MONEY)
-    credit = (F.upper(F.regexp_extract(t, MONEY_TOKEN, 2)) == "CR") | F.coalesce(number < 0, F.lit(False))
-    rest = F.when(number.isNull(), t).otherwise(F.trim(F.regexp_replace(t, MONEY_TOKEN, "")))
-    return F.struct(F.abs(number).alias("amount"), credit.alias("is_credit"), rest.alias("rest"))
+
+    def scanned(t: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(t, MONEY_TOKEN, 1), r"[,$]", "").try_cast(MONEY)
+        return F.struct(t.alias("text"), number.alias("number"))
+
+    def of(line: Column) -> Column:
+        t, number = line["text"], line["number"]
+        credit = (F.upper(F.regexp_extract(t, MONEY_TOKEN, 2)) == "CR") | F.coalesce(number < 0, F.lit(False))
+        rest = F.when(number.isNull(), t).otherwise(F.trim(F.regexp_replace(t, MONEY_TOKEN, "")))
+        return F.struct(F.abs(number).alias("amount"), credit.alias("is_credit"), rest.alias("rest"))
+
+    return once(_c(text), lambda t: once(scanned(t), of))
 
 
 def sign_split(credit: Column, debit: Column, credit_first: bool = True) -> Column:

@@ -153,13 +153,13 @@ BANKWEST = Layout(
     extra=lambda t: t.rlike(BANKWEST_FOREIGN),
     looks_ahead=True,
 )
-HSBC = Layout("hsbc", 4, HSBC_DATE, noise=lambda t: _contains_any(F.upper(t), HSBC_NOISE), looks_ahead=True)
+HSBC = Layout("hsbc", 4, HSBC_DATE, noise=lambda t: S.once(F.upper(t), lambda u: _contains_any(u, HSBC_NOISE)), looks_ahead=True)
 COLES = Layout(
     "coles",
     5,
     COLES_DATE,
-    header=lambda t: F.lower(t).contains("amount") & F.lower(t).rlike("transaction|date|description"),
-    noise=lambda t: _contains_any(F.lower(t), COLES_NOISE),
+    header=lambda t: S.once(F.lower(t), lambda l: l.contains("amount") & l.rlike("transaction|date|description")),
+    noise=lambda t: S.once(F.lower(t), lambda l: _contains_any(l, COLES_NOISE)),
     looks_ahead=True,
 )
 
@@ -264,6 +264,14 @@ def with_parts(found: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
+def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row, whatever is made of them.
+
+    A filter on plain columns is moved below them, with all that they are made of in place of each mention.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _joined(parts: Column) -> Column:
     return S.collapse_ws(F.array_join(F.filter(parts, lambda p: p != ""), " "))
 
@@ -414,8 +422,8 @@ def stitch_ing(lines: DataFrame, layout: Layout = ING) -> DataFrame:
     def text_of(e: Column, i: Column) -> Column:
         return F.when((i < F.col("_at")) & e["cols"]["found"], e["cols"]["rest"]).otherwise(e["rest"])
 
-    description = _joined(F.transform("lines", text_of))
-    parsed = S.parse_dmy("date_text")
+    found = evaluated(found, _parsed=S.parse_dmy("date_text"), _description=_joined(F.transform("lines", text_of)))
+    parsed, description = F.col("_parsed"), F.col("_description")
     raw = F.create_map(
         F.lit("date"), F.col("date_text"),
         F.lit("description"), description,
@@ -448,7 +456,7 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
     found = found.withColumn("_at", at).where((F.col("_at") > 0) | (F.col("part") > 0))
     texts = F.transform("lines", lambda e, i: F.when(i == F.col("_at") - 1, e["bare"]).otherwise(e["rest"]))
     hit = F.get("lines", (F.col("_at") - 1).cast("int"))["amounts"]
-    found = found.withColumns({"_texts": texts, "_hit": hit})
+    found = evaluated(found, _texts=texts, _hit=hit)
     so_far = F.upper(F.array_join(F.slice("_texts", F.lit(1), F.col("_at").cast("int")), " "))
     first, second = _number(F.get("_hit", F.lit(0))), _number(F.get("_hit", F.lit(1)))
     on_date_line = F.col("_at") == 1
@@ -458,9 +466,10 @@ def stitch_bankwest(lines: DataFrame, layout: Layout = BANKWEST) -> DataFrame:
         .when(_contains_any(so_far, BANKWEST_CREDITS), first)
         .otherwise(-first)
     )
-    found = hot_key_join(found, balances, ["file"])
-    description = _joined(F.col("_texts"))
     parsed = S.parse_statement_date("date_text", F.lit(None).cast("string"))
+    found = evaluated(found, _parsed=parsed, _description=_joined(F.col("_texts")), _amount=amount)
+    found = hot_key_join(found, balances, ["file"])
+    parsed, description, amount = F.col("_parsed"), F.col("_description"), F.col("_amount")
     return _records(found, layout, parsed, description, amount, _card_raw(parsed, description, amount))
 
 
@@ -519,26 +528,33 @@ def stitch_hsbc(lines: DataFrame, layout: Layout = HSBC, *, infer_year: bool = F
     marked = mark_lines(lines, layout, ends)
     found = with_parts(ended(entries(not_stopped(in_entry(marked)), more=("rest",)), ends), layout)
     found = hot_key_join(found, hsbc_attributes(marked, layout), ["file"])
-    found = found.withColumn("_hit", hsbc_amount(F.element_at("parts", -1), F.col("has_balance")))
-    before = F.slice("parts", F.lit(1), F.size("parts") - 1)
-    description = _joined(F.concat(before, F.array(F.col("_hit.rest"))))
     parsed = S.parse_statement_date("date_text", F.col("year"))
-    parsed = near_period(parsed, start_month=F.col("start_month")) if infer_year else parsed
-    amount = F.col("_hit.amount")
+    found = evaluated(found, _hit=hsbc_amount(F.element_at("parts", -1), F.col("has_balance")), _parsed=parsed)
+    before = F.slice("parts", F.lit(1), F.size("parts") - 1)
+    found = evaluated(found, _description=_joined(F.concat(before, F.array(F.col("_hit.rest")))))
+    parsed = near_period(F.col("_parsed"), start_month=F.col("start_month")) if infer_year else F.col("_parsed")
+    description, amount = F.col("_description"), F.col("_hit.amount")
     raw = _card_raw(parsed, description, amount, F.lit("balance"), F.coalesce(F.col("_hit.balance").cast("string"), F.lit("None")))
     return _records(found, layout, parsed, description, amount, _year_marked(raw))
 
 
 def coles_amount(text: Column) -> Column:
     """struct(amount >= 0, is_credit, rest): sign or CR suffix, else an amount after a long reference."""
-    token = S.parse_money_token(text)
-    old = _number(F.regexp_extract(text, LONG_REFERENCE, 2))
-    by_reference = F.struct(
-        F.abs(old).alias("amount"),
-        (old < 0).alias("is_credit"),
-        F.trim(F.regexp_replace(text, LONG_REFERENCE, "")).alias("rest"),
-    )
-    return F.when(token["amount"].isNotNull() | old.isNull(), token).otherwise(by_reference)
+
+    def of(line: Column) -> Column:
+        text, token, old = (line[n] for n in ("text", "token", "old"))
+        by_reference = F.struct(
+            F.abs(old).alias("amount"),
+            (old < 0).alias("is_credit"),
+            F.trim(F.regexp_replace(text, LONG_REFERENCE, "")).alias("rest"),
+        )
+        return F.when(token["amount"].isNotNull() | old.isNull(), token).otherwise(by_reference)
+
+    def scanned(text: Column) -> Column:
+        old = _number(F.regexp_extract(text, LONG_REFERENCE, 2))
+        return F.struct(text.alias("text"), S.parse_money_token(text).alias("token"), old.alias("old"))
+
+    return S.once(text, lambda t: S.once(scanned(t), of))
 
 
 def strip_post_date(text: Column) -> Column:
@@ -555,12 +571,13 @@ def stitch_coles(lines: DataFrame, layout: Layout = COLES, *, infer_year: bool =
     found = with_parts(ended(entries(not_stopped(in_entry(marked)), more=("rest",)), ends), layout)
     found = hot_key_join(found, coles_attributes(marked, layout), ["file"])
     parts = F.transform("parts", lambda p, i: F.when(i == 0, strip_post_date(p)).otherwise(p))
-    found = found.withColumn("parts", parts).withColumn("_hit", coles_amount(F.element_at("parts", -1)))
-    before = F.slice("parts", F.lit(1), F.size("parts") - 1)
-    description = _joined(F.concat(before, F.array(F.col("_hit.rest"))))
+    found = evaluated(found, _parts=parts, _parsed=S.parse_statement_date("date_text", F.col("year")))
+    found = evaluated(found, _hit=coles_amount(F.element_at("_parts", -1)))
+    before = F.slice("_parts", F.lit(1), F.size("_parts") - 1)
+    found = evaluated(found, _description=_joined(F.concat(before, F.array(F.col("_hit.rest")))))
+    description = F.col("_description")
     amount = F.when(F.col("_hit.is_credit"), F.col("_hit.amount")).otherwise(-F.col("_hit.amount"))
-    parsed = S.parse_statement_date("date_text", F.col("year"))
-    parsed = near_period(parsed, end_month=F.col("end_month")) if infer_year else parsed
+    parsed = near_period(F.col("_parsed"), end_month=F.col("end_month")) if infer_year else F.col("_parsed")
     credit = F.when(F.col("_hit.is_credit"), "True").otherwise("False")
     raw = _card_raw(parsed, description, F.col("_hit.amount"), F.lit("is_credit"), credit)
     return _records(found, layout, parsed, description, amount, _year_marked(raw))
