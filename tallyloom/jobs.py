@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import Settings
 from tallyloom.functions import scalars as S
 from tallyloom.operators.normalize import accepted, among, normalize, preview, with_identity
+from tallyloom.session import written
 from tallyloom.sinks.store import Outcome, Store
 from tallyloom.sources.openbanking import incremental_since, parse_openbanking, read_records
 from tallyloom.sources.registry import REGISTRY, Source, scan_staging, union_sources
@@ -42,11 +43,15 @@ def ingest(
 def dry_run(
     spark: SparkSession, staging: str, store_root: str, settings: Settings, *, only: str | None = None
 ) -> DataFrame | None:
-    """What an ingest would add; nothing is written, not even exchange rates."""
+    """What an ingest would add; nothing is written to the store, not even exchange rates.
+
+    The parsed batch is written once to the shared scratch folder, as by an ingest, so that files are not parsed for each use.
+    """
     records = scan_staging(spark, staging, only)
     if records is None:
         return None
-    identified = with_identity(accepted(records))
+    records = written(with_identity(records), "dry-run")
+    identified = accepted(records)
     facts = identified.agg(
         F.count(F.lit(1)).alias("n"),
         F.collect_set(S.fy_of("txn_date")).alias("years"), F.coalesce(F.bool_or(S.keyed_by_reference()), F.lit(False)).alias("by_reference")

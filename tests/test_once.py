@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from tallyloom import jobs
 from tallyloom.operators import stitch as ST
 from tallyloom.sources import lines as LN
 
@@ -22,3 +23,14 @@ def test_fields_of_an_entry_are_evaluated_once(spark, tmp_path, bank):
     plan = records._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MMM d yyyy") == 1
     assert [(str(r["txn_date"]), float(r["amount"])) for r in records.collect()] == [("2024-02-03", -12.5)]
+
+
+def test_dry_run_parses_files_once(spark, tmp_path, settings):
+    """What is made of the records reads the parsed batch, not the files."""
+    folder = tmp_path / "staging" / "amex"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("Date,Description,Amount\n01/02/2025,SHOP,10.00\n31/02/2025,BAD,1.00\n")
+    preview = jobs.dry_run(spark, str(tmp_path / "staging"), str(tmp_path / "store"), settings)
+    assert not [f for f in preview.inputFiles() if f.endswith(".csv")]
+    assert [r["description"] for r in preview.collect()] == ["SHOP"]
+    assert not (tmp_path / "store").exists()
