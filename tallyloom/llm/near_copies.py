@@ -45,6 +45,8 @@ BLOCK_CHECK = 16
 TILE = 512
 #: kinds of hashes that are counted, up to three of a kind, and pairs whose counts are compared at once
 KINDS, CHECKED = 256, 1 << 14
+#: pairs that a task holds back, to leave out repeats among them: 4 MB
+HELD = 1 << 18
 #: the odd number and shifts by which a hash gives 64 more bits
 _SPREAD, _SHIFTS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(32), np.uint64(29))
 
@@ -242,7 +244,8 @@ def within(rows: DataFrame, forest: int | None = None) -> DataFrame:
     Rows of a token come to one task in order of component, in batches cut between tokens. Small groups stand side by
     side in a tile, whose rows are compared with one another. Of a larger group the rows of the largest component are
     compared with the others only, all others with all. With ``forest``, the number of a round, of the pairs
-    under one token only those that join components, the closest first; each token and round takes others of the close ones. ``rows``: token, id, n, pos, f0, f1, c, h.
+    under one token only those that join components, the closest first; each token and round takes others of the close ones.
+    Near copies meet under many tokens; a task gives a pair again only after ``HELD`` others. ``rows``: token, id, n, pos, f0, f1, c, h.
     """
     ship(rows.sparkSession)
     dealt = rows.repartition("token").sortWithinPartitions("token", "c", "id").select("token", "id", "n", "pos", "f0", "f1", "c", "h")
@@ -284,7 +287,7 @@ def within(rows: DataFrame, forest: int | None = None) -> DataFrame:
                 kept.append(k)
         return pairs[kept]
 
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[pa.RecordBatch]) -> np.ndarray:
         whole = pa.Table.from_batches(held)
         token, ids, n, pos, f0, f1, c = (whole.column(k).to_numpy() for k in range(7))
         counted = np.frombuffer(b"".join(whole.column(7).to_pylist()), np.uint64).reshape(len(ids), -1)
@@ -307,26 +310,42 @@ def within(rows: DataFrame, forest: int | None = None) -> DataFrame:
                     can = (up + down) * common_at_most(counted[i], counted[j], n[i], n[j]) >= up * (n[i] + n[j])
                     found.append(np.stack([i[can], j[can]], axis=1))
         pairs = ids[joining(np.concatenate(found), token, prints, c, ids) if forest is not None else np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["a", "b"])
+        return np.unique(np.sort(pairs, axis=1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        n = 0
+        for pairs in filter(len, compared(batches)):
+            kept.append(pairs)
+            n += len(pairs)
+            if n >= HELD:
+                kept = [np.unique(np.concatenate(kept), axis=0)]
+                n = len(kept[0])
+                if n >= HELD // 2:
+                    yield batch_of(kept.pop())
+                    n = 0
+        if kept:
+            yield batch_of(np.unique(np.concatenate(kept), axis=0))
+
+    def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             token = batch.column(0).to_numpy()
             if held and held[-1].column(0)[-1].as_py() != token[0]:
-                yield from flush(held)
+                yield flush(held)
                 held = []
             cut = int(np.searchsorted(token, token[-1]))  # tokens are sorted
             if cut:
-                yield from flush([*held, batch.slice(0, cut)])
+                yield flush([*held, batch.slice(0, cut)])
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield from flush(held)
+            yield flush(held)
 
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -122,3 +122,16 @@ def test_counts_rule_out_no_pair_that_is_alike():
             slow = [[min(int((s & 255 == k).sum()), 3) for k in range(256)] for s in sets]
             assert at_most(*sets) == sum(map(min, *slow)) + min(len(s) - sum(c) for s, c in zip(sets, slow, strict=True))
     assert at_most(*rnd.integers(0, 2**62, (2, 150))) < 100  # and few others stay
+
+
+def test_a_task_gives_a_pair_once(spark):
+    """Two copies under 5 000 shingles, in more batches than one, are one pair of the task."""
+    one, other = 2**40 + 1, 2**40 + 2
+    rows = [(t, i, 100, 0, 7, 7, i, b"\0" * 64) for t in range(5000) for i in (one, other)]
+    df = spark.createDataFrame(rows, "token long, id long, n int, pos int, f0 long, f1 long, c long, h binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert [tuple(r) for r in near_copies.within(df).collect()] == [(other, one)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
