@@ -77,8 +77,12 @@ def normalize(
     hooks: Iterable[Callable[[DataFrame], DataFrame]] = (),
     distinct_text: bool = False,
 ) -> Normalized:
-    """One lazy plan from RAW_TXN records to new transactions; hooks run on the result in order."""
-    first = first_copies(with_identity(accepted(records)))
+    """One lazy plan from RAW_TXN records to new transactions; hooks run on the result in order.
+
+    Records that bring their identity, as those of a parsed batch do, keep it.
+    """
+    kept = accepted(records)
+    first = first_copies(kept if "dedup_hash" in kept.columns else with_identity(kept))
     if known_hashes is not None:
         first = unseen(first, known_hashes)
     txns = classify(first, settings, learned, distinct_text).withColumns(

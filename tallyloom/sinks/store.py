@@ -49,6 +49,8 @@ AUDIT = T.StructType(
 )
 FX_TABLE = T.StructType([*FX_RATES.fields, T.StructField("seq", T.LongType())])
 QUARANTINE = T.StructType([*RAW_TXN.fields, T.StructField(REJECT, T.StringType()), T.StructField("batch_id", T.LongType())])
+#: identities are 64 hexadecimal digits, of which only a codec that codes single characters saves half
+PACKED = {"compression": "zstd"}
 #: a commit's folder in a table is a partition of it, whose name is not read
 FOLDER = "in"
 COMMIT = "seq long, folder string, tables array<string>, replaced int, sealed boolean"
@@ -158,7 +160,7 @@ class Store:
         batch is matched again. With ``splits`` the shares of the new rows are added to the splits table as well.
         """
         parsed = scratch_path(self.spark, "parsed")
-        with_identity(records).write.parquet(parsed)
+        with_identity(records).write.options(**PACKED).parquet(parsed)
         batch = self.spark.read.schema(with_identity(records).schema).parquet(parsed)
         outcome, store = None, self
         while outcome is None:
@@ -185,7 +187,7 @@ class Store:
         folder, tables, staging = uuid.uuid4().hex, [], scratch_path(self.spark, "ingest")
 
         def write(rows: DataFrame, name: str, *by: str) -> None:
-            rows.write.partitionBy(*by).parquet(self._folder(name, folder))
+            rows.write.options(**PACKED).partitionBy(*by).parquet(self._folder(name, folder))
             tables.append(name)
 
         rejected = self._rejected(batch, batch_id, commits)
@@ -236,13 +238,10 @@ class Store:
             seen = now
 
     def _stage(self, result: Normalized, path: str) -> DataFrame:
-        result.new.repartition("fy", F.pmod(F.xxhash64("dedup_hash"), F.lit(self._files_per_year()))).write.parquet(path)
+        """The new rows, written once. They are dealt by identity already, so a year that is most of a batch is spread over all tasks."""
+        result.new.write.options(**PACKED).parquet(path)
         return self.spark.read.schema(result.new.schema).parquet(path)
 
-    def _files_per_year(self) -> int:
-        """Writers per year: one year may be most of a batch, so it is spread over all shuffle partitions."""
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-
     def _rejected(self, records: DataFrame, batch_id: int, commits: list[Row]) -> DataFrame | None:
         """Rejected records that are not in quarantine yet; None if the batch has none."""
         if REJECT not in records.columns:
@@ -271,7 +270,7 @@ class Store:
             total, folder = sum(-(-row["n"] // rows_per_file) for row in counts), uuid.uuid4().hex
             for name, table in (("transactions", rows), ("raw_audit", self._read("raw_audit", AUDIT, seen))):
                 spread = table.repartition(max(1, total), "fy", F.pmod(F.xxhash64("dedup_hash"), files))
-                spread.write.partitionBy("fy").parquet(fresh._folder(name, folder))
+                spread.write.options(**PACKED).partitionBy("fy").parquet(fresh._folder(name, folder))
             for name, table, by in (("fx", self._read("fx", FX_TABLE, seen), []), ("splits", self.splits(), ["fy"]), ("quarantine", self._read("quarantine", QUARANTINE, seen), [])):
                 table.write.partitionBy(*by).parquet(fresh._folder(name, folder))
             tables = ["transactions", "raw_audit", "fx", "splits", "quarantine"]
