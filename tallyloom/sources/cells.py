@@ -314,7 +314,7 @@ def record(
 
     arrival = F.struct(
         F.lit(source_rank).cast("int").alias("source_rank"),
-        F.regexp_extract("file", r"([^/]+)$", 1).alias("file_name"),
+        S.file_base("file").alias("file_name"),
         F.col("block").cast("long").alias("block"),
         F.col("seq").cast("long").alias("seq"),
     )

@@ -53,15 +53,15 @@ def ingest_stream(
     listed = files(spark.readStream.format("binaryFile").schema(LISTED), source.glob).options(**options).load(folder).select("path")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
+        """The batch's own session has adaptive execution switched off, which only the listing of files needs; what they hold is taken in by the caller's."""
         if archive is not None:
-            archive_taken(session, source, checkpoint, archive, before=batch_id)
+            archive_taken(spark, source, checkpoint, archive, before=batch_id)
         names = [row["path"] for row in batch.toLocalIterator()]  # names only, as the stream itself holds them
         if not names:
             return
-        rows = source.read(session, [escaped(n) for n in names], None)
-        Store(session, store_root).ingest(source.parse(rows), settings, learned, batch_id=batch_id, hooks=hooks)
-        noted = session.createDataFrame([(n, batch_id) for n in names], TAKEN)
+        rows = source.read(spark, [escaped(n) for n in names], None)
+        Store(spark, store_root).ingest(source.parse(rows), settings, learned, batch_id=batch_id, hooks=hooks)
+        noted = spark.createDataFrame([(n, batch_id) for n in names], TAKEN)
         noted.write.mode("overwrite").parquet(f"{_taken(source, checkpoint)}/{batch_id}")
 
     writer = listed.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/{source.name}")
