@@ -8,6 +8,9 @@ p holds nothing nearer to q than max(lo - d(q, p), d(q, p) - hi, 0).
 A query expands rings in the order of that bound: the nearest rings, until they hold enough rows, give a first k-th
 score; then all rings whose bound does not exceed the distance of that score are searched, and no others. Bounds are taken with
 slack for rounding, scores are exact integers. Rings are cut into blocks of bounded size, so that none is a single task.
+
+Neighbouring blocks lie on a shelf. A query is sent once to each shelf that holds a block it has to search, whatever their number, and meets
+the shelf in a cogroup, which Spark never broadcasts: a join of queries that were repeated for each block was taken for as small as the queries.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +33,11 @@ FIT_ROWS = 4096
 PIVOTS = 48
 RINGS = 12
 BLOCK_ROWS = 2048
-QUERY_ROWS = 256
+#: bytes of vectors on a shelf, and of the queries that meet it in one group; at least so many shelves where there are blocks enough
+SHELF_BYTES, SHELVES = 8 << 20, 48
+LEAST = np.iinfo(np.int64).min
+#: queries that are scored at once, and tasks of a search at most
+TILE_ROWS, MOST_TASKS = 1024, 2048
 #: rows that the first rings of a query hold at least, as a multiple of k
 FIRST_ROWS = 64
 
@@ -46,12 +55,20 @@ class Space:
     """Pivots (with their last component), ring edges per pivot, and what bounds the data."""
 
     dim: int
+    kind: str  # the shortest type that holds every component
     largest: int  # M
     pivots: np.ndarray
     edges: np.ndarray
 
+    def width(self) -> int:
+        return self.dim * np.dtype(self.kind).itemsize
+
     def matrix(self, packed: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(packed), np.int64).reshape(-1, self.dim)
+        return np.frombuffer(b"".join(packed), self.kind).reshape(len(packed), self.dim)
+
+    def slack(self) -> float:
+        """What rounding can add to a distance: squares lose a few units of the last place of M for each component, and a small distance is the root of that."""
+        return 4 * math.sqrt(16 * (self.dim + 8) * np.finfo(np.float64).eps * self.largest)
 
     def distances(self, v: np.ndarray, query: bool) -> np.ndarray:
         x = v.astype(np.float64)
@@ -62,7 +79,7 @@ class Space:
         return np.sqrt(np.maximum(square, 0))
 
 
-def fit(sample: np.ndarray, dim: int, largest: int, pivots: int = PIVOTS, rings: int = RINGS, rounds: int = 6) -> Space:
+def fit(sample: np.ndarray, dim: int, kind: str, largest: int, pivots: int = PIVOTS, rings: int = RINGS, rounds: int = 6) -> Space:
     """Pivots by a few rounds of k-means from evenly spread rows; edges are quantiles of distance per pivot."""
     x = sample.astype(np.float64)
     x = np.c_[x, np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0))]
@@ -77,7 +94,7 @@ def fit(sample: np.ndarray, dim: int, largest: int, pivots: int = PIVOTS, rings:
     owner = d.argmin(1)
     share = np.arange(1, rings) / rings
     edges = np.array([np.quantile(d[owner == i, i] if (owner == i).any() else d[:, i], share) for i in range(len(centres))])
-    return Space(dim, largest, centres, edges)
+    return Space(dim, kind, largest, centres, edges)
 
 
 @dataclass(frozen=True)
@@ -93,57 +110,135 @@ class Cells:
     def blocks(self) -> np.ndarray:
         return np.maximum(1, -(-self.rows // BLOCK_ROWS))
 
-    def bounds(self, to_pivots: np.ndarray) -> np.ndarray:
+    def bounds(self, to_pivots: np.ndarray, slack: float) -> np.ndarray:
         """Smallest possible distance of each query to what each ring holds."""
         d = to_pivots[:, self.pivot]
-        return np.maximum(np.maximum(self.low - d, d - self.high), 0)
-
+        return np.maximum(np.maximum(self.low - d, d - self.high) - slack, 0)
 
-def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floating-point multiplication where no sum can leave 2^53."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
-    return np.rint(q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if most < 2**53 else q @ x.T
 
-
-def _packed(df: DataFrame, dim: int) -> DataFrame:
+@dataclass(frozen=True)
+class Shelves:
+    """Which blocks a query has to search, and how blocks lie on shelves: numbers of bounded size only."""
+
+    space: Space
+    cells: Cells
+    k: int
+    blocks: np.ndarray  # of each ring
+    per: int  # blocks on a shelf
+
+    @classmethod
+    def of(cls, space: Space, cells: Cells, k: int) -> Shelves:
+        blocks = cells.blocks()
+        most = SHELF_BYTES // (BLOCK_ROWS * max(1, space.width()))
+        return cls(space, cells, k, blocks, int(max(1, min(blocks.sum() // SHELVES, most))))
+
+    def first_blocks(self) -> np.ndarray:
+        return np.cumsum(self.blocks) - self.blocks
+
+    def count(self) -> int:
+        return max(1, math.ceil(self.blocks.sum() / self.per))
+
+    def wanted(self, x: np.ndarray, floors: np.ndarray | None) -> np.ndarray:
+        """Queries by blocks. Without floors: the first block of the nearest rings, until they hold enough rows."""
+        bounds = self.cells.bounds(self.space.distances(x, query=True), self.space.slack())
+        of_block = np.repeat(np.arange(len(self.blocks)), self.blocks)
+        if floors is not None:
+            norm = (x.astype(np.float64) ** 2).sum(axis=1) + self.space.largest
+            reach = np.where(floors == LEAST, np.inf, norm - 2.0 * floors)
+            return (bounds**2 <= (reach + 1e-9 * norm + 1e-6)[:, None])[:, of_block]
+        order = np.argsort(bounds, axis=1, kind="stable")
+        size = np.minimum(self.cells.rows, BLOCK_ROWS)[order]
+        near = np.zeros(bounds.shape, bool)
+        np.put_along_axis(near, order, np.cumsum(size, axis=1) - size < FIRST_ROWS * (self.k + 1), axis=1)
+        return near[:, of_block] & np.isin(np.arange(len(of_block)), self.first_blocks())
+
+    def best(self, ids: np.ndarray, x: np.ndarray, floors: np.ndarray, blocks: list[tuple], first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of queries, vec_ids and scores: the k best of each query in the blocks it has to search, if not below its floor."""
+        wanted, floors = self.wanted(x, None if first else floors), floors.copy()
+        at, found, score = (np.zeros(0, np.int64) for _ in range(3))
+        for block, others, y in blocks:
+            mine = np.flatnonzero(wanted[:, block])
+            if not len(mine):
+                continue
+            p = products(x[mine], y)
+            loose = np.flatnonzero(floors[mine] == LEAST)
+            if len(loose) and len(others) > self.k:
+                theirs = np.where(ids[mine[loose], None] == others, p.dtype.type(LEAST), p[loose])
+                floors[mine[loose]] = np.partition(theirs, -self.k, axis=1)[:, -self.k].astype(np.int64)
+            i, j = np.nonzero(p >= floors[mine].astype(p.dtype)[:, None])
+            other = ids[mine[i]] != others[j]
+            i, j = i[other], j[other]
+            at, found, score = (np.concatenate(c) for c in ((at, mine[i]), (found, others[j]), (score, p[i, j].astype(np.int64))))
+            order = np.lexsort((found, -score, at))
+            at, found, score = at[order], found[order], score[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            last = place == self.k - 1
+            floors[at[last]] = np.maximum(floors[at[last]], score[last])
+            keep = place < self.k
+            at, found, score = at[keep], found[keep], score[keep]
+        return at, found, score
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact integer products: by floating-point multiplication where no sum can leave the integers that it holds exactly."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(q.shape[1], 1)
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    return q.astype(kind) @ x.astype(kind).T
+
+
+def shortest(most: int) -> str:
+    """The shortest type of whole numbers from -most - 1 to most."""
+    return next(kind for kind in ("int16", "int32", "int64") if most <= np.iinfo(kind).max)
+
+
+def _packed(df: DataFrame, dim: int, kind: str) -> DataFrame:
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))) if dim else F.col("v")
 
     def step(batch):
-        values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        raw, width = values.tobytes(), dim * 8
+        values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+        raw, width = values.tobytes(), dim * values.itemsize
         yield {"vec_id": batch.column(0), "x": [raw[i * width : (i + 1) * width] for i in range(batch.num_rows)]}
 
     return map_batches(df.select("vec_id", padded.alias("v")), step, "vec_id long, x binary")
 
 
-def _search(asked: DataFrame, blocks: DataFrame, space: Space, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query in each block it asks for, if not below its floor."""
-
-    def step(batch):
-        column = {n: batch.column(i) for i, n in enumerate(("qs", "qx", "floors", "ids", "xs"))}
-        for row in range(batch.num_rows):
-            qs = np.frombuffer(column["qs"][row].as_py(), np.int64)
-            floors = np.frombuffer(column["floors"][row].as_py(), np.int64)
-            ids = np.frombuffer(column["ids"][row].as_py(), np.int64)
-            q = np.frombuffer(column["qx"][row].as_py(), np.int64).reshape(len(qs), space.dim)
-            x = np.frombuffer(column["xs"][row].as_py(), np.int64).reshape(len(ids), space.dim)
-            s = scores(q, x)
-            out_q, out_v, out_s = [], [], []
-            least = np.iinfo(np.int64).min
-            s[qs[:, None] == ids[None, :]] = least
-            for i in range(len(qs)):
-                good = np.flatnonzero((s[i] >= floors[i]) & (s[i] > least))
-                if len(good) > k:
-                    kth = np.partition(s[i][good], -k)[-k]
-                    good = good[s[i][good] >= kth]
-                    good = good[np.lexsort((ids[good], -s[i][good]))[:k]]
-                out_q.append(np.full(len(good), qs[i]))
-                out_v.append(ids[good])
-                out_s.append(s[i][good])
-            yield {"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}
-
-    pairs = asked.join(blocks, "block").select("qs", "qx", "floors", "ids", "xs")
-    return map_batches(pairs, step, "query_id long, vec_id long, score long")
+def _search(queries: DataFrame, parts: int, blocks: DataFrame, shelves: Shelves, first: bool) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query (vec_id, x, part, floor) on each shelf it asks for, if not below its floor."""
+    count = shelves.count()
+    starts = np.arange(count) * shelves.per
+
+    def ask(batch):
+        for begin in range(0, batch.num_rows, TILE_ROWS // 4):
+            piece = batch.slice(begin, TILE_ROWS // 4)
+            floors = pc.fill_null(piece.column(3), LEAST)
+            wanted = shelves.wanted(shelves.space.matrix(piece.column(1).to_pylist()), None if first else floors.to_numpy())
+            row, shelf = np.nonzero(np.logical_or.reduceat(wanted, starts, axis=1))
+            at = pa.array(row)
+            yield {"cell": piece.column(2).to_numpy()[row] * count + shelf, "vec_id": piece.column(0).take(at), "x": piece.column(1).take(at), "floor": floors.take(at)}
+
+    def step(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
+        if asked.num_rows and held.num_rows:
+            ids, floors, packed = asked["vec_id"].to_numpy(), asked["floor"].to_numpy(), asked["x"].to_pylist()
+            shelf = []
+            for block, raw, x in zip(*(held[name].to_pylist() for name in ("block", "ids", "xs")), strict=True):
+                others = np.frombuffer(raw, np.int64)
+                shelf.append((block, others, np.frombuffer(x, shelves.space.kind).reshape(len(others), shelves.space.dim)))
+            for begin in range(0, len(ids), TILE_ROWS):
+                tile = slice(begin, begin + TILE_ROWS)
+                at, found, score = shelves.best(ids[tile], shelves.space.matrix(packed[tile]), floors[tile], shelf, first)
+                for column, values in zip(out, (ids[tile][at], found, score), strict=True):
+                    column.append(values)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, out), strict=True)))
+
+    tasks = min(parts * count, MOST_TASKS)
+    asked = map_batches(queries.select("vec_id", "x", "part", "floor"), ask, "cell long, vec_id long, x binary, floor long")
+    if first:
+        blocks = blocks.where(F.col("block").isin(shelves.first_blocks().tolist()))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+    held = blocks.select("*", every).withColumn("cell", F.col("part") * count + F.floor(F.col("block") / shelves.per)).drop("part")
+    pairs = asked.repartition(tasks, "cell").groupBy("cell").cogroup(held.repartition(tasks, "cell").groupBy("cell"))
+    return pairs.applyInArrow(step, "query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -164,16 +259,17 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256)
     rows = quantised(vectors, scale).distinct()
     rows = written(rows, "vectors")
     norm = F.aggregate("v", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x.cast("decimal(19,0)") * x.cast("decimal(19,0)")).cast("decimal(38,0)"))
-    dim, largest = rows.agg(F.max(F.size("v")), F.max(norm)).first()
-    dim, largest = dim or 0, int(largest or 0)
-    queries = _packed(rows.where(is_query), dim)
+    dim, largest, most = rows.agg(F.max(F.size("v")), F.max(norm), F.max(F.greatest(F.array_max("v"), F.bitwise_not(F.array_min("v"))))).first()
+    dim, largest, kind = dim or 0, int(largest or 0), shortest(most or 0)
+    queries = _packed(rows.where(is_query), dim, kind)
     twins = Window.partitionBy("v").orderBy("vec_id")
-    candidates = _packed(rows.withColumn("_n", F.row_number().over(twins)).where(F.col("_n") <= k + 1), dim)
-    sample = _packed(sampled(rows, "vec_id", FIT_ROWS), dim).toPandas()
-    space = fit(np.frombuffer(b"".join(sample["x"]), np.int64).reshape(len(sample), dim), dim, largest)
+    candidates = _packed(rows.withColumn("_n", F.row_number().over(twins)).where(F.col("_n") <= k + 1), dim, kind)
+    # by id and vector: one id may have very many vectors
+    sample = _packed(sampled(rows.withColumn("_key", F.xxhash64("vec_id", "v")), "_key", FIT_ROWS), dim, kind).toPandas()
+    space = fit(np.frombuffer(b"".join(sample["x"]), kind).reshape(len(sample), dim), dim, kind, largest)
 
     def assign(batch):
-        d = space.distances(space.matrix(batch.column(1).to_pylist()), query=False) if dim else np.zeros((batch.num_rows, 1))
+        d = space.distances(space.matrix(batch.column(1).to_pylist()), query=False)
         pivot = d.argmin(axis=1)
         near = d[np.arange(len(d)), pivot]
         yield {"vec_id": batch.column(0), "x": batch.column(1), "pivot": pivot, "ring": (near[:, None] > space.edges[pivot]).sum(axis=1), "distance": near}
@@ -182,53 +278,24 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256)
     found = index.groupBy("pivot", "ring").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count(F.lit(1)).alias("rows"))
     cell = found.orderBy("pivot", "ring").toPandas()  # pivots x rings rows at most
     cells = Cells(*[cell[n].to_numpy() for n in ("pivot", "ring", "low", "high", "rows")])
-    parts = cells.blocks()
-    first_block = np.cumsum(parts) - parts
+    shelves = Shelves.of(space, cells, k)
+    pieces, first_block = shelves.blocks, shelves.first_blocks()
 
     def block_of(batch):
         keys = {(p, r): i for i, (p, r) in enumerate(zip(cells.pivot.tolist(), cells.ring.tolist(), strict=True))}
         at = np.array([keys[x] for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.int64)
-        spread = batch.column(4).to_numpy().astype(np.uint64) % parts[at].astype(np.uint64) if len(at) else at
+        spread = batch.column(4).to_numpy().astype(np.uint64) % pieces[at].astype(np.uint64) if len(at) else at
         yield {"block": first_block[at] + spread.astype(np.int64), "vec_id": batch.column(0), "x": batch.column(1)}
 
     def as_block(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(int(pdf["block"].iloc[0]), pdf["vec_id"].to_numpy(np.int64).tobytes(), b"".join(pdf["x"]))], columns=["block", "ids", "xs"])
 
-    placed = map_batches(index.select("vec_id", "x", "pivot", "ring", F.xxhash64("vec_id")), block_of, "block long, vec_id long, x binary")
+    placed = map_batches(index.select("vec_id", "x", "pivot", "ring", F.xxhash64("vec_id", "x")), block_of, "block long, vec_id long, x binary")
     blocks = written(placed.groupBy("block").applyInPandas(as_block, "block long, ids binary, xs binary"), "blocks")
 
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(queries.count() / QUERY_ROWS))))
-    asked = queries.withColumn("chunk", chunk)
-
-    def ask(first: bool):
-        def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, x = pdf["vec_id"].to_numpy(np.int64), space.matrix(list(pdf["x"])) if dim else np.zeros((len(pdf), 0), np.int64)
-            bounds = cells.bounds(space.distances(x, query=True)) if dim else np.zeros((len(pdf), len(cells.rows)))
-            least = np.iinfo(np.int64).min
-            if first:
-                floors = np.full(len(ids), least)
-                order = np.argsort(bounds, axis=1, kind="stable")
-                size = np.minimum(cells.rows, BLOCK_ROWS)[order]
-                before = np.cumsum(size, axis=1) - size
-                wanted = np.zeros(bounds.shape, bool)
-                np.put_along_axis(wanted, order, before < FIRST_ROWS * (k + 1), axis=1)
-            else:
-                floors = np.where(pdf["floor"].isna(), least, pdf["floor"].fillna(0)).astype(np.int64)
-                norm = (x.astype(np.float64) ** 2).sum(axis=1) + space.largest
-                reach = np.where(floors == least, np.inf, norm - 2.0 * floors)
-                wanted = bounds**2 <= (reach + 1e-9 * norm + 1e-6)[:, None]
-            out = []
-            for c in np.flatnonzero(wanted.any(axis=0)):
-                mine = np.flatnonzero(wanted[:, c])
-                for part in range(1 if first else parts[c]):
-                    out.append((int(first_block[c] + part), ids[mine].tobytes(), np.ascontiguousarray(x[mine]).tobytes(), floors[mine].tobytes()))
-            return pd.DataFrame(out, columns=["block", "qs", "qx", "floors"])
-
-        return rows_of
-
-    shape = "block long, qs binary, qx binary, floors binary"
-    near = _ranked(_search(asked.groupBy("chunk").applyInPandas(ask(True), shape), blocks, space, k), k)
+    parts = max(1, math.ceil(queries.count() * max(1, space.width()) / SHELF_BYTES))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", "x"), F.lit(parts)))
+    near = _ranked(_search(asked.withColumn("floor", F.lit(None).cast("long")), parts, blocks, shelves, True), k)
     floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    bounded = asked.join(floors, "vec_id", "left")
-    everything = _search(bounded.groupBy("chunk").applyInPandas(ask(False), shape), blocks, space, k)
+    everything = _search(asked.join(floors, "vec_id", "left"), parts, blocks, shelves, False)
     return _ranked(everything, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
