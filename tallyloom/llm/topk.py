@@ -165,7 +165,7 @@ class Shelves:
             if len(loose) and len(others) > self.k:
                 theirs = np.where(ids[mine[loose], None] == others, p.dtype.type(LEAST), p[loose])
                 floors[mine[loose]] = np.partition(theirs, -self.k, axis=1)[:, -self.k].astype(np.int64)
-            i, j = np.nonzero(p >= floors[mine].astype(p.dtype)[:, None])
+            i, j = np.divmod(np.flatnonzero(p >= floors[mine].astype(p.dtype)[:, None]), len(others))  # few of very many: nonzero takes four times as long
             other = ids[mine[i]] != others[j]
             i, j = i[other], j[other]
             at, found, score = (np.concatenate(c) for c in ((at, mine[i]), (found, others[j]), (score, p[i, j].astype(np.int64))))
