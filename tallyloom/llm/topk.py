@@ -206,10 +206,12 @@ def _search(queries: DataFrame, parts: int, blocks: DataFrame, shelves: Shelves,
     """query_id, vec_id, score: the k best of each query (vec_id, x, part, floor) on each shelf it asks for, if not below its floor."""
     count = shelves.count()
     starts = np.arange(count) * shelves.per
+    # queries at once: each may go to every shelf
+    most = max(1, min(TILE_ROWS // 4, SHELF_BYTES // (count * max(1, shelves.space.width()))))
 
     def ask(batch):
-        for begin in range(0, batch.num_rows, TILE_ROWS // 4):
-            piece = batch.slice(begin, TILE_ROWS // 4)
+        for begin in range(0, batch.num_rows, most):
+            piece = batch.slice(begin, most)
             floors = pc.fill_null(piece.column(3), LEAST)
             wanted = shelves.wanted(shelves.space.matrix(piece.column(1).to_pylist()), None if first else floors.to_numpy())
             row, shelf = np.nonzero(np.logical_or.reduceat(wanted, starts, axis=1))
